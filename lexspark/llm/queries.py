@@ -4,25 +4,43 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexspark.llm import common, packing, sstable
+from lexspark.llm import common, decontaminate, packing, pii, simhash, sstable
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(common.table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.workspace(spark, "token-shards")
     shards = sstable.write_shards(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_TOKENIZER), 2)
     return sstable.read_shards(spark, folder, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), 10, carry=["doc_id"])
+    names = F.array_join(F.array_sort(F.transform("hits.items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), 1, 2048)
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_token_shards": op2_token_shards,
+    "op4_decontaminate": op4_decontaminate,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
