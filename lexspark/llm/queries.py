@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import common, decontaminate, packing, pii, simhash, sstable
+from lexspark.llm import chat, common, decontaminate, neighbours, packing, pii, simhash, sstable
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -22,12 +22,23 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.windows(turns.union(extra), public_tokenizers.path(BYTE_TOKENIZER)))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), 10, carry=["doc_id"])
     names = F.array_join(F.array_sort(F.transform("hits.items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(common.table(spark, sf_dir, "embeddings"), 20, every=20)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.table(spark, sf_dir, "documents"))
 
@@ -39,7 +50,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_shards": op2_token_shards,
+    "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
+    "op8_neighbours": op8_neighbours,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
