@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a worker remembers before the older half is forgotten.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 800_000
 #: Pieces given to the library at once.
-CALL_PIECES = 20_000
+CALL_PIECES = 4_000
 
 
 class ColumnEncoder:
@@ -32,6 +32,7 @@ class ColumnEncoder:
         self.cache_pieces = cache_pieces
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.door, self.let_in = bytearray(1 << 22), 0
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -41,10 +42,9 @@ class ColumnEncoder:
         return out
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces, each encoded behind a space if the tokenizer heeds it."""
-        if len(self.young) > self.cache_pieces // 2:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
+        """Ids of distinct pieces, each encoded behind a space if the tokenizer heeds it. A piece is
+        remembered from the second time on that it is asked for, so that rare ones take no memory."""
+        young, old, door = self.young, self.old, self.door
         found: list[bytes | None] = list(map(young.get, pieces))
         missing = []
         for k, ids in enumerate(found):
@@ -54,8 +54,19 @@ class ColumnEncoder:
                 else:
                     found[k] = young[pieces[k]] = ids
         lead = " " if self.spaced else ""
+        mask = len(door) - 1
         for k, ids in zip(missing, self._ask([lead + pieces[k] for k in missing]), strict=True):
-            found[k] = young[pieces[k]] = ids
+            found[k] = ids
+            at = hash(pieces[k]) & mask
+            if door[at]:
+                young[pieces[k]] = ids
+            else:
+                door[at] = 1
+                self.let_in += 1
+        if self.let_in > len(door) // 2:
+            self.door, self.let_in = bytearray(len(door)), 0
+        if len(young) > self.cache_pieces // 2:
+            self.young, self.old = {}, young
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +101,8 @@ class ColumnEncoder:
         begins = np.cumsum(lengths) - lengths
         size = lengths[entry]
         ends = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(begins[entry] - ends[:-1], size)
-        at += np.arange(len(at))
+        at = np.repeat((begins[entry] - ends[:-1]).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         return values[at], ends[starts]
 
 

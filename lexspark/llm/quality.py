@@ -30,6 +30,10 @@ from lexspark.llm import common
 
 LABELLED, TRAINED = 8000, 1500
 BITS = 18
+#: L1 penalty of the scorers, in documents: a feature needs the errors of more than so many to get a weight.
+PENALTY = 4.0
+#: What the mean of shapes counts, beside each statistic.
+SHAPES = 8.0
 CUT = 0.5
 ABSTAIN, NO, YES = 0, 1, 2
 #: Insults of everyday English that need no labels.
@@ -52,6 +56,27 @@ def stems(word: str) -> list[str]:
     return [f"{n}:{word[:n]}" for n in (4, 5) if len(word) >= n]
 
 
+_SYMBOLS = "$%&*#~^=<>@!"
+_RUN = re.compile(r"[^\w\s]{2}")
+#: Shares of a text that speak of a defect, and below which there is no trace of it; see statistics_of.
+MUCH, FEW = (0.08, 0.3, 0.1, 0.3, 0.2), (0.03, 0.15, 0.02, 0.08, 0.05)
+
+
+def statistics_of(text: str) -> tuple[set[str], tuple[float, ...]]:
+    """(distinct tokens; shares of symbols among characters, of upper-case tokens, of bars and bullets, of
+    tokens with runs of marks, of tokens that repeat the one before)."""
+    tokens = text.split()
+    if not tokens:
+        return set(), (0.0,) * len(MUCH)
+    n, distinct = len(tokens), set(tokens)
+    upper = [t for t in distinct if t.isupper() and len(t) > 2]
+    odd = [t for t in distinct if _RUN.search(t)]
+    bars = tokens.count("|") + tokens.count("-") + tokens.count("*")
+    again = sum(map(str.__eq__, tokens, tokens[1:]))
+    symbols = sum(map(text.count, _SYMBOLS)) / max(1, len(text) - n + 1)
+    return distinct, (symbols, len(upper) / len(distinct), bars / n, len(odd) / len(distinct), again / n)
+
+
 class Labellers:
     """Votes on one text; lists: the four learnt ones."""
 
@@ -61,43 +86,33 @@ class Labellers:
     def votes(self, doc_id: int | None, text: str) -> tuple[int, int]:
         """(pattern on low quality, pattern on toxic), each in base three."""
         gold = self.gold.get(doc_id)
-        low, toxic = [], []
-        tokens = text.split()
-        if not tokens:
-            low, toxic = [ABSTAIN] * 6, [ABSTAIN] * 3
-        else:
-            n = len(text) - text.count(" ")
-            letters = sum(map(text.count, "$%&*#|!~^=<>@")) / n
-            low.append(YES if letters > 0.08 else NO if letters < 0.02 else ABSTAIN)
-            upper = sum(t.isupper() and len(t) > 1 for t in tokens) / len(tokens)
-            low.append(YES if upper > 0.3 else NO if upper < 0.1 else ABSTAIN)
-            low.append(YES if text.count("|") > 0.1 * len(tokens) else NO)
-            odd = sum(bool(_RUN.search(t)) for t in tokens) / len(tokens)
-            low.append(YES if odd > 0.3 else NO if odd < 0.05 else ABSTAIN)
-            distinct = set(tokens)
-            spread = len(distinct) / len(tokens)
-            low.append(ABSTAIN if len(tokens) < 50 else YES if spread < 0.1 else NO)
-            shapes = self.lists["shapes"]
-            share = sum(shape_of(t) in shapes for t in distinct) / len(distinct)
-            low.append(YES if share > 0.2 else NO if share < 0.05 else ABSTAIN)
+        distinct, stats = statistics_of(text)
+        low = [ABSTAIN if x < most else YES for x, most in zip(stats, MUCH, strict=True)]
+        # a text without a trace of these defects is evidence the other way; one defect's absence isn't
+        low.append(NO if distinct and all(x < few for x, few in zip(stats, FEW, strict=True)) else ABSTAIN)
+        shapes = self.lists["shapes"]
+        share = sum(shape_of(t) in shapes for t in distinct) / max(1, len(distinct))
+        low.append(YES if share > 0.2 else NO if distinct and share < 0.02 and max(stats) < 0.1 else ABSTAIN)
+        toxic = [ABSTAIN] * 3
+        if distinct:
             words = {t.lower().strip(_EDGE) for t in distinct}
-            toxic.append(YES if not words.isdisjoint(INSULTS) else NO)
-            toxic.append(YES if not words.isdisjoint(self.lists["words"]) else NO)
+            toxic[0] = NO if words.isdisjoint(INSULTS) else YES
+            toxic[1] = NO if words.isdisjoint(self.lists["words"]) else YES
             known = self.lists["stems"]
-            toxic.append(YES if any(s in known for w in words for s in stems(w)) else NO)
+            toxic[2] = YES if any(x in known for w in words for x in stems(w)) else NO
         low.append(ABSTAIN if gold is None else YES if gold[0] else NO)
         toxic.append(ABSTAIN if gold is None else YES if gold[1] else NO)
         return sum(v * 3**i for i, v in enumerate(low)), sum(v * 3**i for i, v in enumerate(toxic))
 
 
-_RUN = re.compile(r"[^\w\s]{2}")
-LOW_VOTES, TOXIC_VOTES = 7, 4
+LOW_VOTES, TOXIC_VOTES = 8, 4
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of yes for each pattern, [labellers, answer, vote] probabilities)."""
+    """(posterior of yes for each pattern, [labellers, answer, vote] probabilities). An abstention tells
+    nothing: only votes are modelled, no and yes, given the answer."""
     votes = np.stack([patterns // 3**i % 3 for i in range(labellers)], axis=1)
-    chance = np.tile(np.array([[0.2, 0.7, 0.1], [0.2, 0.1, 0.7]]), (labellers, 1, 1))
+    chance = np.tile(np.array([[1.0, 0.9, 0.1], [1.0, 0.1, 0.9]]), (labellers, 1, 1))
     prior = 0.15
     post = np.zeros(len(patterns))
     for _ in range(rounds):
@@ -105,21 +120,30 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
         logs += np.log([[1 - prior], [prior]])
         was, post = post, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         for y, w in ((0, counts * (1 - post)), (1, counts * post)):
-            for v in range(3):
-                chance[:, y, v] = ((votes == v) * w[:, None]).sum(axis=0) + 0.5
-        chance /= chance.sum(axis=2, keepdims=True)
-        # a labeller is taken to be better than chance: yes is likelier voted where the answer is yes
+            for v in (NO, YES):
+                chance[:, y, v] = ((votes == v) * w[:, None]).sum(axis=0) + (9 if (v == YES) == bool(y) else 1)
+        chance[:, :, 1:] /= chance[:, :, 1:].sum(axis=2, keepdims=True)
         prior = float(np.clip((counts * post).sum() / counts.sum(), 1e-4, 0.5))
         if np.abs(post - was).max() < 1e-6:
             break
     return post, chance
 
 
+def bucket_features(stats: tuple[float, ...]) -> list[int]:
+    """Hashed names of the statistics' steps."""
+    mask = (1 << BITS) - 1
+    return [zlib.crc32(b"b:%d:%d" % (i, int(np.searchsorted(STEPS, x, side="right")))) & mask for i, x in enumerate(stats)]
+
+
+STEPS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.4)
+
+
 def features(text: str) -> tuple[list[int], list[int]]:
-    """(hashed shapes and marks of the distinct tokens, hashed words and stems of the distinct words)."""
+    """(hashed steps of the statistics, then shapes of the distinct tokens; hashed words and stems of the
+    distinct words)."""
     mask = (1 << BITS) - 1
-    distinct = set(text.split())
-    low = [zlib.crc32(b"s:" + shape_of(t).encode("utf-8", "surrogatepass")) & mask for t in distinct]
+    distinct, stats = statistics_of(text)
+    low = bucket_features(stats) + [zlib.crc32(b"s:" + shape_of(t).encode("utf-8", "surrogatepass")) & mask for t in distinct]
     toxic = []
     for w in {t.lower().strip(_EDGE) for t in distinct}:
         toxic += word_features(w)
@@ -133,7 +157,7 @@ def word_features(word: str) -> list[int]:
 
 def train(rows: list[tuple[list[int], float]], mean: bool, rounds: int = 80) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic scorer over feature sums, or means, by proximal gradient steps
-    scaled by feature (Adagrad) with an L1 penalty; features of fewer than three documents stay out."""
+    scaled by feature (Adagrad) with an L1 penalty; features of fewer than eight documents stay out."""
     size = 1 << BITS
     weights, bias = np.zeros(size, np.float64), 0.0
     if not rows:
@@ -142,12 +166,13 @@ def train(rows: list[tuple[list[int], float]], mean: bool, rounds: int = 80) ->
     at = np.concatenate([np.asarray(r[0] or [0], np.int64) for r in rows])
     doc = np.repeat(np.arange(len(rows)), lengths)
     seen = np.bincount(np.unique(doc * size + at) % size, minlength=size)
-    keep = seen[at] >= 3
-    at, doc = at[keep], doc[keep]
-    value = (8.0 / lengths[doc]) if mean else np.ones(len(at))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    keep = seen[at] >= 8
+    at, doc, place = at[keep], doc[keep], place[keep]
+    # of a document's shapes the mean counts; its statistics, which come first, and words count each
+    value = np.where(place < len(MUCH), 1.0, SHAPES / np.maximum(1, lengths[doc] - len(MUCH))) if mean else np.ones(len(at))
     y = np.array([r[1] for r in rows])
     squares, bias_squares = np.full(size, 1e-6), 1e-6
-    penalty = 2e-4 * len(rows)
     for _ in range(rounds):
         margin = np.bincount(doc, weights[at] * value, minlength=len(rows)) + bias
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
@@ -155,7 +180,7 @@ def train(rows: list[tuple[list[int], float]], mean: bool, rounds: int = 80) ->
         squares += slope**2
         step = 0.5 / np.sqrt(squares)
         weights -= step * slope
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - step * penalty * 0.05, 0)
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - step * PENALTY, 0)
         total = error.sum()
         bias_squares += total**2
         bias -= 0.5 * total / np.sqrt(bias_squares)
@@ -181,7 +206,7 @@ class Scorer:
             self.words.clear()
         mask = (1 << BITS) - 1
         low = toxic = 0.0
-        distinct = set(text.split())
+        distinct, stats = statistics_of(text)
         words = set()
         for t in distinct:
             if (known := self.tokens.get(t)) is None:
@@ -192,7 +217,7 @@ class Scorer:
             if (s := self.words.get(w)) is None:
                 s = self.words[w] = float(sum(self.toxic[0][i] for i in word_features(w)))
             toxic += s
-        low = low * 8.0 / max(1, len(distinct)) + self.low[1]
+        low = low * SHAPES / max(1, len(distinct)) + float(sum(self.low[0][i] for i in bucket_features(stats))) + self.low[1]
         toxic += self.toxic[1]
         return 1 / (1 + np.exp(-np.clip(low, -30, 30))), 1 / (1 + np.exp(-np.clip(toxic, -30, 30)))
 
@@ -214,7 +239,7 @@ def _learn_lists(labelled: DataFrame) -> dict[str, frozenset]:
             yield common.arrow_batch(kind=pa.array([k[0] for k in keys], pa.string()), item=pa.array([k[1] for k in keys], pa.string()), no=pa.array([counts[k][0] for k in keys], pa.int64()), yes=pa.array([counts[k][1] for k in keys], pa.int64()))
 
     found = common.map_arrow(labelled, step, "kind string, item string, no long, yes long").groupBy("kind", "item").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    rows = found.where((F.col("yes") >= 4) & (F.col("yes") >= 30 * F.col("no")) & (F.length("item") > 0)).collect()  # bounded by LABELLED
+    rows = found.where((F.col("yes") >= F.when(F.col("kind") == "stems", 8).otherwise(6)) & (F.col("yes") >= 30 * F.col("no")) & (F.length("item") > 0)).collect()  # bounded by LABELLED
     return {kind: frozenset(r.item for r in rows if r.kind == kind) for kind in ("shapes", "words", "stems")}
 
 
