@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import chat, common, decontaminate, neighbours, packing, pii, quality, simhash, sstable
+from lexspark.llm import chat, common, decontaminate, neighbours, packing, pii, quality, simhash, sstable, substrings
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(common.table(spark, sf_dir, "documents"), 200)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select("doc_id", "verdict.low_quality", "verdict.toxic", "verdict.keep")
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_token_shards": op2_token_shards,
     "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
+    "op5_substrings": op5_substrings,
     "op6_quality": op6_quality,
     "op8_neighbours": op8_neighbours,
     "op9_pii": op9_pii,
