@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import chat, common, decontaminate, neighbours, packing, pii, quality, simhash, sstable, substrings
+from lexspark.llm import chat, common, decontaminate, language_model, neighbours, packing, pii, quality, simhash, sstable, substrings
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "verdict.low_quality", "verdict.toxic", "verdict.keep")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(common.table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(common.table(spark, sf_dir, "embeddings"), 20, every=20)
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_substrings": op5_substrings,
     "op6_quality": op6_quality,
+    "op7_language_model": op7_language_model,
     "op8_neighbours": op8_neighbours,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
