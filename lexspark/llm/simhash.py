@@ -113,3 +113,78 @@ def group(docs: DataFrame, size: int = 3, *, id_col: str = "doc_id", text_col: s
     named = classes.join(joined, classes.fp == joined.node, "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).when(~F.col("value.none"), F.col("value.id")).alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+SAMPLES = 10
+
+
+def _sketch_step(size: int):
+    """Of each text: fingerprint, those of SAMPLES min-wise samples, number and hash of distinct shingles."""
+    factors = np.random.default_rng(11).integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
+
+    def step(batches):
+        for batch in common.slices(batches):
+            fps, samples, sets, numbers = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                h = shingle_hashes(t, size)
+                distinct = np.unique(h)
+                fps.append(fingerprint(h))
+                numbers.append(len(distinct))
+                sets.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                if not len(distinct):
+                    samples.append([])
+                    continue
+                few = distinct if len(distinct) >= 3 else np.resize(distinct, 3)
+                mixed = few[None, :] * factors[:, None]
+                mixed ^= mixed >> np.uint64(32)
+                mixed *= factors[:, None]
+                a, b, c = np.partition(mixed, 2, axis=1)[:, :3].T if few.size > 3 else mixed[:, :3].T
+                samples.append(((a & b) | (a & c) | (b & c)).view(np.int64).tolist())  # their SimHash: bits set in two of three
+            yield common.arrow_batch(row=batch.column("row"), doc_id=batch.column("doc_id"), fp=pa.array(np.array(fps, np.uint64).view(np.int64)), samples=pa.array(samples, pa.list_(pa.int64())), n=pa.array(numbers, pa.int64()), content=pa.array(sets, pa.binary()))
+
+    return step
+
+
+def _sets_step(size: int):
+    def step(batches):
+        for batch in common.slices(batches):
+            sets = [np.unique(shingle_hashes(t, size).astype(np.uint32)).view(np.int32) for t in batch.column("text").to_pylist()]
+            yield common.arrow_batch(row=batch.column("row"), shingles=pa.array(sets, pa.list_(pa.int32())))
+
+    return step
+
+
+def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents but for near copies: of each group the one of least identifier (null last) stays, in
+    all its columns.
+
+    Groups are joined by links; a link is a Jaccard similarity of `similarity` or more of the sets of
+    `size`-word shingles, which is computed for candidates. Candidates are documents whose fingerprints
+    link (see above), and those that agree in the fingerprint of one of SAMPLES min-wise samples of three
+    shingles: fingerprints of whole texts at 0.8 differ in ten bits and more, beyond the reach of small
+    Hamming balls, but of ten samples one at least agrees with a probability of 0.999. Texts of equal
+    shingle sets are put together first, so copies don't multiply, and within a class of candidates each
+    is compared to its first document only. Empty texts are copies of each other."""
+    base = common.staged(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup")
+    narrow = base.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
+    sketches = common.cut(common.map_arrow(narrow, _sketch_step(size), "row long, doc_id long, fp long, samples array<long>, n long, content binary"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = sketches.groupBy("content").agg(F.min(rank).alias("rank"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("n").alias("n"))
+    classes = common.cut(classes.select(F.col("rank.row").alias("row"), "rank", "content", "fp", "samples", "n"))
+    keys = classes.select("row", F.posexplode(F.concat("samples", F.array("fp"))).alias("t", "key"))
+    heads = keys.groupBy("t", "key").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1").select("t", "key", "a")
+    near = keys.join(heads, ["t", "key"]).where("row <> a").select("a", F.col("row").alias("b"))
+    by_fp = classes.where("n > 0").groupBy("fp").agg(F.min("row").alias("row"))
+    linked = links(by_fp.select("fp"))
+    far = linked.join(by_fp.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sizes = classes.select("row", "n")
+    pairs = near.union(far).distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    pairs = common.cut(pairs.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = common.staged(common.map_arrow(narrow.join(wanted, "row").select("row", "text"), _sets_step(size), "row long, shingles array<int>"), "dedup-sets")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    found = components(alike, classes.select(F.col("row").alias("node"), F.col("rank").alias("value")))
+    lost = found.where("value.row <> node").select(F.col("node").alias("__row"))
+    copies = sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select(F.col("row").alias("__row"))
+    return base.join(lost.union(copies), "__row", "left_anti").drop("__row")
