@@ -39,7 +39,7 @@ from lexspark.llm.encoding import encoder
 BUDGET, HISTORY, STRETCH = 1024, 4, 512
 MARK, END = "### ", "</turn>\n"
 _IN = {"\\": "\\\\", "###": "\\h", "</turn>": "\\t", ": ": "\\c"}
-_OUT = {v[1]: k for k, v in _IN.items()}
+_OUT = {v[1]: k for k, v in _IN.items()} | {"=": ""}
 _TEXT = re.compile(r"\\|###|</turn>")
 _ROLE = re.compile(r"\\|###|</turn>|: ")
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -55,12 +55,13 @@ def unescape(text: str) -> str:
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """(the turn as written, where its text begins, where it ends)."""
-    head = f"{MARK}{escape(role.capitalize() if role in PLAIN else role, True)}: "
+    name = role.capitalize() if role in PLAIN else escape(role, True)
+    head = f"{MARK}{chr(92) + '=' if role in _PLAIN_BACK else ''}{name}: "
     body = escape(text)
     return head + body + END, len(head), len(head) + len(body)
 
 
-#: Roles written with a capital; others are written as they are.
+#: Roles written with a capital; others are written as they are, behind an empty escape if they look like these.
 PLAIN = ("system", "user", "assistant")
 _PLAIN_BACK = {r.capitalize(): r for r in PLAIN}
 

@@ -1,7 +1,7 @@
 """Order-preserving packing of token ids into windows, by dynamic programming.
 
 Documents stand in ascending identifier order; a cut between windows may lie behind a document, behind
-a sentence, or, only inside a sentence longer than STRIDE ids, at every STRIDE ids. The windows of a
+a sentence, or, only inside a sentence longer than a STRIDES-th of a window, at steps of that length. The windows of a
 block of ids are those of least cost: padding in ids, plus SENTENCE_COST or FORCED_COST for a cut that
 splits a document. With places p of possible cuts, best[j] = min over p[j] - p[i] <= size of
 best[i] + size - (p[j] - p[i]) + cost[j]; the window's least best[i] + p[i] is kept in a monotone queue,
@@ -31,8 +31,8 @@ from lexspark.llm import common
 from lexspark.llm.encoding import encoder
 
 BLOCK_WINDOWS = 128
-STRIDE = 256
-SENTENCE_COST, FORCED_COST = 2, 64
+STRIDES = 32
+SENTENCE_COST, FORCED_COST = 2, 16
 
 
 def best_cuts(places: np.ndarray, costs: np.ndarray, size: int, tail_free: bool) -> list[int]:
@@ -65,7 +65,7 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, size: int, tail_free: bool)
     return cuts[::-1]
 
 
-def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_ids: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, costs) of possible cuts in a block of ids; ends: where each document ends."""
     after = np.flatnonzero(np.isin(ids, sentence_ids)) + 1
     places = np.concatenate(([0], after, ends, [len(ids)]))
@@ -75,9 +75,9 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_ids: np.ndarray) -> t
     keep = np.concatenate(([True], np.diff(places) > 0))
     places, costs = places[keep], costs[keep]
     gaps = np.diff(places)
-    wide = np.flatnonzero(gaps > STRIDE)
+    wide = np.flatnonzero(gaps > stride)
     if len(wide):
-        more = np.concatenate([np.arange(places[k] + STRIDE, places[k + 1], STRIDE) for k in wide])
+        more = np.concatenate([np.arange(places[k] + stride, places[k + 1], stride) for k in wide])
         places, costs = np.concatenate((places, more)), np.concatenate((costs, np.full(len(more), float(FORCED_COST))))
         order = np.argsort(places, kind="stable")
         places, costs = places[order], costs[order]
@@ -116,7 +116,7 @@ class Packer:
         lengths = np.array([d[2] for d in self.docs])
         begins = np.cumsum(lengths) - lengths
         done = np.array([d[1] + d[2] == d[3] for d in self.docs])
-        places, costs = cut_places(ids, (begins + lengths)[done], self.sentence_ids)
+        places, costs = cut_places(ids, (begins + lengths)[done], self.sentence_ids, max(1, self.size // STRIDES))
         cuts = places[best_cuts(places, costs, self.size, True)].tolist()
         if last:
             rest = len(ids) - (cuts[-1] if cuts else 0)
