@@ -1,7 +1,8 @@
-"""Column functions on text: normal form, white-space flags, tokens, n-grams and keys. No Python runs."""
+"""Column functions on text: normal form, white-space flags, tokens, n-grams and keys. Only token_distance() leaves the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,7 +78,12 @@ def squeeze_spaces(text: Column | str) -> Column:
 def char_ngrams(text: Column | str, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams of each size, runs of white space squeezed first."""
     t = squeeze_spaces(text)
-    return F.flatten(F.array(*[F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of(n) for n in sizes]))
 
 
 def category_slug(label: Column | str, slugs: dict[str, str], default: str = "other") -> Column:
@@ -104,21 +110,25 @@ def is_test_method(name: Column | str, source: Column | str, in_corpus: Column)
     return in_corpus | F.lower(last).startswith("test") | col(source).contains("@Test")
 
 
-#: First code points of the private-use area, which stand for tokens in token_distance().
-PRIVATE = 0xE000
+#: First code points of the private-use areas, which stand for tokens in token_distance().
+PRIVATE, PRIVATE_SIZE, FURTHER = 0xE000, 6400, 0xF0000
 
 
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance between two arrays of tokens: each distinct token of the pair becomes one
-    private-use character, and the built-in distance of strings does the rest. Up to 6,400 tokens."""
-    distinct = F.array_distinct(F.concat(a, b))
+    private-use character, in Arrow batches, and the built-in distance of strings does the rest."""
+
+    @F.pandas_udf("struct<a:string,b:string>")
+    def coded(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        def pair(x, y):
+            at: dict[str, int] = {}
+            chars = [[at.setdefault(t, len(at)) for t in side] for side in (x, y)]
+            return ["".join(chr(k + PRIVATE if k < PRIVATE_SIZE else k - PRIVATE_SIZE + FURTHER) for k in side) for side in chars]
 
-    def char(token):
-        k = F.array_position(distinct, token).cast("int") - 1 + F.lit(PRIVATE)
-        low = F.concat(F.hex(F.lit(128) + F.shiftright(k, 6).bitwiseAND(F.lit(63))), F.hex(F.lit(128) + k.bitwiseAND(F.lit(63))))
-        return F.decode(F.unhex(F.concat(F.hex(F.lit(224) + F.shiftright(k, 12)), low)), "UTF-8")
+        return pd.DataFrame([pair(x, y) if x is not None and y is not None else [None, None] for x, y in zip(left, right, strict=True)], columns=["a", "b"])
 
-    return F.levenshtein(F.array_join(F.transform(a, char), ""), F.array_join(F.transform(b, char), ""))
+    both = coded(a, b)
+    return F.levenshtein(both["a"], both["b"])
 
 
 def bag_distance(a: Column, b: Column) -> Column:

@@ -19,7 +19,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
 
 def explode_list(rows: DataFrame, key: str, many: str, separator: str = ";") -> DataFrame:
     """(key, position, value): values of a separated list, trimmed, without empty ones and repeats."""
-    values = F.array_distinct(F.filter(F.transform(F.split(many, separator), F.trim), lambda x: x != ""))
+    values = F.array_distinct(F.filter(F.transform(F.split(many, separator), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.where(F.col(many).isNotNull()).select(key, F.posexplode(values).alias("position", "value")).withColumn("position", F.col("position").cast("bigint"))
 
 
