@@ -47,8 +47,8 @@ def cross_folds(rows: DataFrame, group: str, label: str, k: int = 5, seed: int =
     chosen = assign_groups([(r.g, int(r.p or 0), r.n) for r in counts], k, seed)
     if not chosen:
         return rows.withColumn("fold", F.lit(None).cast("bigint"))
-    table = rows.sparkSession.createDataFrame(list(chosen.items()), "g string, fold long")
-    return rows.join(F.broadcast(table), F.col(group).cast("string").eqNullSafe(F.col("g"))).drop("g")
+    table = rows.sparkSession.createDataFrame(list(chosen.items()), "__g string, fold long")
+    return rows.join(F.broadcast(table), F.col(group).cast("string").eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def inner_k(k: int, n_pos: int, n_groups: int | None = None) -> int:

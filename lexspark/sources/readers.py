@@ -12,9 +12,10 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
-    """Strings stay strings: nothing is read as null but a missing field, quotes are doubled, fields may
+    """Strings stay strings: `NA` and the like are text, an empty or missing field is the empty string, quotes are doubled, fields may
     hold line feeds."""
-    return spark.read.schema(schema).csv(path, header=header, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\u0000", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = spark.read.schema(schema).csv(path, header=header, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\u0000", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rows.fillna("", [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"])
 
 
 def explode_list(rows: DataFrame, key: str, many: str, separator: str = ";") -> DataFrame:
