@@ -7,15 +7,16 @@ another. Texts are UTF-8 bytes, null ones empty; matches never cross documents.
    of equals. Equal strings have equal anchors at equal offsets. A document falls into pieces, runs of
    strings that share an anchor's place; pieces are dealt by anchor. Pieces that are equal as a whole are
    repeated throughout and need no further look, nor do pieces alone with their anchor.
-2. Left are different pieces around one anchor. Of two equal strings in them, either the (size - K) / 2
-   bytes left of the anchor agree or as many right of it; pieces without such a partner are dropped. One piece of
-   each content is fetched and dealt by anchor. There the pieces form shards, and each shard's transform is
+2. Left are different pieces around one anchor. By how far in the anchor lies, their strings fall into
+   CLASSES classes; equal strings of a class agree in its core, the bytes that all its strings have in
+   common. Pieces without a partner in any core are dropped, the others cut to the classes that have
+   one. One piece of each content is fetched and dealt by anchor. There the pieces form shards, and each shard's transform is
    made by doubling of ranks (over rotations of each piece with an end mark, as far as `size` bytes).
 3. Shard transforms are merged by refining their interleaving: in round t each suffix is put, stably, behind
    its preceding symbol, so after it suffixes stand in the order of their first t symbols although none is
-   compared. Beside the interleaving goes a bit for each place where the first t symbols begin to differ
-   from the neighbour above; after `size` rounds the places without it have a common prefix of `size` bytes
-   or more, and they and their neighbours are the repeated strings.
+   compared. Beside the interleaving goes where the first t symbols begin to differ from the neighbour's;
+   a suffix that differs from both is settled and leaves. What is left after `size` rounds has a common prefix of
+   `size` bytes with a neighbour: the repeated strings.
 
 Work and memory follow the input: groups pass as streams or in chunks of CHUNK bytes; pieces around one
 anchor that are more than HEAVY go another exact way, by counts of their strings' 128-bit hashes, as DataFrame
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-K = 24
+K, CLASSES = 24, 4
 CHUNK, SHARDS, HEAVY = 1 << 20, 4, 3000
 _SYMBOLS = (np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +44,10 @@ _PLACE = np.uint64(2**28 - 1)
 END = 255  # never a byte of UTF-8
 
 
+def core_step(size: int) -> int:
+    return -(-(size - K) // CLASSES)
+
+
 def hashes(data: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all k-byte strings."""
     h, width = _SYMBOLS[data], 1
@@ -93,12 +98,12 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, size: int):
     return t, a - starts[t], b - starts[t], m - starts[t], h[m]
 
 
-PIECES = "anchor long, content long, k1 long, k2 long, place long, sides long"
+PIECES = "anchor long, content long, k1 long, k2 long, place long, cores0 long, cores1 long"
 
 
 def _pieces_step(size: int):
     def step(batches):
-        side = (size - K) // 2
+        width = core_step(size)
         for batch in common.slices(batches):
             seen: dict[tuple, int] = {}
             texts, keys = [], []
@@ -115,16 +120,21 @@ def _pieces_step(size: int):
             base = (ends - [len(x) for x in texts])[t]
             view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
             content = np.fromiter([digest(view[x:y]) for x, y in zip((a + base).tolist(), (b + base).tolist(), strict=True)], np.uint64, len(t))
-            left = [digest(view[x - side : x]) >> 32 if x - side >= z else 0 for x, z in zip((m + base).tolist(), (a + base).tolist(), strict=True)]
-            right = [digest(view[x + K : x + K + side]) >> 32 if x + K + side <= z else 0 for x, z in zip((m + base).tolist(), (b + base).tolist(), strict=True)]
-            sides = (np.array(left, np.uint64) << np.uint64(32)) | np.array(right, np.uint64)
+            cores = []
+            for j in range(CLASSES):  # what all strings have in common whose anchor lies j to j + 1 steps in
+                begin = m - j * width
+                fits = (begin >= a) & (begin + size - width <= b)
+                at = (begin + base)[fits]
+                core = np.zeros(len(m), np.uint64)
+                core[fits] = np.fromiter([digest(view[x : x + size - width]) | 1 for x in at.tolist()], np.uint64, len(at)) & np.uint64(2**32 - 1)
+                cores.append(core)
             named = np.array(keys, np.int64).reshape(-1, 2)[t]
-            yield common.arrow_batch(anchor=h.view(np.int64), content=content.view(np.int64), k1=named[:, 0].copy(), k2=named[:, 1].copy(), place=(a << 12) | (b - a), sides=sides.view(np.int64))
+            yield common.arrow_batch(anchor=h.view(np.int64), content=content.view(np.int64), k1=named[:, 0].copy(), k2=named[:, 1].copy(), place=(a << 24) | ((m - a) << 12) | (b - a), cores0=((cores[0] << np.uint64(32)) | cores[1]).view(np.int64), cores1=((cores[2] << np.uint64(32)) | cores[3]).view(np.int64))
 
     return step
 
 
-FOUND = "mixed boolean, anchor long, content long, k1 long, k2 long, place long, sides long"
+FOUND = "mixed boolean, anchor long, content long, k1 long, k2 long, place long, cores0 long, cores1 long"
 
 
 def _classes_step(batches):
@@ -167,9 +177,10 @@ def _classes_step(batches):
         held = (rows[:, first[-1] : first[-1] + 1], bool(count[-1] >= 2), bool(not_first[-1]))
 
 
-def shard_transform(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, transform) of the rotations of pieces that end at `ends` (each with its END symbol), sorted
-    by their first `depth` symbols; equal ones stay in order of place."""
+def shard_transform(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, transform, steps) of the rotations of pieces that end at `ends` (each with its END symbol),
+    sorted by their first `depth` symbols, two at least. transform: the symbol before each rotation's
+    first; steps: where the rotation that begins there stands in the order."""
     starts = np.concatenate(([0], ends[:-1]))
     length = ends - starts
     begin = np.repeat(starts, length)
@@ -182,67 +193,79 @@ def shard_transform(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.
     rank, width = data.astype(np.int64), 1
     while width < depth:
         shift = min(width, depth - width)
-        pair = rank * (int(rank.max()) + 1 if width > 1 else 256) + rank[ahead(shift)]
-        order = np.argsort(pair, kind="stable")
+        pair = rank * (len(data) + 256) + rank[ahead(shift)]
+        order = np.argsort(pair)
         sorted_pair = pair[order]
         rank = np.empty(len(data), np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], sorted_pair[1:] != sorted_pair[:-1])))
         width += shift
-    order = np.argsort(rank, kind="stable")
-    return order, data[ahead(-1)[order]]
-
-
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleaving: a shard number for each suffix in merged order; for each suffix whether its first
-    `depth` symbols differ from those of the suffix before it)."""
-    joined = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    interleaving = shard
-    block = np.zeros(len(joined), np.int32)
-    differs = np.zeros(len(joined), bool)
-    symbols = np.empty_like(joined)
-    for _ in range(depth):
-        # a shard's suffixes keep their order: its transform's symbols go to its places one by one
-        symbols[np.argsort(interleaving, kind="stable")] = joined
-        order = np.argsort(symbols, kind="stable")
-        interleaving = interleaving[order]
-        s, b = symbols[order], block[order]
-        differs = np.concatenate(([True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])))
-        block = np.cumsum(differs, dtype=np.int32)
-        if block[-1] == len(block):
-            break  # all suffixes differ
-    return interleaving, differs
+        if rank[order[-1]] == len(data) - 1:
+            break
+    place = np.empty(len(data), np.int32)
+    place[order] = np.arange(len(data), dtype=np.int32)
+    before = ahead(-1)[order]
+    return order, data[before], place[before]
+
+
+def merge_transforms(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
+    """Suffixes, as numbers that run on from shard to shard, whose first `depth` symbols another suffix
+    shares. transforms: (symbols, steps) of each shard.
+
+    The interleaving begins as one shard after another. A round puts the suffixes that begin two symbols
+    earlier (one, to begin with, if depth is odd), found by the steps, in the order of these symbols, else of the interleaving so far; a
+    block is what shares its symbols up to now. A block of one suffix is settled, and so are all that
+    extend it, so only what lies in larger blocks goes on to the next round. A suffix that would need its
+    piece's END symbol leaves."""
+    offsets = np.cumsum([0, *(len(t) for t, _ in transforms)])
+    one = np.concatenate([t for t, _ in transforms])
+    step = np.concatenate([x + o for (_, x), o in zip(transforms, offsets, strict=False)]).astype(np.int32)
+    before = one[step]
+    two = (before.astype(np.uint16) << 8) | one
+    two[(one == END) | (before == END)] = END
+    one = one.astype(np.uint16)
+    suffixes = np.arange(len(one), dtype=np.int32)
+    block = np.zeros(len(one), np.int32)
+    for symbols, steps in [(one, step)] * (depth % 2) + [(two, step[step])] * (depth // 2):
+        s = symbols[suffixes]
+        inside = np.flatnonzero(s != END)
+        s, suffixes, block = s[inside], suffixes[inside], block[inside]
+        order = np.argsort(s, kind="stable")
+        s, suffixes, block = s[order], steps[suffixes[order]], block[order]
+        differs = np.empty(len(s) + 1, bool)
+        differs[0] = differs[-1] = True
+        np.logical_or(s[1:] != s[:-1], block[1:] != block[:-1], out=differs[1:-1])
+        shared = np.flatnonzero(~(differs[1:] & differs[:-1]))
+        block = np.cumsum(differs[:-1], dtype=np.int32)[shared]
+        suffixes = suffixes[shared]
+        if not len(suffixes):
+            break
+    return suffixes
 
 
 def repeated_strings(pieces: list[bytes], size: int, shards: int = SHARDS) -> list[np.ndarray]:
     """For each piece the places at which a string of `size` bytes starts that also starts elsewhere."""
-    dealt = [list(range(s, len(pieces), shards)) for s in range(min(shards, len(pieces)))]
-    orders, transforms, names = [], [], []
+    number: dict[bytes, int] = {}
+    which_piece = [number.setdefault(p, len(number)) for p in pieces]
+    distinct = list(number)
+    dealt = [list(range(s, len(distinct), shards)) for s in range(min(shards, len(distinct)))]
+    transforms, pieces_at, starts_at = [], [], []
     for own in dealt:
-        data = np.frombuffer(b"".join(pieces[k] + bytes([END]) for k in own), np.uint8)
-        ends = np.cumsum([len(pieces[k]) + 1 for k in own])
-        order, transform = shard_transform(data, ends, size)
-        transforms.append(transform)
-        orders.append(order)
-        starts = ends - np.array([len(pieces[k]) + 1 for k in own])
-        which = np.searchsorted(ends, np.arange(len(data)), side="right")
-        names.append(np.stack([np.array(own)[which], np.arange(len(data)) - starts[which], np.array([len(pieces[k]) for k in own])[which]]))
-    interleaving, differs = merge_transforms(transforms, size)
-    same = ~differs
-    same[:-1] |= ~differs[1:]
-    place = np.argsort(interleaving, kind="stable")  # merged places, shard by shard in order
-    flags = np.empty(len(same), bool)
-    flags[:] = same[place]
-    out: list[list] = [[] for _ in pieces]
-    at = 0
-    for order, name in zip(orders, names, strict=True):
-        hit = order[flags[at : at + len(order)]]
-        at += len(order)
-        piece, start, length = name[:, hit]
-        fits = start + size <= length
-        for p, s in zip(piece[fits].tolist(), start[fits].tolist(), strict=True):
-            out[p].append(s)
-    return [np.array(sorted(o), np.int64) for o in out]
+        data = np.frombuffer(b"".join(distinct[k] + bytes([END]) for k in own), np.uint8)
+        lengths = np.array([len(distinct[k]) + 1 for k in own])
+        ends = np.cumsum(lengths)
+        order, transform, steps = shard_transform(data, ends, size)
+        transforms.append((transform, steps))
+        pieces_at.append(np.repeat(np.array(own), lengths)[order])
+        starts_at.append((np.arange(len(data)) - np.repeat(ends - lengths, lengths))[order])
+    found = merge_transforms(transforms, size)
+    piece, start = np.concatenate(pieces_at)[found], np.concatenate(starts_at)[found]
+    order = np.lexsort((start, piece))
+    piece, start = piece[order], start[order]
+    cuts = np.searchsorted(piece, np.arange(len(distinct) + 1))
+    copies = np.bincount(which_piece, minlength=len(distinct))
+    # copies of a piece repeat all its strings
+    out = [np.arange(len(distinct[k]) - size + 1) if copies[k] > 1 else start[cuts[k] : cuts[k + 1]] for k in range(len(distinct))]
+    return [out[k] for k in which_piece]
 
 
 def runs_of(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -286,7 +309,7 @@ def _fetch_step(batches):
         out = []
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            out += [(r["anchor"], r["k1"], r["k2"], r["place"] >> 12, data[r["place"] >> 12 : (r["place"] >> 12) + (r["place"] & 4095)], r["heavy"]) for r in asked]
+            out += [(r["anchor"], r["k1"], r["k2"], r["first"], data[r["first"] : r["first"] + r["length"]], r["heavy"]) for r in asked]
         if out:
             c = list(zip(*out, strict=True))
             yield common.arrow_batch(anchor=pa.array(c[0], pa.int64()), k1=pa.array(c[1], pa.int64()), k2=pa.array(c[2], pa.int64()), first=pa.array(c[3], pa.int64()), bytes=pa.array(c[4], pa.binary()), heavy=pa.array(c[5], pa.bool_()))
@@ -336,14 +359,19 @@ def repeated_spans(docs: DataFrame, size: int = 200, heavy: int = HEAVY) -> Data
     pieces = common.map_arrow(docs.select("k1", "k2", "text").where(F.octet_length("text") >= size), _pieces_step(size), PIECES)
     ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
     found = common.staged(common.map_arrow(ordered, _classes_step, FOUND), "substring-pieces")
-    whole = found.where(~F.col("mixed")).select("k1", "k2", F.shiftright("place", 12).alias("start"), (F.shiftright("place", 12) + F.col("place").bitwiseAND(F.lit(4095))).alias("stop"))
+    whole = found.where(~F.col("mixed")).select("k1", "k2", F.shiftright("place", 24).alias("start"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(F.lit(4095))).alias("stop"))
     mixed = found.where("mixed").drop("mixed")
-    left, right = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
-    sided = mixed.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), left.alias("part")), F.struct(F.lit(1).alias("side"), right.alias("part")))).alias("s")).select("anchor", "content", "k1", "k2", "place", "s.side", "s.part").where("part <> 0")
+    cores = [half(c) for c in ("cores0", "cores1") for half in (lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sided = mixed.select("*", F.explode(F.array(*[F.struct(F.lit(j).alias("side"), c.alias("part")) for j, c in enumerate(cores)])).alias("s")).select("anchor", "content", "k1", "k2", "place", "s.side", "s.part").where("part <> 0")
     partnered = sided.groupBy("anchor", "side", "part").agg(F.count("*").alias("n")).where("n > 1")
-    asked = sided.join(partnered, ["anchor", "side", "part"]).groupBy("anchor", "content").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("place").alias("place"), F.max("n").alias("n"))
-    asked = common.cut(asked.select("anchor", "k1", "k2", "place", (F.col("n") > heavy).alias("heavy")))
-    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "k1", "k2", "place", "heavy")).alias("asked"))  # no more than a text has pieces
+    asked = sided.join(partnered, ["anchor", "side", "part"]).groupBy("anchor", "content").agg(F.min(F.struct("k1", "k2", "place")).alias("p"), F.max("n").alias("n"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
+    # of a piece, what the strings of classes with partners span
+    step = core_step(size)
+    start, anchor_at, length = F.shiftright("p.place", 24), F.shiftright("p.place", 12).bitwiseAND(F.lit(4095)), F.col("p.place").bitwiseAND(F.lit(4095))
+    skip = F.greatest(F.lit(0), anchor_at - (F.col("last_side") + 1) * step)
+    stop = F.least(length, anchor_at - F.col("first_side") * step + size)
+    asked = common.cut(asked.select("anchor", "p.k1", "p.k2", (start + skip).alias("first"), (stop - skip).alias("length"), (F.col("n") > heavy).alias("heavy")).where(F.col("length") >= size))
+    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "k1", "k2", "first", "length", "heavy")).alias("asked"))  # no more than a text has pieces
     once = docs.select("k1", "k2", "text").where(F.octet_length("text") >= size).join(by_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     fetched = common.map_arrow(once.select("text", "asked"), _fetch_step, "anchor long, k1 long, k2 long, first long, bytes binary, heavy boolean")
     fetched = common.staged(fetched, "substring-bytes")
