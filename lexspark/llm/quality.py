@@ -18,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -44,6 +45,13 @@ _CACHE = 300_000
 
 def shape_of(token: str) -> str:
     """A token's kinds of character, runs put together: `Ab,` gives `Aa,`."""
+    if token.isascii():  # the common shapes without a look at each character
+        body, last = (token, "") if token.isalpha() else (token[:-1], token[-1:])
+        if body.isalpha() and not last.isalnum():
+            if body.islower():
+                return "a" + last
+            if body[0].isupper() and body[1:].islower():
+                return "Aa" + last
     out = []
     for c in token:
         k = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
@@ -62,6 +70,28 @@ _RUN = re.compile(r"[^\w\s]{2}")
 MUCH, FEW = (0.08, 0.3, 0.1, 0.3, 0.2), (0.03, 0.15, 0.02, 0.08, 0.05)
 
 
+def marks_of(token: str) -> tuple[bool, bool]:
+    """(in upper case, with a run of marks)."""
+    return token.isupper() and len(token) > 2, not token.isalpha() and _RUN.search(token) is not None
+
+
+class Remembered(dict):
+    """What a function says of tokens, up to _CACHE of them."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, token):
+        if len(self) >= _CACHE:
+            self.clear()
+        found = self[token] = self.function(token)
+        return found
+
+
+_marks = Remembered(marks_of)
+
+
 def statistics_of(text: str) -> tuple[set[str], tuple[float, ...]]:
     """(distinct tokens; shares of symbols among characters, of upper-case tokens, of bars and bullets, of
     tokens with runs of marks, of tokens that repeat the one before)."""
@@ -69,12 +99,14 @@ def statistics_of(text: str) -> tuple[set[str], tuple[float, ...]]:
     if not tokens:
         return set(), (0.0,) * len(MUCH)
     n, distinct = len(tokens), set(tokens)
-    upper = [t for t in distinct if t.isupper() and len(t) > 2]
-    odd = [t for t in distinct if _RUN.search(t)]
+    upper = odd = 0
+    for u, o in map(_marks.__getitem__, distinct):
+        upper += u
+        odd += o
     bars = tokens.count("|") + tokens.count("-") + tokens.count("*")
     again = sum(map(str.__eq__, tokens, tokens[1:]))
     symbols = sum(map(text.count, _SYMBOLS)) / max(1, len(text) - n + 1)
-    return distinct, (symbols, len(upper) / len(distinct), bars / n, len(odd) / len(distinct), again / n)
+    return distinct, (symbols, upper / len(distinct), bars / n, odd / len(distinct), again / n)
 
 
 class Labellers:
@@ -82,6 +114,19 @@ class Labellers:
 
     def __init__(self, lists: dict[str, frozenset], gold: dict[int, tuple[int, int]]):
         self.lists, self.gold = lists, gold
+        self.tokens = Remembered(self._facts)
+
+    def __getstate__(self):
+        return {"lists": self.lists, "gold": self.gold}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def _facts(self, token: str) -> tuple[bool, int]:
+        """(shape is listed, bits of the word: an insult, listed, of a listed stem)."""
+        word = token.lower().strip(_EDGE)
+        known = self.lists["stems"]
+        return shape_of(token) in self.lists["shapes"], (word in INSULTS) | (word in self.lists["words"]) << 1 | any(x in known for x in stems(word)) << 2
 
     def votes(self, doc_id: int | None, text: str) -> tuple[int, int]:
         """(pattern on low quality, pattern on toxic), each in base three."""
@@ -90,16 +135,13 @@ class Labellers:
         low = [ABSTAIN if x < most else YES for x, most in zip(stats, MUCH, strict=True)]
         # a text without a trace of these defects is evidence the other way; one defect's absence isn't
         low.append(NO if distinct and all(x < few for x, few in zip(stats, FEW, strict=True)) else ABSTAIN)
-        shapes = self.lists["shapes"]
-        share = sum(shape_of(t) in shapes for t in distinct) / max(1, len(distinct))
+        listed = hits = 0
+        for shape, bits in map(self.tokens.__getitem__, distinct):
+            listed += shape
+            hits |= bits
+        share = listed / max(1, len(distinct))
         low.append(YES if share > 0.2 else NO if distinct and share < 0.02 and max(stats) < 0.1 else ABSTAIN)
-        toxic = [ABSTAIN] * 3
-        if distinct:
-            words = {t.lower().strip(_EDGE) for t in distinct}
-            toxic[0] = NO if words.isdisjoint(INSULTS) else YES
-            toxic[1] = NO if words.isdisjoint(self.lists["words"]) else YES
-            known = self.lists["stems"]
-            toxic[2] = YES if any(x in known for w in words for x in stems(w)) else NO
+        toxic = [YES if hits >> i & 1 else NO for i in range(3)] if distinct else [ABSTAIN] * 3
         low.append(ABSTAIN if gold is None else YES if gold[0] else NO)
         toxic.append(ABSTAIN if gold is None else YES if gold[1] else NO)
         return sum(v * 3**i for i, v in enumerate(low)), sum(v * 3**i for i, v in enumerate(toxic))
@@ -172,26 +214,30 @@ def train(rows: list[tuple[list[int], float]], mean: bool, rounds: int = 80) ->
     # of a document's shapes the mean counts; its statistics, which come first, and words count each
     value = np.where(place < len(MUCH), 1.0, SHAPES / np.maximum(1, lengths[doc] - len(MUCH))) if mean else np.ones(len(at))
     y = np.array([r[1] for r in rows])
-    squares, bias_squares = np.full(size, 1e-6), 1e-6
+    used, at = np.unique(at, return_inverse=True)
+    small = np.zeros(len(used))
+    squares, bias_squares = np.full(len(used), 1e-6), 1e-6
     for _ in range(rounds):
-        margin = np.bincount(doc, weights[at] * value, minlength=len(rows)) + bias
+        margin = np.bincount(doc, small[at] * value, minlength=len(rows)) + bias
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        slope = np.bincount(at, error[doc] * value, minlength=size)
+        slope = np.bincount(at, error[doc] * value, minlength=len(used))
         squares += slope**2
         step = 0.5 / np.sqrt(squares)
-        weights -= step * slope
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - step * PENALTY, 0)
+        small -= step * slope
+        small = np.sign(small) * np.maximum(np.abs(small) - step * PENALTY, 0)
         total = error.sum()
         bias_squares += total**2
         bias -= 0.5 * total / np.sqrt(bias_squares)
+    weights[used] = small
     return weights.astype(np.float32), float(bias)
 
 
 class Scorer:
     def __init__(self, low: tuple[np.ndarray, float], toxic: tuple[np.ndarray, float]):
         self.low, self.toxic = low, toxic
-        self.tokens: dict[str, tuple[float, str]] = {}
-        self.words: dict[str, float] = {}
+        mask = (1 << BITS) - 1
+        self.tokens = Remembered(lambda t: (float(low[0][zlib.crc32(b"s:" + shape_of(t).encode("utf-8", "surrogatepass")) & mask]), t.lower().strip(_EDGE)))
+        self.words = Remembered(lambda w: float(sum(toxic[0][i] for i in word_features(w))))
 
     def __getstate__(self):
         return {"low": self.low, "toxic": self.toxic}
@@ -200,26 +246,15 @@ class Scorer:
         self.__init__(**state)
 
     def score(self, text: str) -> tuple[float, float]:
-        if len(self.tokens) > _CACHE:
-            self.tokens.clear()
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        mask = (1 << BITS) - 1
-        low = toxic = 0.0
+        low = 0.0
         distinct, stats = statistics_of(text)
         words = set()
-        for t in distinct:
-            if (known := self.tokens.get(t)) is None:
-                known = self.tokens[t] = (float(self.low[0][zlib.crc32(b"s:" + shape_of(t).encode("utf-8", "surrogatepass")) & mask]), t.lower().strip(_EDGE))
-            low += known[0]
-            words.add(known[1])
-        for w in words:
-            if (s := self.words.get(w)) is None:
-                s = self.words[w] = float(sum(self.toxic[0][i] for i in word_features(w)))
-            toxic += s
+        for weight, word in map(self.tokens.__getitem__, distinct):
+            low += weight
+            words.add(word)
+        toxic = sum(map(self.words.__getitem__, words)) + self.toxic[1]
         low = low * SHAPES / max(1, len(distinct)) + float(sum(self.low[0][i] for i in bucket_features(stats))) + self.low[1]
-        toxic += self.toxic[1]
-        return 1 / (1 + np.exp(-np.clip(low, -30, 30))), 1 / (1 + np.exp(-np.clip(toxic, -30, 30)))
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, low)))), 1 / (1 + math.exp(-min(30.0, max(-30.0, toxic))))
 
 
 def _learn_lists(labelled: DataFrame) -> dict[str, frozenset]:
