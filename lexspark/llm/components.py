@@ -23,7 +23,7 @@ def components(links: DataFrame, values: DataFrame) -> DataFrame:
         lower = common.cut(lower)
         owners = lower.select(F.col("own").alias("value"), F.col("value").alias("further"))
         jumped = common.cut(lower.join(owners, "value").select("node", "own", "was", F.least("value", "further").alias("value")))
-        changed = jumped.where("value <> was").isEmpty()
+        settled = jumped.where("value <> was").isEmpty()
         state = jumped.select("node", "own", "value")
-        if changed:
+        if settled:
             return state.select("node", "value")
