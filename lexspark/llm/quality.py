@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,28 +198,28 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(s.encode("utf-8", "surrogatepass")) & mask for s in ["w:" + word, *stems(word)]]
 
 
-def train(rows: list[tuple[list[int], float]], mean: bool, rounds: int = 80) -> tuple[np.ndarray, float]:
+def train(rows: pa.Table | None, mean: bool, rounds: int = 80) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic scorer over feature sums, or means, by proximal gradient steps
     scaled by feature (Adagrad) with an L1 penalty; features of fewer than eight documents stay out."""
     size = 1 << BITS
     weights, bias = np.zeros(size, np.float64), 0.0
-    if not rows:
+    if rows is None or not rows.num_rows:
         return weights.astype(np.float32), -4.0
-    lengths = np.array([max(1, len(r[0])) for r in rows])
-    at = np.concatenate([np.asarray(r[0] or [0], np.int64) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), lengths)
+    lengths = pc.list_value_length(rows["at"]).to_numpy().astype(np.int64)
+    at = pc.list_flatten(rows["at"]).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    y = rows["post"].to_numpy()
     seen = np.bincount(np.unique(doc * size + at) % size, minlength=size)
     place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep = seen[at] >= 8
     at, doc, place = at[keep], doc[keep], place[keep]
     # of a document's shapes the mean counts; its statistics, which come first, and words count each
     value = np.where(place < len(MUCH), 1.0, SHAPES / np.maximum(1, lengths[doc] - len(MUCH))) if mean else np.ones(len(at))
-    y = np.array([r[1] for r in rows])
     used, at = np.unique(at, return_inverse=True)
     small = np.zeros(len(used))
     squares, bias_squares = np.full(len(used), 1e-6), 1e-6
     for _ in range(rounds):
-        margin = np.bincount(doc, small[at] * value, minlength=len(rows)) + bias
+        margin = np.bincount(doc, small[at] * value, minlength=len(y)) + bias
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
         slope = np.bincount(at, error[doc] * value, minlength=len(used))
         squares += slope**2
@@ -305,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for name, n, which in (("low", LOW_VOTES, 0), ("toxic", TOXIC_VOTES, 1)):
         counted = votes.groupBy(name).count().collect()  # 3^n patterns at most
         if not counted:
-            scorers.append(train([], name == "low"))
+            scorers.append(train(None, name == "low"))
             continue
         patterns, counts = np.array([r[name] for r in counted]), np.array([r["count"] for r in counted], float)
         post, chance = expectation_maximisation(patterns, counts, n)
@@ -326,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         train_on = narrow.join(F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, post double")), "doc_id") if chosen else None
         # limit: identifiers may repeat; order by content, so that the choice doesn't depend on the layout
         rows = common.map_arrow(train_on.orderBy(F.xxhash64("text"), "doc_id").limit(2 * TRAINED), featured, "at array<int>, post double").toArrow() if chosen else None
-        scorers.append(train(list(zip(rows["at"].to_pylist(), rows["post"].to_pylist(), strict=True)) if rows is not None else [], name == "low"))
+        scorers.append(train(rows, name == "low"))
     return Scorer(*scorers), told
 
 
