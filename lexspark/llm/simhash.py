@@ -22,10 +22,12 @@ empty results. Other columns are left out.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm import common
@@ -115,32 +117,26 @@ def group(docs: DataFrame, size: int = 3, *, id_col: str = "doc_id", text_col: s
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-SAMPLES = 10
+CELLS = 1 << 21
+
+
+SKETCHES = "row long, doc_id long, n long, content binary, part int, counts binary"
 
 
 def _sketch_step(size: int):
-    """Of each text: fingerprint, those of SAMPLES min-wise samples, number and hash of distinct shingles."""
-    factors = np.random.default_rng(11).integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
+    """Of each text: number and hash of its distinct shingles. Then, of the task: how many texts hold a
+    shingle of a cell, in parts that can be added apart."""
 
     def step(batches):
+        cells = np.zeros(CELLS, np.int64)
         for batch in common.slices(batches):
-            fps, samples, sets, numbers = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                h = shingle_hashes(t, size)
-                distinct = np.unique(h)
-                fps.append(fingerprint(h))
-                numbers.append(len(distinct))
-                sets.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                if not len(distinct):
-                    samples.append([])
-                    continue
-                few = distinct if len(distinct) >= 3 else np.resize(distinct, 3)
-                mixed = few[None, :] * factors[:, None]
-                mixed ^= mixed >> np.uint64(32)
-                mixed *= factors[:, None]
-                a, b, c = np.partition(mixed, 2, axis=1)[:, :3].T if few.size > 3 else mixed[:, :3].T
-                samples.append(((a & b) | (a & c) | (b & c)).view(np.int64).tolist())  # their SimHash: bits set in two of three
-            yield common.arrow_batch(row=batch.column("row"), doc_id=batch.column("doc_id"), fp=pa.array(np.array(fps, np.uint64).view(np.int64)), samples=pa.array(samples, pa.list_(pa.int64())), n=pa.array(numbers, pa.int64()), content=pa.array(sets, pa.binary()))
+            sets = [np.unique(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()]
+            cells += np.bincount(np.concatenate(sets) % np.uint64(CELLS), minlength=CELLS)
+            yield common.arrow_batch(row=batch.column("row"), doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), content=pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), part=pa.nulls(len(sets), pa.int32()), counts=pa.nulls(len(sets), pa.binary()))
+        if cells.any():
+            parts = np.minimum(cells, 2**31 - 1).astype("<u4").reshape(64, -1)
+            none = pa.nulls(64, pa.int64())
+            yield common.arrow_batch(row=none, doc_id=none, n=none, content=pa.nulls(64, pa.binary()), part=pa.array(np.arange(64, dtype=np.int32)), counts=pa.array([p.tobytes() for p in parts], pa.binary()))
 
     return step
 
@@ -148,8 +144,43 @@ def _sketch_step(size: int):
 def _sets_step(size: int):
     def step(batches):
         for batch in common.slices(batches):
-            sets = [np.unique(shingle_hashes(t, size).astype(np.uint32)).view(np.int32) for t in batch.column("text").to_pylist()]
-            yield common.arrow_batch(row=batch.column("row"), shingles=pa.array(sets, pa.list_(pa.int32())))
+            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield common.arrow_batch(row=batch.column("row"), shingles=pa.array(sets, pa.list_(pa.int64())))
+
+    return step
+
+
+def _levels_step(batches):
+    """Sums of parts, as the binary logarithm."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+    if sums:
+        yield common.arrow_batch(part=pa.array(list(sums), pa.int32()), levels=pa.array([np.log2(s + 1).astype(np.uint8).tobytes() for s in sums.values()], pa.binary()))
+
+
+def _prefix_step(levels, size: int, similarity: float):
+    """(token, row, n, at): of each set the shingles at the front in the common order of all shingles, one of
+    which any two sets of `similarity` share; at counts from 0. Tokens are the lower halves of the hashes:
+    different ones that agree only make a pair more to be compared."""
+
+    def step(batches):
+        level = levels.value
+        for batch in common.slices(batches):
+            tokens, rows, numbers, places = [], [], [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                s = np.unique(shingle_hashes(text, size))
+                if not len(s):
+                    continue
+                order = np.argsort(level[s % np.uint64(CELLS)], kind="stable")
+                front = order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                tokens.append(s[front].astype(np.uint32).view(np.int32))
+                rows.append(np.full(len(front), row, np.int64))
+                numbers.append(np.full(len(front), len(s), np.int32))
+                places.append(np.arange(len(front), dtype=np.int32))
+            if tokens:
+                yield common.arrow_batch(**{k: pa.array(np.concatenate(v)) for k, v in {"token": tokens, "row": rows, "n": numbers, "at": places}.items()})
 
     return step
 
@@ -159,32 +190,54 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
     all its columns.
 
     Groups are joined by links; a link is a Jaccard similarity of `similarity` or more of the sets of
-    `size`-word shingles, which is computed for candidates. Candidates are documents whose fingerprints
-    link (see above), and those that agree in the fingerprint of one of SAMPLES min-wise samples of three
-    shingles: fingerprints of whole texts at 0.8 differ in ten bits and more, beyond the reach of small
-    Hamming balls, but of ten samples one at least agrees with a probability of 0.999. Texts of equal
-    shingle sets are put together first, so copies don't multiply, and within a class of candidates each
-    is compared to its first document only. Empty texts are copies of each other."""
+    `size`-word shingles. Links are found exactly. Shingles have one order throughout, rare ones first (by
+    counts of hash cells, then by hash; any order gives the same groups). Two sets that link share one of the
+    n - ceil(similarity * n) + 1 first shingles of both, and at the first they share enough is left in each.
+    Texts of equal shingle sets are put together first, so copies don't multiply. Of the sets that share
+    such a shingle, each is compared to the one where it stands furthest in front (the original of edited
+    copies, which has no rare shingles of its own); then all pairs that are not in one group yet are
+    compared, so a large group of near copies costs in proportion but no link between groups is left
+    untested. Empty texts are copies of each other."""
+    spark = docs.sparkSession
     base = common.staged(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup")
     narrow = base.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
-    sketches = common.cut(common.map_arrow(narrow, _sketch_step(size), "row long, doc_id long, fp long, samples array<long>, n long, content binary"))
+    sketched = common.staged(common.map_arrow(narrow, _sketch_step(size), SKETCHES), "dedup-sketches")
+    sketches = sketched.where("part is null").select("row", "doc_id", "n", "content")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = sketches.groupBy("content").agg(F.min(rank).alias("rank"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("n").alias("n"))
-    classes = common.cut(classes.select(F.col("rank.row").alias("row"), "rank", "content", "fp", "samples", "n"))
-    keys = classes.select("row", F.posexplode(F.concat("samples", F.array("fp"))).alias("t", "key"))
-    heads = keys.groupBy("t", "key").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1").select("t", "key", "a")
-    near = keys.join(heads, ["t", "key"]).where("row <> a").select("a", F.col("row").alias("b"))
-    by_fp = classes.where("n > 0").groupBy("fp").agg(F.min("row").alias("row"))
-    linked = links(by_fp.select("fp"))
-    far = linked.join(by_fp.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    sizes = classes.select("row", "n")
-    pairs = near.union(far).distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    pairs = common.cut(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = common.staged(common.map_arrow(narrow.join(wanted, "row").select("row", "text"), _sets_step(size), "row long, shingles array<int>"), "dedup-sets")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    found = components(alike, classes.select(F.col("row").alias("node"), F.col("rank").alias("value")))
+    classes = sketches.groupBy("content").agg(F.min(rank).alias("rank"), F.first("n").alias("n"))
+    classes = common.cut(classes.select(F.col("rank.row").alias("row"), "rank", "content", "n"))
+    parts = sketched.where("part is not null").select("part", "counts")
+    level = np.zeros((64, CELLS // 64), np.uint8)
+    for r in common.map_arrow(parts.repartition(8, "part"), _levels_step, "part int, levels binary").collect():
+        level[r.part] = np.frombuffer(r.levels, np.uint8)
+    copies = common.cut(sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select("row"))
+    tokens = common.map_arrow(narrow.select("row", "text"), _prefix_step(spark.sparkContext.broadcast(level.reshape(-1)), size, similarity), "token int, row long, n int, at int").join(copies, "row", "left_anti")
+    together = Window.partitionBy("token")
+    shared_by = tokens.withColumn("c", F.count("*").over(together)).withColumn("head", F.min(F.struct("at", "row", "n")).over(together)).where("c > 1").drop("c")
+    shared_by = common.staged(shared_by, "dedup-tokens")
+
+    def possible(na, nb, at_a, at_b):
+        return F.least(na - at_a, nb - at_b) * (1 + similarity) >= similarity * (na + nb) - 1e-9
+
+    def alike(pairs):
+        """Those of the pairs that link."""
+        pairs = common.cut(pairs.distinct())
+        wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        own = common.staged(common.map_arrow(narrow.join(wanted, "row", "left_semi").select("row", "text"), _sets_step(size), "row long, shingles array<long>"), "dedup-sets")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+        return common.cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+    values = classes.select(F.col("row").alias("node"), F.col("rank").alias("value"))
+    to_heads = shared_by.where((F.col("row") != F.col("head.row")) & possible(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at")))
+    first = alike(to_heads.select(F.least("row", "head.row").alias("a"), F.greatest("row", "head.row").alias("b")))
+    groups = components(first, values).select(F.col("node").alias("row"), F.col("value.row").alias("group"))
+    grouped = shared_by.select("token", "row", "n", "at").join(groups, "row", "left").withColumn("group", F.coalesce("group", "row"))
+    several = grouped.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("token")
+    grouped = common.staged(grouped.join(several, "token", "left_semi"), "dedup-apart")
+    x, y = grouped.alias("x"), grouped.alias("y")
+    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
+    second = alike(apart.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")))
+    found = components(first.union(second), values)
     lost = found.where("value.row <> node").select(F.col("node").alias("__row"))
-    copies = sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select(F.col("row").alias("__row"))
     return base.join(lost.union(copies), "__row", "left_anti").drop("__row")

@@ -101,6 +101,44 @@ def test_near_copies_keep_one(spark, docs):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(8)
+    said = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    centre = said(204)
+    rows = [(5000, " ".join(centre))]
+    for i in range(1000):  # a star: 0.82 like the centre, 0.68 like each other
+        words = list(centre)
+        for k in range(4):
+            words[51 * k + rng.randrange(5, 46)] = f"n{i}-{k}"
+        rows.append((i, " ".join(words)))
+    passage = said(40)
+    for i in range(150):  # short texts, and texts that share a passage, with up to three edits
+        words = said(rng.randint(5, 30)) + passage[: rng.choice([0, 0, 20, 40])]
+        for j in range(rng.randint(1, 6)):
+            edited = list(words)
+            for _ in range(rng.randint(0, 3)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+            rows.append((10000 + 10 * i + j, " ".join(edited)))
+    sets = [frozenset(hashed(t, 5)) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
 def test_shards_round_trip(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/shards"
     path = public_tokenizers.path("byte_bpe_50k.json")
