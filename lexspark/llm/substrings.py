@@ -19,8 +19,9 @@ another. Texts are UTF-8 bytes, null ones empty; matches never cross documents.
    `size` bytes with a neighbour: the repeated strings.
 
 Work and memory follow the input: groups pass as streams or in chunks of CHUNK bytes; pieces around one
-anchor that are more than HEAVY go another exact way, by counts of their strings' 128-bit hashes, as DataFrame
-aggregation, so that no task holds a group. Repeated rows are copies of each other. Rows with null
+anchor that share a core with more than HEAVY go another exact way, by counts of their strings' 128-bit
+hashes, as DataFrame aggregation, so that no task holds a group. Pieces that share any core with one of those
+go both ways, so every two pieces of a core meet on one of them. Repeated rows are copies of each other. Rows with null
 identifiers are treated like others. Only the two named columns are read; empty tables give empty results.
 """
 
@@ -309,10 +310,10 @@ def _fetch_step(batches):
         out = []
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            out += [(r["anchor"], r["k1"], r["k2"], r["first"], data[r["first"] : r["first"] + r["length"]], r["heavy"]) for r in asked]
+            out += [(r["anchor"], r["k1"], r["k2"], r["first"], data[r["first"] : r["first"] + r["length"]], r["heavy"], r["light"]) for r in asked]
         if out:
             c = list(zip(*out, strict=True))
-            yield common.arrow_batch(anchor=pa.array(c[0], pa.int64()), k1=pa.array(c[1], pa.int64()), k2=pa.array(c[2], pa.int64()), first=pa.array(c[3], pa.int64()), bytes=pa.array(c[4], pa.binary()), heavy=pa.array(c[5], pa.bool_()))
+            yield common.arrow_batch(anchor=pa.array(c[0], pa.int64()), k1=pa.array(c[1], pa.int64()), k2=pa.array(c[2], pa.int64()), first=pa.array(c[3], pa.int64()), bytes=pa.array(c[4], pa.binary()), heavy=pa.array(c[5], pa.bool_()), light=pa.array(c[6], pa.bool_()))
 
 
 def _strings_step(size: int):
@@ -364,18 +365,25 @@ def repeated_spans(docs: DataFrame, size: int = 200, heavy: int = HEAVY) -> Data
     cores = [half(c) for c in ("cores0", "cores1") for half in (lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))]
     sided = mixed.select("*", F.explode(F.array(*[F.struct(F.lit(j).alias("side"), c.alias("part")) for j, c in enumerate(cores)])).alias("s")).select("anchor", "content", "k1", "k2", "place", "s.side", "s.part").where("part <> 0")
     partnered = sided.groupBy("anchor", "side", "part").agg(F.count("*").alias("n")).where("n > 1")
-    asked = sided.join(partnered, ["anchor", "side", "part"]).groupBy("anchor", "content").agg(F.min(F.struct("k1", "k2", "place")).alias("p"), F.max("n").alias("n"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
+    partnered = common.cut(partnered)
+    cored = sided.join(partnered, ["anchor", "side", "part"]).withColumn("touched", F.lit(False))
+    heavies = partnered.where(F.col("n") > heavy)
+    if not heavies.isEmpty():
+        hot = sided.join(heavies, ["anchor", "side", "part"], "left_semi").select("anchor", "content").distinct()
+        touched = sided.join(hot, ["anchor", "content"], "left_semi").select("anchor", "side", "part").distinct()
+        cored = cored.drop("touched").join(touched.withColumn("touched", F.lit(True)), ["anchor", "side", "part"], "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
+    asked = cored.groupBy("anchor", "content").agg(F.min(F.struct("k1", "k2", "place")).alias("p"), F.max("n").alias("n"), F.max("touched").alias("touched"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
     # of a piece, what the strings of classes with partners span
     step = core_step(size)
     start, anchor_at, length = F.shiftright("p.place", 24), F.shiftright("p.place", 12).bitwiseAND(F.lit(4095)), F.col("p.place").bitwiseAND(F.lit(4095))
     skip = F.greatest(F.lit(0), anchor_at - (F.col("last_side") + 1) * step)
     stop = F.least(length, anchor_at - F.col("first_side") * step + size)
-    asked = common.cut(asked.select("anchor", "p.k1", "p.k2", (start + skip).alias("first"), (stop - skip).alias("length"), (F.col("n") > heavy).alias("heavy")).where(F.col("length") >= size))
-    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "k1", "k2", "first", "length", "heavy")).alias("asked"))  # no more than a text has pieces
+    asked = common.cut(asked.select("anchor", "p.k1", "p.k2", (start + skip).alias("first"), (stop - skip).alias("length"), F.col("touched").alias("heavy"), (F.col("n") <= heavy).alias("light")).where(F.col("length") >= size))
+    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "k1", "k2", "first", "length", "heavy", "light")).alias("asked"))  # no more than a text has pieces
     once = docs.select("k1", "k2", "text").where(F.octet_length("text") >= size).join(by_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    fetched = common.map_arrow(once.select("text", "asked"), _fetch_step, "anchor long, k1 long, k2 long, first long, bytes binary, heavy boolean")
+    fetched = common.map_arrow(once.select("text", "asked"), _fetch_step, "anchor long, k1 long, k2 long, first long, bytes binary, heavy boolean, light boolean")
     fetched = common.staged(fetched, "substring-bytes")
-    light = fetched.where(~F.col("heavy")).repartition("anchor").sortWithinPartitions("anchor")
+    light = fetched.where("light").repartition("anchor").sortWithinPartitions("anchor")
     merged = common.map_arrow(light.select("anchor", "k1", "k2", "first", "bytes"), _merge_step(size), MARKS)
     marks = whole.union(merged)
     crowded = fetched.where("heavy")

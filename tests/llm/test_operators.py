@@ -257,6 +257,28 @@ def test_substrings_against_counts(spark, docs):
     assert substrings.remove(empty(spark)).count() == 0
 
 
+def test_substrings_where_a_heavy_core_splits_an_anchor(spark):
+    rng = random.Random(3)
+    size = 60
+    said = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for _ in range(12):  # many texts share a passage, a few share what stands before it and part of it
+        passage, before = said(70), [said(80) for _ in range(4)]
+        rows += [said(80) + passage + said(80) for _ in range(8)]
+        rows += [b + passage[: rng.randint(20, 60)] + said(80) for b in before]
+        rows += [b + passage + said(80) for b in before]
+    rows = list(enumerate(rows))
+    seen = collections.Counter(t[k : k + size] for _, t in rows for k in range(len(t) - size + 1))
+    expected = []
+    for i, t in rows:
+        gone = {x for k in range(len(t) - size + 1) if seen[t[k : k + size]] > 1 for x in range(k, k + size)}
+        expected.append((i, len(gone)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for heavy in (2, 6):
+        got = substrings.remove(table, size, heavy=heavy).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == expected
+
+
 def test_merged_transforms_find_repeats():
     rng = random.Random(2)
     for _ in range(20):
