@@ -13,19 +13,20 @@ TRAINED documents of either answer at most. Counts of vote patterns and scores c
 A null or empty text gets no vote but abstentions and the scorer's bias, and is kept unless that is high.
 Labels of null identifier or null value are left out; of several labels of one document the highest
 counts. Without labels the learnt lists are empty. Repeated documents are scored each on its own; an empty
-table gives an empty result.
+table gives an empty result. A column `verdict` of the input gives way to the new one.
+
+Texts pass in slices. A slice is split once into numbers of its distinct tokens, all that is asked of a token
+is asked once for each distinct one, by column operations, and sums by document are counts over those
+numbers; nothing is remembered from slice to slice.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import zlib
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm import common
@@ -39,113 +40,110 @@ SHAPES = 8.0
 CUT = 0.5
 ABSTAIN, NO, YES = 0, 1, 2
 #: Insults of everyday English that need no labels.
-INSULTS = frozenset("idiot idiots moron morons stupid dumb scum loser losers pathetic worthless disgusting trash clown filth imbecile".split())
+INSULTS = pa.array("idiot idiots moron morons stupid dumb scum loser losers pathetic worthless disgusting trash clown filth imbecile".split())
 _EDGE = ".,!?;:\"'()[]{}"
-_CACHE = 300_000
+_SYMBOLS = r"[$%&*#~^=<>@!]"
+_RUN = r"[^\p{L}\p{N}_\s]{2}"
+_BARS = pa.array(["|", "-", "*"])
+#: Shares of a text that speak of a defect, and below which there is no trace of it; see Tokens.statistics.
+MUCH, FEW = np.array((0.08, 0.3, 0.1, 0.3, 0.2)), np.array((0.03, 0.15, 0.02, 0.08, 0.05))
+STEPS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.4)
+#: Lengths of the stems of a word.
+STEMS = (4, 5)
+
 
+def shapes_of(tokens: pa.Array) -> pa.Array:
+    """Tokens' kinds of character, runs put together: `Ab,` gives `Aa,`."""
+    for pattern, kind in ((r"\p{Nd}+", "0"), (r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a")):
+        tokens = pc.replace_substring_regex(tokens, pattern, kind)
+    return pc.utf8_slice_codeunits(tokens, 0, 8)
 
-def shape_of(token: str) -> str:
-    """A token's kinds of character, runs put together: `Ab,` gives `Aa,`."""
-    if token.isascii():  # the common shapes without a look at each character
-        body, last = (token, "") if token.isalpha() else (token[:-1], token[-1:])
-        if body.isalpha() and not last.isalnum():
-            if body.islower():
-                return "a" + last
-            if body[0].isupper() and body[1:].islower():
-                return "Aa" + last
-    out = []
-    for c in token:
-        k = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:8])
 
+def words_of(tokens: pa.Array) -> pa.Array:
+    return pc.utf8_trim(pc.utf8_lower(tokens), _EDGE)
 
-def stems(word: str) -> list[str]:
-    return [f"{n}:{word[:n]}" for n in (4, 5) if len(word) >= n]
 
+def stems_of(words: pa.Array, n: int) -> pa.Array:
+    """The first n letters of words that have so many, else null."""
+    return pc.if_else(pc.greater_equal(pc.utf8_length(words), n), pc.utf8_slice_codeunits(words, 0, n), None)
 
-_SYMBOLS = "$%&*#~^=<>@!"
-_RUN = re.compile(r"[^\w\s]{2}")
-#: Shares of a text that speak of a defect, and below which there is no trace of it; see statistics_of.
-MUCH, FEW = (0.08, 0.3, 0.1, 0.3, 0.2), (0.03, 0.15, 0.02, 0.08, 0.05)
 
+def flags(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
-def marks_of(token: str) -> tuple[bool, bool]:
-    """(in upper case, with a run of marks)."""
-    return token.isupper() and len(token) > 2, not token.isalpha() and _RUN.search(token) is not None
 
+def coded(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(distinct values, the number of each row's)."""
+    c = column.dictionary_encode()
+    return c.dictionary, c.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-class Remembered(dict):
-    """What a function says of tokens, up to _CACHE of them."""
 
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
+class Tokens:
+    """Texts as numbers of distinct tokens."""
 
-    def __missing__(self, token):
-        if len(self) >= _CACHE:
-            self.clear()
-        found = self[token] = self.function(token)
-        return found
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "")
+        lists = pc.utf8_split_whitespace(texts)
+        words = lists.flatten()
+        full = pc.not_equal(words, "")  # white space at either end gives empty ones
+        self.docs = len(texts)
+        self.doc = np.repeat(np.arange(self.docs), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[flags(full)]
+        self.tokens, self.code = coded(words.filter(full))
+        self.chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        self.pair_doc, self.pair_token = self.pairs(self.doc, self.code, len(self.tokens))
+        self.n = self.count(self.doc)
+        self.distinct = self.count(self.pair_doc)
 
+    @staticmethod
+    def pairs(doc: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(doc * max(1, size) + code)
+        return both // max(1, size), both % max(1, size)
 
-_marks = Remembered(marks_of)
+    def count(self, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(doc, weights, minlength=self.docs)
 
+    def holding(self, marked: np.ndarray) -> np.ndarray:
+        """By document the number of distinct tokens that are marked."""
+        return self.count(self.pair_doc[marked[self.pair_token]])
 
-def statistics_of(text: str) -> tuple[set[str], tuple[float, ...]]:
-    """(distinct tokens; shares of symbols among characters, of upper-case tokens, of bars and bullets, of
-    tokens with runs of marks, of tokens that repeat the one before)."""
-    tokens = text.split()
-    if not tokens:
-        return set(), (0.0,) * len(MUCH)
-    n, distinct = len(tokens), set(tokens)
-    upper = odd = 0
-    for u, o in map(_marks.__getitem__, distinct):
-        upper += u
-        odd += o
-    bars = tokens.count("|") + tokens.count("-") + tokens.count("*")
-    again = sum(map(str.__eq__, tokens, tokens[1:]))
-    symbols = sum(map(text.count, _SYMBOLS)) / max(1, len(text) - n + 1)
-    return distinct, (symbols, upper / len(distinct), bars / n, odd / len(distinct), again / n)
+    def statistics(self) -> np.ndarray:
+        """By document the shares of symbols among characters, of upper-case tokens, of bars and bullets, of
+        tokens with runs of marks, of tokens that repeat the one before."""
+        upper = flags(pc.and_(pc.utf8_is_upper(self.tokens), pc.greater(pc.utf8_length(self.tokens), 2)))
+        odd = flags(pc.match_substring_regex(self.tokens, _RUN))
+        bars = flags(pc.is_in(self.tokens, value_set=_BARS))
+        symbols = flags(pc.count_substring_regex(self.tokens, _SYMBOLS))
+        again = (self.code[1:] == self.code[:-1]) & (self.doc[1:] == self.doc[:-1])
+        n, distinct = np.maximum(1, self.n), np.maximum(1, self.distinct)
+        sums = (self.count(self.doc, symbols[self.code]) / np.maximum(1, self.chars - self.n + 1), self.holding(upper) / distinct, self.count(self.doc[bars[self.code]]) / n, self.holding(odd) / distinct, self.count(self.doc[1:][again]) / n)
+        return np.stack(sums, axis=1)
 
 
 class Labellers:
-    """Votes on one text; lists: the four learnt ones."""
+    """Votes on texts; lists: the four learnt ones."""
 
-    def __init__(self, lists: dict[str, frozenset], gold: dict[int, tuple[int, int]]):
+    def __init__(self, lists: dict[str, list], gold: dict[int, tuple[int, int]]):
         self.lists, self.gold = lists, gold
-        self.tokens = Remembered(self._facts)
 
-    def __getstate__(self):
-        return {"lists": self.lists, "gold": self.gold}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
-    def _facts(self, token: str) -> tuple[bool, int]:
-        """(shape is listed, bits of the word: an insult, listed, of a listed stem)."""
-        word = token.lower().strip(_EDGE)
-        known = self.lists["stems"]
-        return shape_of(token) in self.lists["shapes"], (word in INSULTS) | (word in self.lists["words"]) << 1 | any(x in known for x in stems(word)) << 2
-
-    def votes(self, doc_id: int | None, text: str) -> tuple[int, int]:
-        """(pattern on low quality, pattern on toxic), each in base three."""
-        gold = self.gold.get(doc_id)
-        distinct, stats = statistics_of(text)
-        low = [ABSTAIN if x < most else YES for x, most in zip(stats, MUCH, strict=True)]
+    def votes(self, doc_ids: list, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(patterns on low quality, patterns on toxic), each in base three."""
+        t = Tokens(texts)
+        stats, some = t.statistics(), t.n > 0
+        known = {k: pa.array(v, pa.string()) for k, v in self.lists.items()}
+        words = words_of(t.tokens)
+        share = t.holding(flags(pc.is_in(shapes_of(t.tokens), value_set=known["shapes"]))) / np.maximum(1, t.distinct)
+        low = [np.where(stats[:, i] >= MUCH[i], YES, ABSTAIN) for i in range(len(MUCH))]
         # a text without a trace of these defects is evidence the other way; one defect's absence isn't
-        low.append(NO if distinct and all(x < few for x, few in zip(stats, FEW, strict=True)) else ABSTAIN)
-        listed = hits = 0
-        for shape, bits in map(self.tokens.__getitem__, distinct):
-            listed += shape
-            hits |= bits
-        share = listed / max(1, len(distinct))
-        low.append(YES if share > 0.2 else NO if distinct and share < 0.02 and max(stats) < 0.1 else ABSTAIN)
-        toxic = [YES if hits >> i & 1 else NO for i in range(3)] if distinct else [ABSTAIN] * 3
-        low.append(ABSTAIN if gold is None else YES if gold[0] else NO)
-        toxic.append(ABSTAIN if gold is None else YES if gold[1] else NO)
-        return sum(v * 3**i for i, v in enumerate(low)), sum(v * 3**i for i, v in enumerate(toxic))
+        low.append(np.where(some & (stats < FEW).all(axis=1), NO, ABSTAIN))
+        low.append(np.where(share > 0.2, YES, np.where(some & (share < 0.02) & (stats.max(axis=1, initial=0) < 0.1), NO, ABSTAIN)))
+        stem = np.zeros(len(words), bool)
+        for n in STEMS:
+            stem |= flags(pc.is_in(pc.binary_join_element_wise(f"{n}", stems_of(words, n), ":"), value_set=known["stems"]))
+        toxic = [np.where(some, np.where(t.holding(x) > 0, YES, NO), ABSTAIN) for x in (flags(pc.is_in(words, value_set=INSULTS)), flags(pc.is_in(words, value_set=known["words"])), stem)]
+        gold = [self.gold.get(i) for i in doc_ids]
+        for k, votes in enumerate((low, toxic)):
+            votes.append(np.array([ABSTAIN if g is None else YES if g[k] else NO for g in gold], np.int64))
+        return tuple(sum((v.astype(np.int64) * 3**i for i, v in enumerate(votes)), np.zeros(t.docs, np.int64)) for votes in (low, toxic))
 
 
 LOW_VOTES, TOXIC_VOTES = 8, 4
@@ -172,30 +170,50 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
     return post, chance
 
 
-def bucket_features(stats: tuple[float, ...]) -> list[int]:
-    """Hashed names of the statistics' steps."""
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(b"b:%d:%d" % (i, int(np.searchsorted(STEPS, x, side="right")))) & mask for i, x in enumerate(stats)]
+def hashed(column: pa.Array, kind: str) -> np.ndarray:
+    """Places of features in the scorers' weights."""
+    values = column.to_numpy(zero_copy_only=False).astype(object)
+    return (pd.util.hash_array(values, hash_key=kind.ljust(16, "."), categorize=False) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-STEPS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.4)
+def step_places() -> np.ndarray:
+    """[statistic, step] places of the statistics' steps."""
+    names = [f"{i}:{k}" for i in range(len(MUCH)) for k in range(len(STEPS) + 1)]
+    return hashed(pa.array(names), "steps").reshape(len(MUCH), -1)
 
 
-def features(text: str) -> tuple[list[int], list[int]]:
-    """(hashed steps of the statistics, then shapes of the distinct tokens; hashed words and stems of the
-    distinct words)."""
-    mask = (1 << BITS) - 1
-    distinct, stats = statistics_of(text)
-    low = bucket_features(stats) + [zlib.crc32(b"s:" + shape_of(t).encode("utf-8", "surrogatepass")) & mask for t in distinct]
-    toxic = []
-    for w in {t.lower().strip(_EDGE) for t in distinct}:
-        toxic += word_features(w)
-    return low, toxic
+def steps_of(stats: np.ndarray) -> np.ndarray:
+    return np.searchsorted(STEPS, stats, side="right")
 
 
-def word_features(word: str) -> list[int]:
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(s.encode("utf-8", "surrogatepass")) & mask for s in ["w:" + word, *stems(word)]]
+def word_places(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of words, places): each word's own feature and those of its stems."""
+    number, places = [np.arange(len(words))], [hashed(words, "word")]
+    for n in STEMS:
+        stems = stems_of(words, n)
+        long = np.flatnonzero(flags(stems.is_valid()))
+        number.append(long)
+        places.append(hashed(stems.drop_null(), f"stem {n}"))
+    return np.concatenate(number), np.concatenate(places)
+
+
+def features(texts: pa.Array) -> tuple[list, list]:
+    """For each text (places of the statistics' steps, then of the shapes of the distinct tokens; places of
+    the distinct words and their stems)."""
+    t = Tokens(texts)
+    steps = step_places()[np.arange(len(MUCH)), steps_of(t.statistics())]
+    shape = hashed(shapes_of(t.tokens), "shape")
+    cuts = np.cumsum(t.distinct)[:-1]
+    low = [np.concatenate(x) for x in zip(steps, np.split(shape[t.pair_token], cuts), strict=True)]
+    words, word = coded(words_of(t.tokens))
+    doc, word = t.pairs(t.pair_doc, word[t.pair_token], len(words))
+    number, places = word_places(words)
+    order = np.argsort(number, kind="stable")
+    begins = np.searchsorted(number[order], np.arange(len(words) + 1))
+    of_word = np.split(places[order], begins[1:-1]) if len(words) else []
+    ends = np.searchsorted(doc, np.arange(t.docs + 1))
+    none = np.zeros(0, np.int64)
+    return low, [np.concatenate([none, *(of_word[w] for w in word[a:b])]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def train(rows: pa.Table | None, mean: bool, rounds: int = 80) -> tuple[np.ndarray, float]:
@@ -236,47 +254,48 @@ def train(rows: pa.Table | None, mean: bool, rounds: int = 80) -> tuple[np.ndarr
 class Scorer:
     def __init__(self, low: tuple[np.ndarray, float], toxic: tuple[np.ndarray, float]):
         self.low, self.toxic = low, toxic
-        mask = (1 << BITS) - 1
-        self.tokens = Remembered(lambda t: (float(low[0][zlib.crc32(b"s:" + shape_of(t).encode("utf-8", "surrogatepass")) & mask]), t.lower().strip(_EDGE)))
-        self.words = Remembered(lambda w: float(sum(toxic[0][i] for i in word_features(w))))
-
-    def __getstate__(self):
-        return {"low": self.low, "toxic": self.toxic}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
 
-    def score(self, text: str) -> tuple[float, float]:
-        low = 0.0
-        distinct, stats = statistics_of(text)
-        words = set()
-        for weight, word in map(self.tokens.__getitem__, distinct):
-            low += weight
-            words.add(word)
-        toxic = sum(map(self.words.__getitem__, words)) + self.toxic[1]
-        low = low * SHAPES / max(1, len(distinct)) + float(sum(self.low[0][i] for i in bucket_features(stats))) + self.low[1]
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, low)))), 1 / (1 + math.exp(-min(30.0, max(-30.0, toxic))))
-
-
-def _learn_lists(labelled: DataFrame) -> dict[str, frozenset]:
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """[text, (low quality, toxic)] probabilities."""
+        t = Tokens(texts)
+        shapes, shape = coded(shapes_of(t.tokens))
+        shape_weight = self.low[0][hashed(shapes, "shape")][shape]
+        low = t.count(t.pair_doc, shape_weight[t.pair_token]) * SHAPES / np.maximum(1, t.distinct)
+        low += self.low[0][step_places()[np.arange(len(MUCH)), steps_of(t.statistics())]].sum(axis=1) + self.low[1]
+        words, word = coded(words_of(t.tokens))
+        number, places = word_places(words)
+        word_weight = np.bincount(number, self.toxic[0][places], minlength=len(words))
+        heavy = np.flatnonzero(word_weight)  # most words weigh nothing
+        rank = np.full(len(words), -1)
+        rank[heavy] = np.arange(len(heavy))
+        of_pair = rank[word][t.pair_token]
+        doc, at = t.pairs(t.pair_doc[of_pair >= 0], of_pair[of_pair >= 0], len(heavy))
+        toxic = t.count(doc, word_weight[heavy[at]]) + self.toxic[1]
+        return 1 / (1 + np.exp(-np.clip(np.stack((low, toxic), axis=1), -30, 30)))
+
+
+def _learn_lists(labelled: DataFrame) -> dict[str, list]:
     """Words, stems and shapes that almost only documents of the one kind hold."""
 
     def step(batches):
         for batch in common.slices(batches):
-            counts: dict[tuple, list] = {}
-            for text, low, toxic in zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                distinct = set(text.split())
-                words = {t.lower().strip(_EDGE) for t in distinct}
-                for kind, found, yes in (("shapes", {shape_of(t) for t in distinct}, low), ("words", words, toxic), ("stems", {s for w in words for s in stems(w)}, toxic)):
-                    for x in found:
-                        c = counts.setdefault((kind, x), [0, 0])
-                        c[1 if yes else 0] += 1
-            keys = list(counts)
-            yield common.arrow_batch(kind=pa.array([k[0] for k in keys], pa.string()), item=pa.array([k[1] for k in keys], pa.string()), no=pa.array([counts[k][0] for k in keys], pa.int64()), yes=pa.array([counts[k][1] for k in keys], pa.int64()))
+            t = Tokens(batch.column("text"))
+            words = words_of(t.tokens)
+            stems = [pc.binary_join_element_wise(f"{n}", stems_of(words, n), ":") for n in STEMS]
+            for kind, items, answer in (("shapes", shapes_of(t.tokens), "low"), ("words", words, "toxic"), *(("stems", s, "toxic") for s in stems)):
+                yes = batch.column(answer).to_numpy(zero_copy_only=False) > 0
+                valid = flags(items.is_valid())
+                found, number = coded(items.drop_null())
+                at = np.full(len(items), -1)
+                at[valid] = number
+                at = at[t.pair_token]
+                doc, item = t.pairs(t.pair_doc[at >= 0], at[at >= 0], len(found))
+                counts = [np.bincount(item[yes[doc] == side], minlength=len(found)) for side in (False, True)]
+                yield common.arrow_batch(kind=pa.array([kind] * len(found), pa.string()), item=found, no=pa.array(counts[0], pa.int64()), yes=pa.array(counts[1], pa.int64()))
 
     found = common.map_arrow(labelled, step, "kind string, item string, no long, yes long").groupBy("kind", "item").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     rows = found.where((F.col("yes") >= F.when(F.col("kind") == "stems", 8).otherwise(6)) & (F.col("yes") >= 30 * F.col("no")) & (F.length("item") > 0)).collect()  # bounded by LABELLED
-    return {kind: frozenset(r.item for r in rows if r.kind == kind) for kind in ("shapes", "words", "stems")}
+    return {kind: sorted(r["item"] for r in rows if r.kind == kind) for kind in ("shapes", "words", "stems")}
 
 
 SCHEMA = "low_quality double, toxic double, keep boolean"
@@ -289,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = given.groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
     spark = docs.sparkSession
     gold = {r.doc_id: (r.low, r.toxic) for r in sample}
-    lists = {k: frozenset() for k in ("shapes", "words", "stems")}
+    lists: dict[str, list] = {k: [] for k in ("shapes", "words", "stems")}
     if sample:
         chosen = spark.createDataFrame([(i, *v) for i, v in gold.items()], "doc_id long, low int, toxic int")
         lists = _learn_lists(narrow.join(F.broadcast(chosen), "doc_id"))  # LABELLED rows at most
@@ -298,15 +317,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def vote(batches):
         own = labellers.value
         for batch in common.slices(batches):
-            votes = [own.votes(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield common.arrow_batch(doc_id=batch.column("doc_id"), low=pa.array([v[0] for v in votes], pa.int64()), toxic=pa.array([v[1] for v in votes], pa.int64()))
+            low, toxic = own.votes(batch.column("doc_id").to_pylist(), batch.column("text"))
+            yield common.arrow_batch(doc_id=batch.column("doc_id"), low=pa.array(low), toxic=pa.array(toxic))
 
     votes = common.cut(common.map_arrow(narrow, vote, "doc_id long, low long, toxic long"))
-    scorers, told = [], {}
-    for name, n, which in (("low", LOW_VOTES, 0), ("toxic", TOXIC_VOTES, 1)):
+    told, chosen = {}, []
+    for which, (name, n) in enumerate((("low", LOW_VOTES), ("toxic", TOXIC_VOTES))):
         counted = votes.groupBy(name).count().collect()  # 3^n patterns at most
         if not counted:
-            scorers.append(train(None, name == "low"))
             continue
         patterns, counts = np.array([r[name] for r in counted]), np.array([r["count"] for r in counted], float)
         post, chance = expectation_maximisation(patterns, counts, n)
@@ -317,18 +335,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for side in (F.col("post") >= 0.5, F.col("post") < 0.5):
             part = known.where(side).orderBy(F.xxhash64("doc_id", F.lit(which)), "doc_id").limit(TRAINED)
             picked = part if picked is None else picked.union(part)
-        chosen = picked.groupBy("doc_id").agg(F.max("post").alias("post")).collect()
+        chosen += [(r.doc_id, which, r.post) for r in picked.groupBy("doc_id").agg(F.max("post").alias("post")).collect()]
+    if not chosen:
+        return Scorer(train(None, True), train(None, False)), told
 
-        def featured(batches, which=which):
-            for batch in common.slices(batches):
-                rows = [features(t)[which] for t in batch.column("text").to_pylist()]
-                yield common.arrow_batch(at=pa.array(rows, pa.list_(pa.int32())), post=batch.column("post"))
+    def featured(batches):
+        for batch in common.slices(batches):
+            both = features(batch.column("text"))
+            which = batch.column("which").to_pylist()
+            yield common.arrow_batch(which=batch.column("which"), at=pa.array([both[w][k] for k, w in enumerate(which)], pa.list_(pa.int32())), post=batch.column("post"))
 
-        train_on = narrow.join(F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, post double")), "doc_id") if chosen else None
-        # limit: identifiers may repeat; order by content, so that the choice doesn't depend on the layout
-        rows = common.map_arrow(train_on.orderBy(F.xxhash64("text"), "doc_id").limit(2 * TRAINED), featured, "at array<int>, post double").toArrow() if chosen else None
-        scorers.append(train(rows, name == "low"))
-    return Scorer(*scorers), told
+    train_on = narrow.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, which int, post double")), "doc_id")
+    # a limit, as identifiers may repeat; the rows of least content hash, so that the choice doesn't depend on the layout
+    least = Window.partitionBy("which").orderBy(F.xxhash64("text"), "doc_id")
+    train_on = train_on.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= 2 * TRAINED).select("text", "which", "post")
+    rows = common.map_arrow(train_on, featured, "which int, at array<int>, post double").toArrow()
+    return Scorer(*(train(rows.filter(pc.equal(rows["which"], w)), w == 0) for w in (0, 1))), told
 
 
 def score(docs: DataFrame, scorer: Scorer, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -339,7 +361,7 @@ def score(docs: DataFrame, scorer: Scorer, *, text_col: str = "text", carry: lis
     def step(batches):
         own = held.value
         for batch in common.slices(batches, text_col):
-            found = np.array([own.score(t or "") for t in batch.column(text_col).to_pylist()]).reshape(-1, 2)
+            found = own.score(batch.column(text_col).cast(pa.string()))
             verdict = pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array((found < CUT).all(axis=1))], ["low_quality", "toxic", "keep"])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), verdict], names=[*carry, "verdict"])
 
