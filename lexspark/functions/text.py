@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as white space at a line's end, and the word pattern.
@@ -20,12 +22,16 @@ def unify_newlines(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"\r\n?", "\n")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is named, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def expand_tabs(line: Column, width: int = TAB_WIDTH) -> Column:
     """Each tab filled up to the next column that `width` divides."""
-    pieces = F.split(line, "\t")
-    start = F.get(pieces, F.lit(0))
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.aggregate(rest, start, lambda done, piece: F.concat(done, F.repeat(F.lit(" "), F.lit(width) - F.length(done) % width), piece))
+    fill = lambda done, piece: F.concat(done, F.repeat(F.lit(" "), F.lit(width) - F.length(done) % width), piece)
+    spread = bind(F.split(line, "\t"), lambda p: F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.get(p, F.lit(0)), fill))
+    return F.when(line.contains("\t"), spread).otherwise(line)
 
 
 def indent_of(line: Column) -> Column:
@@ -33,18 +39,34 @@ def indent_of(line: Column) -> Column:
     return F.length(line) - F.length(F.ltrim(line))
 
 
+def outdent(lines: Column, by: Column) -> Column:
+    """Up to so many leading spaces less on each line."""
+    return F.transform(lines, lambda x: F.substring(x, F.least(by, indent_of(x)) + 1, F.length(x)))
+
+
 def normalize(text: Column | str) -> Column:
     """One normal form of layout: LF only, tabs expanded, no space at line ends, no blank lines at either
-    end, common indentation removed, and a first line that starts at column 0. Nulls stay null."""
+    end, common indentation removed, and a first line that starts at column 0. Nulls stay null. What a line
+    needs to know of the whole text is bound before the lines are gone through, so time follows the length."""
+
+    def filled(lines: Column) -> Column:
+        at = F.transform(lines, lambda x, i: F.when(F.length(x) > 0, i))
+        indents = F.transform(lines, lambda x: F.when(F.length(x) > 0, indent_of(x)))
+        return F.struct(lines.alias("lines"), F.array_min(at).alias("first"), F.array_max(at).alias("last"), F.coalesce(F.array_min(indents), F.lit(0)).alias("common"))
+
+    def within(s: Column) -> Column:
+        some = F.slice(s["lines"], s["first"] + 1, s["last"] - s["first"] + 1)
+        return F.when(s["first"].isNotNull(), outdent(some, s["common"])).otherwise(F.array().cast("array<string>"))
+
     lines = F.transform(F.split(unify_newlines(text), "\n"), lambda x: F.regexp_replace(expand_tabs(x), TRAILING_SPACE, ""))
-    filled = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) > 0, i)), lambda i: i.isNotNull())
-    first, last = F.array_min(filled), F.array_max(filled)
-    lines = F.when(F.size(filled) > 0, F.slice(lines, first + 1, last - first + 1)).otherwise(F.array().cast("array<string>"))
-    common = F.array_min(F.transform(F.filter(lines, lambda x: F.length(x) > 0), indent_of))
-    lines = F.transform(lines, lambda x: F.when(F.length(x) > 0, F.substring(x, F.coalesce(common, F.lit(0)) + 1, F.length(x))).otherwise(x))
-    shift = F.coalesce(indent_of(F.get(lines, F.lit(0))), F.lit(0))
-    lines = F.transform(lines, lambda x: F.substring(x, F.least(shift, indent_of(x)) + 1, F.length(x)))
-    return F.when(col(text).isNotNull(), F.array_join(lines, "\n"))
+    inner = bind(bind(lines, filled), within)
+    shifted = bind(bind(inner, lambda l: F.struct(l.alias("lines"), F.coalesce(indent_of(F.get(l, F.lit(0))), F.lit(0)).alias("by"))), lambda s: outdent(s["lines"], s["by"]))
+    return F.when(col(text).isNotNull(), F.array_join(shifted, "\n"))
+
+
+def non_empty(rows: DataFrame, text: str) -> DataFrame:
+    """Rows whose text is neither null nor white space alone."""
+    return rows.where(F.col(text).isNotNull() & F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def whitespace_flags(text: Column | str) -> dict[str, Column]:
@@ -76,14 +98,16 @@ def squeeze_spaces(text: Column | str) -> Column:
 
 
 def char_ngrams(text: Column | str, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
-    """Character n-grams of each size, runs of white space squeezed first."""
-    t = squeeze_spaces(text)
+    """Character n-grams of each size, runs of white space squeezed first. Characters are told apart once, so
+    time follows the length."""
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
-        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        grams = F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*[of(n) for n in sizes]))
+    chars = F.regexp_extract_all(squeeze_spaces(text), F.lit("(?s)."), F.lit(0))
+    return bind(chars, lambda c: F.flatten(F.array(*[of(c, n) for n in sizes])))
 
 
 def category_slug(label: Column | str, slugs: dict[str, str], default: str = "other") -> Column:
@@ -132,9 +156,17 @@ def token_distance(a: Column, b: Column) -> Column:
 
 
 def bag_distance(a: Column, b: Column) -> Column:
-    """Size of the symmetric difference of two arrays as multisets."""
-    counts = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(F.concat(a, b)), F.lit(0), lambda n, x: n + F.abs(counts(a, x) - counts(b, x)))
+    """Size of the symmetric difference of two arrays as multisets: a sum over the runs of equal tokens of
+    both arrays put together and sorted."""
+    side = lambda tokens, d: F.transform(tokens, lambda x: F.struct(x.alias("t"), F.lit(d).alias("d")))
+    state = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["last"] == x["t"]
+        return state(x["t"], F.when(same, s["run"] + x["d"]).otherwise(x["d"]), s["total"] + F.when(same, 0).otherwise(F.abs(s["run"])))
+
+    start = state(F.lit(None).cast("string"), F.lit(0), F.lit(0))
+    return F.aggregate(F.array_sort(F.concat(side(a, -1), side(b, 1))), start, step, lambda s: s["total"] + F.abs(s["run"]))
 
 
 def edit_distance(a: Column, b: Column, most: int = 3000) -> tuple[Column, Column]:

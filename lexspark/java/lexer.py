@@ -1,4 +1,8 @@
-"""A lexer whose tokens' texts join to the source; it never fails."""
+"""A lexer whose tokens' texts join to the source; it never fails.
+
+A number runs on over letters, digits and dots, and over the sign of an exponent unless it begins with 0. A
+string or character ends at its quote, at the line's end, or with the source; a backslash takes what follows
+along. White space is ASCII. Operators are single characters."""
 
 from __future__ import annotations
 
@@ -15,11 +19,11 @@ from lexspark.operators.vocabulary import JAVA_KEYWORDS
 KINDS = ("comment", "string", "char", "number", "ident", "ws", "op", "other")
 _TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
-      |(?P<string>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|"(?:\\[^\n]|[^"\\\n])*(?:"|\\?(?=\n)|\\?\Z))
-      |(?P<char>'(?:\\[^\n]|[^'\\\n])*(?:'|\\?(?=\n)|\\?\Z))
-      |(?P<number>[0-9][A-Za-z0-9_$]*(?:\.[0-9][A-Za-z0-9_$]*)?)
+      |(?P<string>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\\?\Z)|"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\\?\Z))
+      |(?P<char>'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\\?\Z))
+      |(?P<number>0[A-Za-z0-9_$.]*|(?:[1-9]|\.(?=[0-9]))(?:[eE][-+]|[A-Za-z0-9_$.])*)
       |(?P<ident>[A-Za-z_$][A-Za-z0-9_$]*)
-      |(?P<ws>\s+)
+      |(?P<ws>[ \t\n\r\f\v]+)
       |(?P<op>[-+*/%=<>!&|^~?:;,.(){}\[\]@])
       |(?P<other>.)""",
     re.S | re.X,
@@ -64,6 +68,16 @@ def rename_report(source: str, mapping: dict[str, str]) -> dict:
 TOKENS = "array<struct<kind:string,text:string,start:int,end:int>>"
 
 
+def count_column(source: Column | str) -> Column:
+    """Number of code tokens, neither white space nor comments, of a column of sources, in Arrow batches."""
+
+    @F.pandas_udf("long")
+    def counted(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda s: len(code_tokens(s)) if s is not None else None).astype("Int64")
+
+    return counted(source)
+
+
 def tokens_column(source: Column | str) -> Column:
     """Tokens of a column of sources, in Arrow batches."""
 

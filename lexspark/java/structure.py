@@ -343,23 +343,22 @@ def labels_column(source: Column | str) -> Column:
 
 def extract_methods(source: str, every_key: bool = True) -> list[tuple[str, str]]:
     """(key, text) of methods: `Class.name` of the innermost class; with every_key also the full path, and
-    the bare name where it is unambiguous. Of overloads the last counts."""
-    unit = parse(source)
+    the bare name if one body in the file has it. Of overloads the last counts."""
     out: dict[str, str] = {}
-    bare: dict[str, set[str]] = {}
-    for m in unit.methods:
+    bodies: dict[str, list[str]] = {}
+    for m in parse(source).methods:
         if not m.name:
             continue
         text = source[m.start : m.end]
-        key = ".".join((*m.owners[-1:], m.name))
-        out[key] = text
-        bare.setdefault(m.name, set()).add(".".join((*m.owners, m.name)))
-        if every_key:
-            out[".".join((*m.owners, m.name))] = text
+        bodies.setdefault(m.name, []).append(text)
+        if m.owners:
+            out[f"{m.owners[-1]}.{m.name}"] = text
+            if every_key:
+                out[".".join((*m.owners, m.name))] = text
+        elif not every_key:
+            out[m.name] = text
     if every_key:
-        for m in unit.methods:
-            if m.name and len(bare[m.name]) == 1:
-                out[m.name] = source[m.start : m.end]
+        out |= {name: found[0] for name, found in bodies.items() if len(found) == 1 and name not in out}
     return list(out.items())
 
 

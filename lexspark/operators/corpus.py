@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions import text as T
+
 
 def conflicting_keys(rows: DataFrame, key: str | Column, label: str) -> DataFrame:
     """(key, n_labels, n_rows) of keys that carry more than one label."""
@@ -31,6 +35,17 @@ def only_conflicts(rows: DataFrame, key: str, label: str) -> DataFrame:
     return rows.join(bad, key, "left_semi")
 
 
+def prepare(rows: DataFrame, key: str, text: str, label: str, tokens: Callable[[str], Column] | None = None) -> DataFrame:
+    """The prepared corpus: texts in normal form, none empty, none with two labels, each once (the row of least
+    key); with uid, n_chars, n_lines and n_tokens. tokens: a text column to its number of tokens, by default
+    the number of words."""
+    count = tokens or (lambda c: F.size(T.words(c)))
+    normal = T.non_empty(rows.withColumn("code", T.normalize(text)), "code").withColumns({"__h1": F.xxhash64("code"), "__h2": F.xxhash64(F.lit(1), F.col("code"))})
+    bad = normal.groupBy("__h1", "__h2").agg(F.min(label).alias("__a"), F.max(label).alias("__b")).where("__a <> __b").select("__h1", "__h2")
+    once = keep_first(normal.join(bad, ["__h1", "__h2"], "left_anti"), ["__h1", "__h2"], [key]).drop("__h1", "__h2")
+    return once.withColumns({"uid": T.content_key("code"), "n_chars": F.length("code").cast("bigint"), "n_lines": T.line_count("code"), "n_tokens": count("code").cast("bigint")})
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in the given order, by partial aggregation rather than a window: a hot
     key never gathers in one task."""
@@ -98,6 +113,11 @@ def hold_out(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return left
 
 
+def audit_join(audit: DataFrame, facts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(audited rows with their facts, keys of those that have none)."""
+    return audit.join(facts, key), audit.join(facts, key, "left_anti").select(key)
+
+
 def both_sides(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Full outer join that tells which side is missing."""
     a = before.withColumn("__a", F.lit(1))

@@ -12,6 +12,13 @@ def first_claim(p: Column, mean_diff: Column, alpha: float = ALPHA) -> Column:
     return (p < alpha) & (mean_diff > 0)
 
 
+def framings(tests: dict[str, dict[str, Column]], primary: str, alpha: float = ALPHA) -> dict[str, Column]:
+    """Whether each framing of the first claim holds, and as `first` whether the primary one does. tests: for
+    each framing what metrics.paired_test gives."""
+    out = {name: F.coalesce(first_claim(t["p"], t["mean_diff"], alpha), F.lit(False)) for name, t in tests.items()}
+    return {**out, "first": out[primary]}
+
+
 def second_claim(own_mean: Column, other_mean: Column) -> Column:
     return own_mean > other_mean
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,12 @@ def layers(vectors: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     return vectors.select(key, F.posexplode(vector).alias("i", "value")).select(key, F.floor(F.col("i") / width).cast("bigint").alias("layer"), (F.col("i") % width).cast("bigint").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
-def element_zscore(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Each element scaled over all rows. Counts, sums and squares by position; no window over rows."""
+def element_zscore(vectors: DataFrame, key: str, vector: str, train: Column | None = None) -> DataFrame:
+    """Each element scaled by mean and deviation over all rows, or over the training rows. Counts, sums and
+    squares by position; no window over rows."""
     long = vectors.select(key, F.posexplode(vector).alias("i", "value"))
-    facts = long.groupBy("i").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    fitted = long if train is None else vectors.where(train).select(F.posexplode(vector).alias("i", "value"))
+    facts = fitted.groupBy("i").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     return long.join(F.broadcast(facts), "i").select(key, F.col("i").cast("bigint").alias("i"), F.round((F.col("value") - F.col("m")) / F.nullif("s", F.lit(0.0)), 4).alias("z"))
 
 
@@ -56,6 +59,52 @@ def last_pool(vectors: Column) -> Column:
     return F.try_element_at(vectors, F.lit(-1))
 
 
+def refit(method, rows: DataFrame, key: str, text: str, other: str, train: str, cues: DataFrame | None = None) -> DataFrame:
+    """Features of the rows' other text under what the method fits on the training rows' own text."""
+    name = lambda side: F.concat(F.lit(f"{side}|"), F.col(key).cast("string")).alias("__key")
+    own = rows.where(train).select(name("own"), F.col(text).alias("__text"), F.lit(True).alias("__fit"))
+    moved = rows.select(name("other"), F.col(other), F.lit(False))
+    long = method(own.union(moved), "__key", "__text", "__fit", cues).where(F.col("__key").startswith("other|"))
+    return long.select(F.expr("substring(__key, 7)").cast(rows.schema[key].dataType).alias(key), "token", "weight")
+
+
+def write_layers(vectors: DataFrame, key: str, vector: str, width: int, path: str) -> None:
+    """A table of vectors partitioned by layer: (key, vector, layer), elements clipped to half precision.
+    Written side by side, so that a layer is a folder which a scan can skip."""
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(vector) / width).cast("int") - 1, F.lit(0))), lambda k: F.struct(k.alias("layer"), F.slice(vector, k * width + 1, width).alias("v")))
+    long = vectors.where(F.size(vector) > 0).select(key, F.explode(parts).alias("p")).select(key, clip_half(F.transform("p.v", lambda x: x.cast("double"))).cast("array<float>").alias("vector"), F.col("p.layer").alias("layer"))
+    long.repartition("layer", F.pmod(F.xxhash64(key), F.lit(LAYER_FILES))).write.partitionBy("layer").mode("overwrite").parquet(path)
+
+
+#: Files of a layer.
+LAYER_FILES = 16
+
+
+def read_layer(spark, path: str, layer: int) -> DataFrame:
+    """(key, vector) of one layer; the scan reads that layer's files alone."""
+    return spark.read.parquet(path).where(F.col("layer") == layer).drop("layer")
+
+
+def hidden_states(rows: DataFrame, key: str, text: str, load, schema: str = "array<float>", batch: int = 32) -> DataFrame:
+    """(key, vector) from a model. load() gives a function of a list of texts that returns a list of vectors;
+    it is called once in a worker, at the first batch. Texts go to the model in small batches of like length,
+    and come back under their keys."""
+
+    def step(batches):
+        model = None
+        for rows_ in batches:
+            if model is None:
+                model = load()
+            order = rows_["text"].str.len().sort_values(ascending=False, kind="stable").index
+            for i in range(0, len(order), batch):
+                own = rows_.loc[order[i : i + batch]]
+                yield pd.DataFrame({"key": own["key"].to_numpy(), "vector": [list(map(float, v)) for v in model(own["text"].tolist())]})
+
+    narrow = rows.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    out = narrow.mapInPandas(step, f"key {narrow.schema['key'].dataType.simpleString()}, vector {schema}")
+    return out.withColumnRenamed("key", key)
+
+
 def clip_half(vector: Column) -> Column:
     return F.transform(vector, lambda v: F.least(F.greatest(v, F.lit(-HALF_MOST)), F.lit(HALF_MOST)))
 

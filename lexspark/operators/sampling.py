@@ -3,6 +3,7 @@ generator's state, so any engine can check it."""
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -10,15 +11,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.graph import components
+from lexspark.plans.storage import cut
+
 
 def shuffled(seed: int | str, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+#: Hexadecimal digits of the hash by which rows are dealt to be ranked.
+CELL_DIGITS = 3
+
+
+def hash_ranked(rows: DataFrame, key: str, seed: int | str, *by: str, name: str = "__rank") -> DataFrame:
+    """Adds each row's rank, from 1, in md5 order within `by`. Rows are dealt by the first digits of their
+    hash and ranked there; the counts of lower cells are added, so no task sees more than a cell of a group,
+    whatever the group's size."""
+    dealt = rows.withColumn("__h", shuffled(seed, key)).withColumn("__cell", F.substring("__h", 1, CELL_DIGITS))
+    cells = dealt.groupBy(*by, "__cell").agg(F.count("*").alias("__n"))
+    below = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("__cell").alias("__at"), F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__before"))
+    same = F.col("__cell") == F.col("__at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    inside = Window.partitionBy(*by, "__cell").orderBy("__h", key)
+    return dealt.withColumn("__in", F.row_number().over(inside)).join(before, same).withColumn(name, (F.col("__in") + F.col("__before")).cast("bigint")).select(*rows.columns, name)
+
+
 def within_folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Adds `fold`: rows dealt in turn within each label."""
-    order = Window.partitionBy(label).orderBy(shuffled(seed, key), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("bigint"))
+    return hash_ranked(rows, key, seed, label).withColumn("fold", ((F.col("__rank") - 1) % k).cast("bigint")).drop("__rank")
+
+
+def inner_folds(rows: DataFrame, key: str, label: str, fold: str, k: int = 3, seed: int = 0) -> DataFrame:
+    """For each outer fold its training rows, dealt anew: the rows with `outer` and `inner`."""
+    outer = rows.select(F.col(fold).alias("outer")).distinct()
+    nested = rows.join(F.broadcast(outer), F.col(fold) != F.col("outer"))  # folds are few
+    return hash_ranked(nested, key, seed, "outer", label).withColumn("inner", ((F.col("__rank") - 1) % k).cast("bigint")).drop("__rank")
 
 
 def assign_groups(groups: list[tuple[str, int, int]], k: int, seed: int = 0) -> dict[str, int]:
@@ -41,34 +70,55 @@ def assign_groups(groups: list[tuple[str, int, int]], k: int, seed: int = 0) ->
     return out
 
 
+MOST_GROUPS = 200_000
+
+
 def cross_folds(rows: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """Adds `fold`; no group stands in two folds. Needs one row a group on the driver."""
-    counts = rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.sum(label).alias("p"), F.count("*").alias("n")).collect()
+    """Adds `fold`; no group stands in two folds. The choice for a group depends on those before it, so it is
+    made on the driver, from one row a group: of MOST_GROUPS at most, more are an error."""
+    counts = rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.sum(label).alias("p"), F.count("*").alias("n")).limit(MOST_GROUPS + 1).collect()
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     chosen = assign_groups([(r.g, int(r.p or 0), r.n) for r in counts], k, seed)
     if not chosen:
         return rows.withColumn("fold", F.lit(None).cast("bigint"))
     table = rows.sparkSession.createDataFrame(list(chosen.items()), "__g string, fold long")
-    return rows.join(F.broadcast(table), F.col(group).cast("string").eqNullSafe(F.col("__g"))).drop("__g")
+    return rows.join(table, F.col(group).cast("string").eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def inner_k(k: int, n_pos: int, n_groups: int | None = None) -> int:
     return max(2, min(k, n_pos, *([n_groups] if n_groups is not None else [])))
 
 
-def degenerate_folds(rows: DataFrame, fold: str, label: str) -> DataFrame:
-    """Folds without positives, or whose training rows have fewer than two."""
-    counts = rows.groupBy(fold).agg(F.sum(label).cast("bigint").alias("test_pos"))
-    total = rows.agg(F.sum(label).cast("bigint").alias("all_pos"))
-    joined = counts.crossJoin(F.broadcast(total)).withColumn("train_pos", F.col("all_pos") - F.col("test_pos"))
-    return joined.where("test_pos = 0 or train_pos < 2").select(fold, "test_pos", "train_pos")
+def degenerate_folds(rows: DataFrame, fold: str, label: str, *keys: str) -> DataFrame:
+    """Folds (by key) without positives, or whose training rows have fewer than two."""
+    counts = rows.groupBy(*keys, fold).agg(F.sum(label).cast("bigint").alias("test_pos"))
+    whole = Window.partitionBy(*keys)  # over a row a fold
+    with_train = counts.withColumn("train_pos", F.sum("test_pos").over(whole) - F.col("test_pos"))
+    return with_train.where("test_pos = 0 or train_pos < 2").select(*keys, fold, "test_pos", "train_pos")
 
 
 def control_labels(rows: DataFrame, key: str, label: str, seed: int = 991) -> DataFrame:
     """Adds `control`: as many random positives as there are real ones."""
-    total = rows.agg(F.sum(label).alias("__pos"))
-    threshold = rows.select(key, shuffled(seed, key).alias("h"))
-    ranked = threshold.withColumn("__r", F.row_number().over(Window.orderBy("h", key))).crossJoin(F.broadcast(total))
-    return rows.join(ranked.select(key, (F.col("__r") <= F.col("__pos")).cast("bigint").alias("control")), key)
+    total = rows.agg(F.coalesce(F.sum(label), F.lit(0)).alias("__pos"))
+    ranked = hash_ranked(rows, key, seed).crossJoin(F.broadcast(total))
+    return ranked.withColumn("control", (F.col("__rank") <= F.col("__pos")).cast("bigint")).drop("__rank", "__pos")
+
+
+def usable_fold(rows: DataFrame, train: str, label: str) -> bool:
+    """Whether there are positives to test on and two or more to train on."""
+    counts = rows.agg(F.sum(F.when(F.col(train), F.col(label))).alias("a"), F.sum(F.when(~F.col(train), F.col(label))).alias("b")).first()
+    return (counts.a or 0) >= 2 and (counts.b or 0) > 0
+
+
+def length_batches(rows: DataFrame, key: str, length: str, size: int, seed: int = 0) -> DataFrame:
+    """Adds `batch`: batches of `size` rows of like length, the longest first. Ranks come from counts by
+    length and ranks within a length; a key restores the order."""
+    lengths = rows.groupBy(length).agg(F.count("*").alias("__n"))
+    longer = Window.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, -1)
+    before = lengths.select(F.col(length).alias("__l"), F.coalesce(F.sum("__n").over(longer), F.lit(0)).alias("__before"))  # a row a length
+    ranked = hash_ranked(rows, key, seed, length).join(before, F.col(length).eqNullSafe(F.col("__l")))
+    return ranked.withColumn("batch", F.floor((F.col("__rank") - 1 + F.col("__before")) / size).cast("bigint")).select(*rows.columns, "batch")
 
 
 def stratified(rows: DataFrame, key: str, strata: list[tuple[str, Column]], n: int, seed: int = 0) -> DataFrame:
@@ -115,69 +165,85 @@ def match_candidates(rows: DataFrame, key: str, label: str, length: str, group:
     return cases.join(pool, "t").where(gap <= F.greatest(F.lit(1.0), SLACK * F.col("n"))).select("pos", "neg", gap.alias("gap"), F.coalesce(F.col("g0") == F.col("g1"), F.lit(False)).cast("bigint").alias("same_group"))
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least total cost (rows no more than columns), by shortest
-    augmenting paths with potentials."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
+OTHER_GROUP, UNMATCHED = 1e4, 1e9
+
+
+def assignment(edges: list[list[tuple[int, float]]], columns: int) -> list[int | None]:
+    """The column of each row, or None, in a choice of least total cost in which a row without a column costs
+    UNMATCHED. edges: for each row its (column, cost). Rows enter one by one along a cheapest path of
+    exchanges (Dijkstra's search over reduced costs), so memory is that of the edges."""
+    n = len(edges)
+    owner: list[int | None] = [None] * (columns + n)  # row i may stay unmatched in column `columns + i`
+    chosen: list[int | None] = [None] * n
+    price = [0.0] * (columns + n)
+    level = [0.0] * n
+    all_edges = [[*own, (columns + i, UNMATCHED)] for i, own in enumerate(edges)]
+    for i in range(n):
+        level[i] = min(c - price[j] for j, c in all_edges[i])
+        dist: dict[int, float] = {}
+        came: dict[int, int] = {}
+        settled: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        row, base = i, 0.0
         while True:
-            used[j0] = True
-            free = ~used[1:]
-            now = cost[owner[j0] - 1] - u[owner[j0]] - v[1:]
-            better = free & (now < least[1:])
-            least[1:][better], way[1:][better] = now[better], j0
-            j1 = 1 + int(np.where(free, least[1:], np.inf).argmin())
-            delta = least[j1]
-            u[owner[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if owner[j0] == 0:
+            for j, c in all_edges[row]:
+                d = base + c - price[j] - level[row]
+                if j not in settled and d < dist.get(j, math.inf) - 1e-9:
+                    dist[j], came[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            while True:
+                base, j = heapq.heappop(heap)
+                if j not in settled and base <= dist[j]:
+                    break
+            if owner[j] is None:
                 break
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if owner[j]:
-            out[owner[j] - 1] = j - 1
-    return out
-
-
-OTHER_GROUP, INFEASIBLE = 1e4, 1e9
+            settled[j] = base
+            row = owner[j]
+        end = base
+        level[i] += end
+        for k, d in settled.items():
+            price[k] -= end - d
+            level[owner[k]] += end - d
+        while True:  # hand columns on along the path
+            row = came[j]
+            owner[j], j, chosen[row] = row, chosen[row], j
+            if row == i:
+                break
+    return [j if j is not None and j < columns else None for j in chosen]
 
 
 def match(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     """(pos, neg, gap, same_group): pairs of least cost: as many as possible, then within a group, then of
     small gaps. parts: (pos, part), the connected component of each case; components are independent and
-    are solved each in one task."""
+    are solved each in one task, in memory that follows its pairs."""
 
     def solve(pairs: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = sorted(pairs.pos.unique()), sorted(pairs.neg.unique())
-        at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(columns)}
-        cost = np.full((len(rows), max(len(columns), len(rows)) + 0), INFEASIBLE)
-        for p, q, g, s in zip(pairs.pos, pairs.neg, pairs.gap, pairs.same_group, strict=True):
-            cost[at[p], to[q]] = g + (0 if s else OTHER_GROUP)
-        chosen = assignment(cost)
-        taken = {(rows[i], columns[j]) for i, j in enumerate(chosen) if j < len(columns) and cost[i, j] < INFEASIBLE}
-        return pairs[[(p, q) in taken for p, q in zip(pairs.pos, pairs.neg, strict=True)]][["pos", "neg", "gap", "same_group"]]
+        pairs = pairs.sort_values(["pos", "neg"], ignore_index=True)
+        row, _ = pd.factorize(pairs.pos, sort=True)
+        column, names = pd.factorize(pairs.neg, sort=True)
+        cost = np.where(pairs.same_group == 1, 0.0, OTHER_GROUP) + pairs.gap.to_numpy(float)
+        edges: list[list[tuple[int, float]]] = [[] for _ in range(row.max() + 1)]
+        for i, j, c in zip(row.tolist(), column.tolist(), cost.tolist(), strict=True):
+            edges[i].append((j, c))
+        chosen = np.array([-1 if j is None else j for j in assignment(edges, len(names))])
+        return pairs[chosen[row] == column][["pos", "neg", "gap", "same_group"]]
 
     return candidates.join(parts, "pos").groupBy("part").applyInPandas(solve, candidates.select("pos", "neg", "gap", "same_group").schema)
 
 
 def match_parts(candidates: DataFrame) -> DataFrame:
-    """(pos, part): components of the graph of candidates, by rounds of least labels."""
-    part = candidates.groupBy("pos").agg(F.min("pos").alias("part"))
-    edges = candidates.select("pos", "neg").persist()
-    while True:
-        by_neg = edges.join(part, "pos").groupBy("neg").agg(F.min("part").alias("part"))
-        lower = edges.join(by_neg, "neg").groupBy("pos").agg(F.min("part").alias("part"))
-        lower = lower.checkpoint() if not lower.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else lower.persist()
-        if lower.join(part.select("pos", F.col("part").alias("was")), "pos").where("part <> was").isEmpty():
-            edges.unpersist()
-            return lower
-        part = lower
+    """(pos, part): components of the graph of candidates, named by their least case."""
+    pos, neg = (F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in ((0, "pos"), (1, "neg")))
+    links = candidates.select(pos.alias("a"), neg.alias("b"))
+    values = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("value", F.col("node"))
+    found = components(links, values)
+    return found.where("node.kind = 0").select(F.col("node.key").alias("pos"), F.col("value.key").alias("part"))
+
+
+def matched(rows: DataFrame, key: str, label: str, length: str, group: str) -> DataFrame:
+    """The rows with `matched`: whether a row is in the length-matched subset, of as many cases as can get a
+    partner and these partners."""
+    found = cut(match_candidates(rows, key, label, length, group))
+    pairs = match(found, match_parts(found))
+    chosen = pairs.select(F.explode(F.array("pos", "neg")).alias("__m")).distinct()
+    return rows.join(chosen, F.col(key) == F.col("__m"), "left").withColumn("matched", F.col("__m").isNotNull()).drop("__m")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,37 +73,45 @@ def base36(n: int) -> str:
     return out
 
 
-def neutral_name(token: str, n: int) -> str:
-    """A meaningless name in the token's style of case."""
-    code = base36(n)
-    if token.isupper() and "_" in token:
-        return f"CUE_{code.upper()}"
-    if token.isupper() and len(token) <= 3:
-        return f"CUE{code.upper()}"
-    if token[:1].isupper():
-        return f"Sym{code.capitalize()}"
-    return f"sym{code.capitalize()}"
+#: Styles of case, the first that fits counts: constants, short constants, types, all else.
+STYLES = (
+    (re.compile(r"[A-Z](?=.*_)[A-Z0-9_$]*"), lambda code: f"CUE_{code.upper()}"),
+    (re.compile(r"[A-Z][A-Z0-9_$]{0,2}"), lambda code: f"CUE{code.upper()}"),
+    (re.compile(r"[A-Z].*", re.S), lambda code: f"Sym{code.capitalize()}"),
+    (re.compile(r".*", re.S), lambda code: f"sym{code.capitalize()}"),
+)
+
+
+def neutral_names(token: str, start: int) -> Iterator[str]:
+    """Meaningless names in the token's style of case, without end."""
+    style = next(named for pattern, named in STYLES if pattern.fullmatch(token))
+    return (style(base36(n)) for n in itertools.count(start))
 
 
 def rename_map(cues: list[str], corpus: set[str], curated: dict[str, str] | None = None) -> dict[str, str]:
     """An injective map over sorted cues; each choice depends on those before, so this small vocabulary is
-    folded on the driver. Keywords are left out. A curated name is taken unless it is the cue itself,
-    stands in the corpus or is taken; then names are tried from the map's size on."""
+    folded on the driver. Keywords are left out. A cue gets its curated name, or one of its style counted
+    from the map's size on: the first that isn't the cue, a keyword, or in the corpus or the map."""
+    own = {c: (curated or {}).get(c) for c in sorted(set(cues)) if c not in JAVA_KEYWORDS and re.fullmatch(T.WORD, c)}
+    barred = corpus | JAVA_KEYWORDS
     out: dict[str, str] = {}
     taken: set[str] = set()
-    for cue in sorted(cues):
-        if cue in JAVA_KEYWORDS or not re.fullmatch(T.WORD, cue):
-            continue
-        name = (curated or {}).get(cue)
-        if name is None or name == cue or name in corpus or name in taken or name in JAVA_KEYWORDS:
-            k = len(out)
-            while (name := neutral_name(cue, k)) in corpus or name in taken:
-                k += 1
-        out[cue] = name
-        taken.add(name)
+    for cue, wish in own.items():
+        names = itertools.chain([wish] if wish else [], neutral_names(cue, len(out)))
+        out[cue] = next(n for n in names if n != cue and n not in barred and n not in taken)
+        taken.add(out[cue])
     return out
 
 
+def barred_names(identifiers: DataFrame, cues: list[str], curated: dict[str, str] | None = None) -> set[str]:
+    """Of a corpus' identifiers (column token) those that a rename map over the cues could hit: curated names,
+    and names in the styles that it makes up. Only these few come to the driver."""
+    curated_names = [v for c in cues if (v := (curated or {}).get(c))]
+    made_up = F.col("token").rlike(r"^(CUE_?[A-Z0-9]+|[sS]ym[A-Z0-9][a-z0-9]*)$")
+    wanted = made_up | F.col("token").isin(curated_names) if curated_names else made_up
+    return {r.token for r in identifiers.where(wanted).select("token").distinct().collect()}
+
+
 def invert(mapping: dict[str, str]) -> dict[str, str]:
     if len(set(mapping.values())) != len(mapping):
         raise ValueError("the map isn't injective")
@@ -113,6 +123,16 @@ def not_injective(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("new_token").agg(F.count("*").cast("bigint").alias("n")).where("n > 1")
 
 
+def collisions(mapping: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(new_token) of names that stand in the corpus already: none, for a sound map."""
+    return mapping.select("new_token").distinct().join(identifiers.select(F.col("token").alias("new_token")).distinct(), "new_token", "left_semi")
+
+
+def top_replacements(counts: DataFrame, k: int = 25) -> DataFrame:
+    """The k most frequent replacements (old_token, new_token, n), by number and then both names, descending."""
+    return counts.orderBy(F.desc("n"), F.desc("old_token"), F.desc("new_token")).limit(k)
+
+
 def literal_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]) if mapping else F.create_map().cast("map<string,string>")
 

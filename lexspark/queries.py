@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.java import lexer, structure
 from lexspark.operators import corpus, decide, features, learn, metrics, pairs, sampling, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,15 +124,26 @@ def whitespace_rates_by_class(spark, sf_dir):
     return corpus.rates(rows, ["leading_space", "final_newline", "has_lf"], "y")
 
 
-@query("""WITH l AS (SELECT page_id, list_transform(string_split(regexp_replace(html, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[ \\t\\f\\v]+$', '')) AS l FROM pages),
- b AS (SELECT page_id, l, list_filter(range(1, len(l) + 1), lambda i: length(l[i]) > 0) AS f FROM l),
- s AS (SELECT page_id, CASE WHEN len(f) > 0 THEN l[f[1]:f[-1]] ELSE CAST([] AS VARCHAR[]) END AS l FROM b),
- d AS (SELECT page_id, l, coalesce(list_min(list_transform(list_filter(l, lambda x: length(x) > 0), lambda x: length(x) - length(ltrim(x, ' ')))), 0) AS c FROM s),
- e AS (SELECT page_id, list_transform(l, lambda x: CASE WHEN length(x) > 0 THEN substr(x, c + 1) ELSE x END) AS l FROM d),
- g AS (SELECT page_id, l, coalesce(length(l[1]) - length(ltrim(l[1], ' ')), 0) AS k FROM e)
-SELECT page_id, array_to_string(list_transform(l, lambda x: substr(x, least(k, length(x) - length(ltrim(x, ' '))) + 1)), chr(10)) AS normal FROM g""")
+def normal_sql(rows: str, key: str, text: str) -> str:
+    """A common table expression `nf` of (key, normal): the normal form of layout in SQL."""
+    spread = "CASE WHEN contains(x, chr(9)) THEN list_reduce(string_split(x, chr(9)), lambda a, p: a || repeat(' ', 4 - length(a) % 4) || p) ELSE x END"
+    return f"""nl AS (SELECT {key}, list_transform(list_transform(string_split(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: {spread}), lambda x: regexp_replace(x, '[ \\t\\f\\v]+$', '')) AS l FROM {rows}),
+ nb AS (SELECT {key}, l, list_filter(range(1, len(l) + 1), lambda i: length(l[i]) > 0) AS f FROM nl),
+ ns AS (SELECT {key}, CASE WHEN len(f) > 0 THEN l[f[1]:f[-1]] ELSE CAST([] AS VARCHAR[]) END AS l FROM nb),
+ nd AS (SELECT {key}, l, coalesce(list_min(list_transform(list_filter(l, lambda x: length(x) > 0), lambda x: length(x) - length(ltrim(x, ' ')))), 0) AS c FROM ns),
+ ne AS (SELECT {key}, list_transform(l, lambda x: CASE WHEN length(x) > 0 THEN substr(x, c + 1) ELSE x END) AS l FROM nd),
+ ng AS (SELECT {key}, l, coalesce(length(l[1]) - length(ltrim(l[1], ' ')), 0) AS k FROM ne),
+ nf AS (SELECT {key}, array_to_string(list_transform(l, lambda x: substr(x, least(k, length(x) - length(ltrim(x, ' '))) + 1)), chr(10)) AS normal FROM ng)"""
+
+
+#: Pages with a layout to bring into order: tabs, carriage returns and indents, by the page's number.
+LAID_OUT = "SELECT page_id, chr(9) || ' ' || replace(replace(html, '><', CASE page_id % 3 WHEN 0 THEN '>' || chr(13) || chr(10) || chr(9) || '<' WHEN 1 THEN '> ' || chr(9) || chr(10) || '    <' ELSE '>' || chr(10) || '  a' || chr(9) || '<' END), ' ', CASE WHEN page_id % 2 = 0 THEN ' ' ELSE chr(9) END) AS html FROM pages"
+
+
+@query(f"WITH lp AS ({LAID_OUT}), {normal_sql('lp', 'page_id', 'html')} SELECT * FROM nf")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.normalize("html").alias("normal"))
+    pages = spark.sql(LAID_OUT.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+    return pages.select("page_id", T.normalize("html").alias("normal"))
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines, substr(sha1(text), 1, 12) AS uid FROM documents")
@@ -322,10 +332,10 @@ def tfidf_ablated(spark, sf_dir):
     return features.tfidf(table(spark, sf_dir, "documents"), "doc_id", T.words("text"), without=cues).withColumn("weight", r6("weight"))
 
 
-@query("""WITH b AS (SELECT item_id, regexp_replace(text, '\\s\\s+', ' ', 'g') AS t FROM benchmark), g AS (SELECT item_id, n, substr(t, CAST(i AS INTEGER), n) AS token FROM b, (VALUES (3), (4), (5)) AS s(n), LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i))
-SELECT token, count(DISTINCT item_id) AS df FROM g GROUP BY token HAVING count(DISTINCT item_id) >= 3""")
+@query("""WITH b AS (SELECT doc_id, regexp_replace(text, '\\s\\s+', ' ', 'g') AS t FROM documents), g AS (SELECT doc_id, n, substr(t, CAST(i AS INTEGER), n) AS token FROM b, (VALUES (3), (4), (5)) AS s(n), LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i))
+SELECT token, count(DISTINCT doc_id) AS df FROM g GROUP BY token HAVING count(DISTINCT doc_id) >= 3""")
 def char_ngram_df(spark, sf_dir):
-    return vocabulary.document_frequency(table(spark, sf_dir, "benchmark"), T.char_ngrams("text"), 3)
+    return vocabulary.document_frequency(table(spark, sf_dir, "documents"), T.char_ngrams("text"), 3)
 
 
 @query("WITH f AS (SELECT source, avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM documents GROUP BY source) SELECT doc_id, round((n_chars - m) / s, 6) AS n_chars_z FROM documents JOIN f USING (source)")
@@ -397,18 +407,18 @@ def _fold_aps(spark, sf_dir):
 _FOLD_APS = f"{_FOLDED}, {_ap_sql('fd', 'fold')}, tx AS (SELECT fold, toxic AS y, s FROM fd), " + _ap_sql("tx", "fold").replace("lv AS", "lv2 AS").replace("FROM lv)", "FROM lv2)").replace("st AS", "st2 AS").replace("FROM st ", "FROM st2 ").replace("ap AS (SELECT", "ap2 AS (SELECT")
 
 
-@query(f"WITH {_FOLD_APS} SELECT round(avg(ap), 6) AS mean, round(coalesce(stddev_samp(ap), 0), 6) AS std, count(*) AS n_folds FROM ap WHERE ap IS NOT NULL")
+@query(f"WITH {_FOLD_APS} SELECT round(round(avg(ap), 10), 6) AS mean, round(round(coalesce(stddev_samp(ap), 0), 10), 6) AS std, count(*) AS n_folds FROM ap WHERE ap IS NOT NULL")
 def fold_summary(spark, sf_dir):
     return metrics.fold_summary(_fold_aps(spark, sf_dir)[0], "ap")
 
 
-@query(f"WITH {_FOLD_APS} SELECT round(avg(a.ap - b.ap), 6) AS mean, round(coalesce(stddev_samp(a.ap - b.ap), 0), 6) AS std, count(*) AS n_folds FROM ap a JOIN ap2 b USING (fold) WHERE a.ap - b.ap IS NOT NULL")
+@query(f"WITH {_FOLD_APS} SELECT round(round(avg(a.ap - b.ap), 10), 6) AS mean, round(round(coalesce(stddev_samp(a.ap - b.ap), 0), 10), 6) AS std, count(*) AS n_folds FROM ap a JOIN ap2 b USING (fold) WHERE a.ap - b.ap IS NOT NULL")
 def transfer_delta(spark, sf_dir):
     own, other = _fold_aps(spark, sf_dir)
     return metrics.paired_delta(own, other, "ap", ["fold"])
 
 
-@query(f"WITH {_FOLD_APS}, u AS (SELECT 'within' AS regime, ap FROM ap UNION ALL SELECT 'cross', ap FROM ap2) SELECT round(avg(CASE WHEN regime = 'within' THEN ap END), 6) AS within_mean, round(avg(CASE WHEN regime = 'cross' THEN ap END), 6) AS cross_mean, round(avg(CASE WHEN regime = 'within' THEN ap END) - avg(CASE WHEN regime = 'cross' THEN ap END), 6) AS gap FROM u")
+@query(f"WITH {_FOLD_APS}, u AS (SELECT 'within' AS regime, ap FROM ap UNION ALL SELECT 'cross', ap FROM ap2) SELECT round(round(avg(CASE WHEN regime = 'within' THEN ap END), 10), 6) AS within_mean, round(round(avg(CASE WHEN regime = 'cross' THEN ap END), 10), 6) AS cross_mean, round(round(avg(CASE WHEN regime = 'within' THEN ap END) - avg(CASE WHEN regime = 'cross' THEN ap END), 10), 6) AS gap FROM u")
 def regime_gap(spark, sf_dir):
     own, other = _fold_aps(spark, sf_dir)
     both = own.select(F.lit("within").alias("regime"), "ap").union(other.select(F.lit("cross"), "ap"))
@@ -469,7 +479,15 @@ def precision_recall_wilson(spark, sf_dir):
     return metrics.precision_recall(metrics.confusion(_predicted(spark, sf_dir), {"quality": ("y", "py"), "toxic": ("toxic", "pt")}))
 
 
-@query(f"WITH {_PREDICTED}, k AS (SELECT CASE WHEN y = 0 AND py = 1 THEN 'false_positive' WHEN y = 1 AND py = 0 THEN 'false_negative' END AS kind, CAST(doc_id AS VARCHAR) AS k FROM pr) SELECT kind, count(*) AS n, string_agg(k, ',' ORDER BY k) AS keys FROM k WHERE kind IS NOT NULL GROUP BY kind")
+_ERRORS = f"{_PREDICTED}, k AS (SELECT CASE WHEN y = 0 AND py = 1 THEN 'false_positive' WHEN y = 1 AND py = 0 THEN 'false_negative' END AS kind, CAST(doc_id AS VARCHAR) AS key FROM pr)"
+
+
+@query(f"WITH {_ERRORS} SELECT kind, key FROM k WHERE kind IS NOT NULL")
+def error_rows(spark, sf_dir):
+    return metrics.errors(_predicted(spark, sf_dir), "doc_id", "y", "py")
+
+
+@query(f"WITH {_ERRORS}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY key) AS r FROM k WHERE kind IS NOT NULL) SELECT kind, count(*) AS n, string_agg(CASE WHEN r <= 1000 THEN key END, ',' ORDER BY key) AS keys FROM r GROUP BY kind")
 def error_lists(spark, sf_dir):
     return metrics.error_lists(_predicted(spark, sf_dir), "doc_id", "y", "py")
 
@@ -503,10 +521,18 @@ def pair_strata(spark, sf_dir):
     return corpus.frequency(sums.select(pairs.stratum(F.col("a"), F.col("r")).alias("stratum")), "stratum")
 
 
-@query(f"WITH {_PAIRS} SELECT CAST(turn % 2 AS BIGINT) AS side, count(*) AS n, CAST(sum(CASE WHEN length(after) > length(before) THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN length(after) = length(before) THEN 1 ELSE 0 END) AS BIGINT) AS ties, round(avg(length(after) - length(before)), 6) AS mean_margin, round(median(length(after) - length(before)), 6) AS median_margin, round(stddev_samp(length(after) - length(before)), 6) AS std_margin FROM pp GROUP BY 1")
+def pair_metrics_sql(rows: str, keys: str) -> str:
+    """Pair metrics of a table with `m`, the margin, by its keys."""
+    p = "round(round(least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(wins, n - wins) AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))), 10), 6)"
+    low, high = _wilson_sql("CAST(wins AS DOUBLE)", "CAST(n AS DOUBLE)")
+    return f"""pa AS (SELECT {keys}, count(*) AS n, CAST(sum(CASE WHEN m > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) AS BIGINT) AS ties, round(round(avg(m), 10), 6) AS mean_margin, round(median(m), 6) AS median_margin, round(round(coalesce(stddev_samp(m), 0), 10), 6) AS std_margin FROM {rows} GROUP BY {keys}),
+ pm AS (SELECT *, round(wins / n, 6) AS accuracy, {low} AS low, {high} AS high, {p} AS p FROM pa)"""
+
+
+@query(f"WITH {_PAIRS}, q AS (SELECT CAST(turn % 2 AS BIGINT) AS side, length(after) - length(before) AS m FROM pp), {pair_metrics_sql('q', 'side')} SELECT * FROM pm")
 def pair_accuracy(spark, sf_dir):
     rows = _pairs(spark, sf_dir).select((F.col("turn") % 2).alias("side"), (F.length("after") - F.length("before")).alias("margin"))
-    return metrics.pair_metrics(rows, "margin", "side").select("side", "n", "wins", "ties", "mean_margin", "median_margin", "std_margin")
+    return metrics.pair_metrics(rows, "margin", "side")
 
 
 @query(f"WITH {_PAIRS} SELECT CASE WHEN before = after THEN 'unchanged' WHEN abs(length(before) - length(after)) > 0.4 * greatest(length(before), length(after)) THEN 'diff_too_large' ELSE 'kept' END AS reason, count(*) AS n FROM pp GROUP BY 1")
@@ -622,21 +648,3 @@ def logistic_probe_layers(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") == 0).cast("bigint"))
     folded = sampling.control_labels(sampling.within_folds(v, "vec_id", "y"), "vec_id", "y").select("vec_id", "y", "fold", "control", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))).alias("layer", "vector"))
     return learn.probe(folded, ["layer"], "fold", "y", "vector", "control")
-
-
-_JAVA = [(1, "@Test public void t() { pool.submit(task); assertEquals(1, counter.get()); }"), (2, "void t() { Map m = new HashMap(); assertEquals(x, m.toString()); }"), (3, "void t() { long t = System.nanoTime(); assertTrue(t > 0); }"), (4, "void t() { Future f = pool.submit(r); f.get(); assertTrue(ok); }"), (5, "t( {{{ ???"), (6, "void t() { pool.submit(r); assertTrue(ok(")]
-
-
-@query("SELECT * FROM (VALUES (1, 1, 1, 0, 0), (2, 1, 0, 1, 0), (3, 1, 0, 0, 1), (4, 1, 0, 0, 0), (5, 0, 0, 0, 0), (6, 1, 1, 0, 0)) AS t(id, parse_ok, \"P_ASYNC\", \"P_UNORD\", \"P_CLOCK\")")
-def java_structural_labels(spark, sf_dir):
-    return values(spark, _JAVA, "id int, code string").select("id", structure.labels_column("code").alias("l")).select("id", "l.parse_ok", *[f"l.{p}" for p in structure.PROPERTIES])
-
-
-@query()
-def java_lex_tokens(spark, sf_dir):
-    return values(spark, _JAVA, "id int, code string").select("id", F.posexplode(lexer.tokens_column("code")).alias("at", "t")).select("id", "at", "t.kind", "t.text")
-
-
-@query()
-def java_methods(spark, sf_dir):
-    return values(spark, _JAVA, "id int, code string").select("id", F.explode(structure.methods_column("code")).alias("m")).select("id", "m.key", "m.body")

@@ -8,7 +8,7 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
@@ -18,6 +18,25 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     return rows.fillna("", [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"])
 
 
+#: What a default CSV scan takes for missing.
+NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def read_csv_na(spark: SparkSession, path: str, schema: StructType | str, key: str) -> DataFrame:
+    """As read_csv, with the usual texts for missing values as nulls; the key stays a string as it is
+    written, so that one like `123e4567` is no number."""
+    wanted = spark.createDataFrame([], schema).schema
+    raw = read_csv(spark, path, StructType([StructField(f.name, StringType()) for f in wanted.fields]))
+    known = lambda f: F.when(~F.trim(f.name).isin(*NA_TEXTS), F.col(f.name)).try_cast(f.dataType)
+    return raw.select(*[F.col(f.name).cast("string").alias(f.name) if f.name == key else known(f).alias(f.name) for f in wanted.fields])
+
+
+def read_prepared(spark: SparkSession, path: str) -> DataFrame:
+    """The prepared corpus as a stage left it, read again by each later stage; only the columns that a query
+    names are scanned."""
+    return spark.read.parquet(path)
+
+
 def explode_list(rows: DataFrame, key: str, many: str, separator: str = ";") -> DataFrame:
     """(key, position, value): values of a separated list, trimmed, without empty ones and repeats."""
     values = F.array_distinct(F.filter(F.transform(F.split(many, separator), lambda x: F.trim(x)), lambda x: x != ""))

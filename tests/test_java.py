@@ -91,6 +91,19 @@ def test_lexer_loses_nothing(source):
     assert all(source[t.start : t.end] == t.text for t in tokens)
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [("1e-5 1.2.3 3. .5 .x", ["1e-5", "1.2.3", "3.", ".5", ".", "x"]), ("0e-5 0x1F 2E+3f", ["0e", "-", "5", "0x1F", "2E+3f"]), ('"a\\\nb" x', ['"a\\\nb"', "x"]), ("'\n'", ["'", "'"]), ("a\u00a0b", ["a", "\u00a0", "b"])],
+)
+def test_lexer_rules(source, expected):
+    assert [t.text for t in lexer.code_tokens(source)] == expected
+
+
+def test_overloads_have_no_bare_name():
+    found = dict(structure.extract_methods("class A { void m(){} void m(int x){} void n(){} class B { void n(){} } }"))
+    assert sorted(found) == ["A.B.n", "A.m", "A.n", "B.n"] and found["A.m"] == "void m(int x){}"
+
+
 def test_rename():
     code = 'sleep(1); sleepTimeout(); "sleep"; // sleep\n\'s\'; x.sleeper.sleep(); """\nsleep"""'
     out = lexer.rename(code, {"sleep": "pause"})

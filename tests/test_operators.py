@@ -1,14 +1,15 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import corpus, decide, features, learn, metrics, pairs, sampling, vocabulary
-from lexspark.plans import report, stages
+from lexspark.operators import corpus, decide, features, grid, learn, metrics, pairs, sampling, vocabulary
+from lexspark.plans import report, stages, storage
 from lexspark.sources import readers
 from lexspark.streaming import resume
 
@@ -23,6 +24,9 @@ def test_normal_form(spark):
     assert found == ["a();\nb();\nc();", "void f() {\n    x();\n}", "ab  c", "a();\nb();", "a();", "", "", None, "a();\n// c\n    b();\n}", "x\ny"]
     assert normal(spark, found) == found
     rng = random.Random(1)
+    long = "\n".join(f"{' ' * (4 + i % 9)}x{i}\t;  " if i % 7 else "" for i in range(5000))
+    began = time.time()
+    assert normal(spark, [long])[0].count("\n") == 4998 and time.time() - began < 5
     wild = ["".join(rng.choice(" \t\r\nab") for _ in range(rng.randint(0, 30))) for _ in range(200)]
     once = normal(spark, wild)
     assert normal(spark, once) == once
@@ -42,9 +46,10 @@ def test_token_distance(spark):
 
     rows = [(i, [rng.choice("abcdé") for _ in range(rng.randint(0, 12))], [rng.choice("abcdé") for _ in range(rng.randint(0, 12))]) for i in range(60)]
     rows.append((60, [str(i) for i in range(3500)], ["x"]))
+    rows += [(61, ["a", "a", "b"] * 1200, ["a", "c"] * 1000), (62, ["q"] * 3001, [])]
     out = spark.createDataFrame(rows, "i int, a array<string>, b array<string>").select("i", *[c.alias(n) for c, n in zip(T.edit_distance(F.col("a"), F.col("b")), ("d", "approx"), strict=True)]).orderBy("i").collect()
     assert [r.d for r in out[:60]] == [levenshtein(a, b) for _, a, b in rows[:60]]
-    assert out[60].approx and out[60].d == 3501
+    assert [(r.approx, r.d) for r in out[60:]] == [(True, 3501), (True, 2400 - 1000 + 1200 + 1000), (True, 3001)]
 
 
 def test_paths_and_annotations(spark):
@@ -99,12 +104,52 @@ def test_exact_tests(spark):
 
 def test_assignment_is_cheapest():
     rng = np.random.default_rng(4)
-    for _ in range(60):
-        n, m = rng.integers(1, 6), rng.integers(5, 8)
+    for _ in range(150):
+        n, m = int(rng.integers(1, 6)), int(rng.integers(1, 7))
         cost = rng.integers(0, 20, (n, m)).astype(float)
-        chosen = sampling.assignment(cost)
-        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), int(n)))
-        assert len(set(chosen)) == n and cost[np.arange(n), chosen].sum() == best
+        there = rng.random((n, m)) < 0.6
+        edges = [[(j, cost[i, j]) for j in range(m) if there[i, j]] for i in range(n)]
+        chosen = sampling.assignment(edges, m)
+        taken = [j for j in chosen if j is not None]
+        total = sum(sampling.UNMATCHED if j is None else cost[i, j] for i, j in enumerate(chosen))
+        slots = [*range(m), *[None] * n]
+        best = min(sum(sampling.UNMATCHED if (j := slots[k]) is None else cost[i, j] if there[i, j] else math.inf for i, k in enumerate(p)) for p in itertools.permutations(range(len(slots)), n)) if n + m < 9 else None
+        assert len(set(taken)) == len(taken) and all(there[i, j] for i, j in enumerate(chosen) if j is not None)
+        assert best is None or total == best
+
+
+def test_matched_subset(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("gh"), int(rng.random() < 0.4), rng.randint(1, 40)) for i in range(60)]
+    out = sampling.matched(spark.createDataFrame(rows, "id long, g string, y int, n int"), "id", "y", "n", "g").collect()
+    chosen = [r for r in out if r.matched]
+    assert len(out) == 60 and sum(r.y for r in chosen) * 2 == len(chosen)
+    owner: dict = {}  # the number of pairs is the greatest there is
+
+    def place(case, seen):
+        for r in rows:
+            if r[2] == 0 and abs(r[3] - case[3]) <= max(1.0, 0.05 * case[3]) and r[0] not in seen:
+                seen.add(r[0])
+                if r[0] not in owner or place(owner[r[0]], seen):
+                    owner[r[0]] = case
+                    return True
+        return False
+
+    assert sum(place(r, set()) for r in rows if r[2] == 1) * 2 == len(chosen)
+
+
+def test_ranks_follow_the_hash(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(500)], "id long, g int")
+    got = {r.id: r["__rank"] for r in sampling.hash_ranked(rows, "id", 7, "g").collect()}
+    digest = lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest()
+    for g in (0, 1, 2, None):
+        own = sorted((i for i in range(500) if (i % 3 if i % 5 else None) == g), key=lambda i: (digest(i), i))
+        assert [got[i] for i in own] == list(range(1, len(own) + 1))
+    batches = sampling.length_batches(rows.withColumn("n", F.col("id") % 7), "id", "n", 50).collect()
+    assert sorted(r.batch for r in batches) == [i // 50 for i in range(500)]
+    assert all(a.n >= b.n for a in batches for b in batches if a.batch < b.batch)
 
 
 def test_folds_and_matching(spark):
@@ -121,9 +166,75 @@ def test_folds_and_matching(spark):
     assert sampling.inner_k(5, 3) == 3 and sampling.inner_k(5, 1, 9) == 2
 
 
+def test_general_binomial(spark):
+    cases = [(k, n, p) for n in (0, 1, 7, 30) for k in {0, n // 3, n} for p in (0.0, 0.1, 0.5, 0.73, 1.0)]
+    out = spark.createDataFrame(cases, "k long, n long, p double").select("k", "n", "p", metrics.binomial_two_sided(F.col("k"), F.col("n"), F.col("p")).alias("v")).collect()
+    for r in out:
+        chance = [math.comb(r.n, i) * r.p**i * (1 - r.p) ** (r.n - i) for i in range(r.n + 1)]
+        assert abs(r.v - min(1.0, sum(c for c in chance if c <= chance[r.k] * (1 + 1e-7)))) < 1e-9
+    many = [0.1 * (i - 18.3) for i in range(60)]  # beyond what sign by sign could be counted
+    p = spark.createDataFrame([(many,)], "d array<double>").select(metrics.wilcoxon_one_sided(F.col("d"))).first()[0]
+    assert 0 < p < 0.01
+
+
+def test_metrics_over_ranges(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.random(), int(rng.random() < 0.2)) for _ in range(4000)]
+    found = {r.k: r for r in metrics.average_precision(spark.createDataFrame(rows, "k string, s double, y int"), "s", "y", "k").collect()}
+    for k in "ab":
+        own = sorted(((s, y) for key, s, y in rows if key == k), reverse=True)
+        pos, tp, ap = sum(y for _, y in own), 0, 0.0
+        for n, (_, y) in enumerate(own, 1):
+            tp += y
+            ap += y / pos * tp / n
+        assert abs(found[k].ap - ap) < 1e-6 and found[k].n == len(own)
+
+
+def labelled_texts(spark):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "sleep", "await"]
+    rows = []
+    for i in range(90):
+        y = int(i % 3 == 0)
+        rows.append((i, " ".join(rng.choice(words[:4] + (["sleep", "await"] if y else [])) for _ in range(rng.randint(8, 20))), y, f"p{i % 9}"))
+    return spark.createDataFrame(rows, "id long, text string, y int, g string")
+
+
+def test_grid(spark):
+    rows = labelled_texts(spark)
+    cells = {(r.subset, r.regime): r for r in grid.jobs(rows, "y", "g", {"full": F.lit(True), "few": F.col("id") < 12}).collect()}
+    assert cells["full", "cross"].skip is None and cells["few", "within"].skip == "too few positives" and len(cells) == 4
+    mapping = {"sleep": "symA", "await": "symB"}
+    renamed = rows.withColumn("renamed", vocabulary.rename_words("text", mapping))
+    out = grid.run(renamed, "id", "text", "y", "g", "bow_plus_length", "cross", other="renamed", tuned=((0.1, 1.0), 2), k=2).collect()
+    assert sum(r.n for r in out) == 90 and all(r.c in (0.1, 1.0) and r.ap > 0.8 and r.other_ap < r.ap for r in out)
+    cues = spark.createDataFrame([("sleep",), ("await",)], "token string")
+    ablated = grid.run(rows, "id", "text", "y", "g", "bow_ablated", "within", cues=cues, tuned=((1.0,), 2), k=2).collect()
+    assert sum(r.n_pos for r in ablated) == 30
+    assert grid.METHODS["bow_ablated"](rows.withColumn("t", F.lit(True)), "id", "text", "t", cues).where("token in ('sleep', 'await')").isEmpty()
+    folds = spark.createDataFrame([("full", "cross", m, f, a) for m, a in (("bow", 0.4), ("char_ngram", 0.6), ("length", 0.9)) for f in range(2)] + [("matched", "cross", "bow", 0, 1.0)], "subset string, regime string, method string, fold int, ap double")
+    best = grid.strong_baseline(folds).first()
+    assert (best.method, best["mean"], best.folds) == ("char_ngram", 0.6, [0.6, 0.6])
+
+
+def test_held_out_scorer(spark):
+    pairs_ = spark.createDataFrame([(k, "p1", "alpha sleep await beta", "alpha beta gamma") for k in range(4)], "k int, g string, before string, after string")
+    out = grid.score_pairs(labelled_texts(spark), pairs_, key="id", text="text", label="y", group="g", pair=["k"], before="before", after="after", tuned=((1.0,), 2)).collect()
+    assert len(out) == 4 and all(r.margin < -0.2 and abs(r.margin - (r.score_after - r.score_before)) < 1e-12 for r in out)
+
+
+def test_transferred_features_use_the_fitted_counts(spark):
+    docs = spark.createDataFrame([(1, "a b b", "a z", True), (2, "a c", "c c", True), (3, "a b", "b", False)], "id int, text string, other string, fit boolean")
+    found = features.refit(grid.METHODS["bow"], docs, "id", "text", "other", "fit")
+    assert found.count() == 0  # no token stands in three training texts
+    one = features.refit(lambda d, k, t, train, cues: features.tfidf(d, k, T.words(t), 1, train=train), docs, "id", "text", "other", "fit")
+    assert {(r.id, r.token): round(r.weight, 6) for r in one.collect()} == {(1, "a"): 1.0, (2, "c"): 1.0, (3, "b"): 1.0}
+
+
 def test_rename_map():
     corpus_words = {"pause", "Thread", "sleep", "x"}
     m = vocabulary.rename_map(["sleep", "Thread", "volatile", "MAX_X", "now"], corpus_words, {"sleep": "pause", "Thread": "Util", "now": "current"})
+    assert next(vocabulary.neutral_names("_Max", 0)) == "symA" and next(vocabulary.neutral_names("A_B", 37)) == "CUE_BB"
     assert "volatile" not in m and m["Thread"] == "Util" and m["now"] == "current" and m["sleep"] != "pause" and m["MAX_X"].startswith("CUE_")
     assert len(set(m.values())) == len(m) and not set(m.values()) & corpus_words
     assert vocabulary.invert(m)["Util"] == "Thread"
@@ -161,6 +272,19 @@ def test_features(spark):
     assert z[0].k_z == 0.0
 
 
+def test_layers_and_models(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1e9, 3.0, 4.0, 5.0]) for i in range(20)], "id long, v array<double>")
+    features.write_layers(rows, "id", "v", 2, f"{tmp_path}/layers")
+    one = features.read_layer(spark, f"{tmp_path}/layers", 0)
+    assert sorted((r.id, r.vector) for r in one.collect()) == [(i, [float(i), 65504.0]) for i in range(20)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(layer" in plan
+    assert [r.vector for r in features.read_layer(spark, f"{tmp_path}/layers", 2).distinct().collect() if r.id == 3] == [[5.0]]
+    texts = spark.createDataFrame([(1, "abc"), (2, None), (3, "z")], "id int, t string")
+    found = features.hidden_states(texts, "id", "t", lambda: lambda batch: [[len(x)] for x in batch])
+    assert sorted((r.id, r.vector) for r in found.collect()) == [(1, [3.0]), (2, [0.0]), (3, [1.0])]
+
+
 def test_pairs(spark):
     rows = spark.createDataFrame([(1, 0, "@A\nx y"), (1, 1, "@B\nx y"), (1, 2, "x z q")], "c int, t int, text string")
     out = pairs.measure(pairs.consecutive(rows, "c", "t", "text")).orderBy("t").collect()
@@ -174,7 +298,16 @@ def test_sources(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"k": "a", "v": 1}\n{"k": "b", "v": {"x": [1]}}\nbroken\n{"k": "a", "v": 2}\n')
     latest, bad = readers.read_log(spark, f"{tmp_path}/log.jsonl")
     assert {r.k: r.v for r in latest.collect()} == {"a": "2", "b": '{"x":[1]}'} and bad.first().n_bad == 1
-    assert len(readers.file_digest(spark, f"{tmp_path}/a.csv").first().digest) == 16
+    import hashlib
+
+    assert readers.file_digest(spark, f"{tmp_path}/a.csv").first().digest == hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()[:16]
+    (tmp_path / "b.json").write_text('[{"a": 1,\n "b": "x"}, {"a": NaN, "b": null}]')
+    assert [r.b for r in readers.read_json(spark, f"{tmp_path}/b.json", "a double, b string").collect()] == ["x", None]
+    for text in ("first", "seconds"):
+        storage.write_text(spark, text, f"file://{tmp_path}/new/t.txt")
+    assert (tmp_path / "new/t.txt").read_text() == "seconds" and [f.name for f in (tmp_path / "new").iterdir() if not f.name.endswith(".crc")] == ["t.txt"]
+    storage.drop(spark, f"file://{tmp_path}/new")
+    assert not (tmp_path / "new").exists()
 
 
 def test_git_source(spark, tmp_path):
@@ -209,10 +342,26 @@ def test_resume_and_stages(spark, tmp_path):
     again = runner.run(plan)
     assert again["a"] == again["b"] == "skipped" and again["z"].startswith("failed")
     assert list(runner.run(plan, only=["b"], force=True)) == ["b"]
-
-
-def test_report(spark):
+    runner.run(plan, only=["a"], force=True)  # what stands behind it runs again
+    assert runner.run(plan, only=["a", "b"]) == {"a": "skipped", "b": "done"}
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/x.txt").write_text("1")
+    read = [stages.Stage("r", lambda s, t: s.read.text(f"{tmp_path}/src"), sources=(f"{tmp_path}/src",), checks=lambda d: {"small": d.count() < 2})]
+    assert [runner.run(read)["r"] for _ in range(2)] == ["done", "skipped"]
+    (tmp_path / "src/y.txt").write_text("2")
+    assert runner.run(read)["r"].startswith("failed: small")
+    smoke = stages.Runner(spark, f"{tmp_path}/p", smoke=True)
+    assert smoke.run(read) == {"r": "done"} and smoke.log().first().failed_checks == "small"
+    index = report.write_reports(spark, smoke.root, f"file://{tmp_path}/reports", ["r", "gone"], smoke.log()).collect()
+    assert [(r.stage, r.file) for r in index] == [("r", "01_r.md"), ("gone", None)] and "failed checks: small" in (tmp_path / "reports/01_r.md").read_text()
+
+
+def test_report(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.5, 1), ("b", float("nan"), None)], "n string, x double, k int")
     assert report.markdown(df) == "| n | x | k |\n|-|-|-|\n| a | 0.5000 | 1 |\n| b | — | — |\n"
+    text = report.main_report("Study", "stop", {"first": True, "second": False, "third": None}, [("Rows", df, ["That's all."]), ("Nothing", None, [])])
+    assert "stop and write up" in text and "| third | can't be decided |" in text and "Left out, for lack of a table: Nothing." in text and "Failed: second." in text
+    report.write_json(df, f"file://{tmp_path}/x.json")
+    assert (tmp_path / "x.json").read_text() == '{"n":"a","x":0.5,"k":1}\n{"n":"b","x":null,"k":null}\n'
     assert report.widest([("p", 0.78, 1.0), ("q", 0.44, 1.0)]) == "q"
     assert report.histogram(df.where("n = 'a'"), "x", 5).count() == 1

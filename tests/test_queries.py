@@ -8,9 +8,9 @@ import pytest
 
 import __spark_entry__
 from lexspark import queries as own
+from lexspark import queries_study  # noqa: F401  adds to the catalogue
 
 DATA = "/root/testdata/sf0.001"
-SKIP_SLOW = {"tfidf_weights", "tfidf_ablated", "embedding_zscore"}
 
 
 def plain(v):
@@ -24,13 +24,13 @@ def plain(v):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "documents embeddings pages benchmark labels conversations events".split():
+    for t in "documents embeddings pages benchmark labels conversations events orders customer".split():
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(own.ORACLE_SQL) - SKIP_SLOW))
+@pytest.mark.parametrize("name", sorted(own.ORACLE_SQL))
 def test_against_sql(spark, duck, name):
     df = own.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
