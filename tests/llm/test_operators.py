@@ -257,6 +257,40 @@ def test_substrings_against_counts(spark, docs):
     assert substrings.remove(empty(spark)).count() == 0
 
 
+def test_substrings_around_one_anchor(spark):
+    """Very many different pieces around one anchor, in pairs of like ones; crowded slices and notes."""
+    rng = random.Random(4)
+    size = 60
+    said = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = said(substrings.K + 6)
+    rows = []
+    for _ in range(150):
+        before, after = said(40), said(40)
+        rows += [said(90) + before + line + after + said(90), said(90) + before + line + said(130), said(130) + line + after + said(90)]
+    rows += [said(200) + line + said(10), line + said(300), rows[0], rows[0][:150]]
+    rows = list(enumerate(rows))
+    seen = collections.Counter(t[k : k + size] for _, t in rows for k in range(len(t) - size + 1))
+    expected = []
+    for i, t in rows:
+        gone = {x for k in range(len(t) - size + 1) if seen[t[k : k + size]] > 1 for x in range(k, k + size)}
+        expected.append((i, len(gone)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for heavy in (substrings.HEAVY, 8):  # 8: the anchor's pieces are too many for a group
+        got = substrings.remove(table, size, heavy=heavy).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == expected
+    with pytest.raises(ValueError):
+        substrings.remove(table, 3000)
+
+
+def test_stretches_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "STRETCH", 100)
+    rng = random.Random(5)
+    text = "".join(rng.choice("abc") for _ in range(1000))
+    data = (text + text[200:700]).encode()
+    assert b"".join(p[:100] for _, p in substrings.stretches(data, 50))[: len(data) - 49] == data[: len(data) - 49]
+    assert all(data[at : at + len(p)] == p for at, p in substrings.stretches(data, 50))
+
+
 def test_substrings_where_a_heavy_core_splits_an_anchor(spark):
     rng = random.Random(3)
     size = 60
@@ -302,17 +336,113 @@ def test_language_model(spark, docs):
     assert language_model.score(empty(spark)).count() == 0
 
 
-def test_seating_follows_the_process():
+def test_seating_has_its_conditional_distribution():
+    discount = 0.4
+
+    def partitions(n):  # of n customers, each as sizes of tables
+        if n == 0:
+            yield ()
+            return
+        for p in partitions(n - 1):
+            yield (*p, 1)
+            for i in range(len(p)):
+                yield (*p[:i], p[i] + 1, *p[i + 1 :])
+
     rng = np.random.default_rng(0)
-    counts = np.full(4000, 40)
-    tables = language_model.seat(counts, np.full(4000, 2.0), 0.5, rng)
-    one = []
-    for _ in range(1500):
-        t = 1.0
-        for n in range(1, 40):
-            t += rng.random() < 2.0 / (2.0 + n - 0.5 * t)
-        one.append(t)
-    assert abs(tables.mean() - np.mean(one)) < 0.2 and tables.max() <= 40
+    for n, strength in ((2, 0.3), (5, 1.5), (7, 0.05), (7, 4.0)):
+        weight = collections.Counter()
+        for sizes in partitions(n):
+            weight[len(sizes)] += strength ** len(sizes) * math.prod(math.prod(k - discount for k in range(1, m)) for m in sizes)
+        total = sum(weight.values())
+        drawn = collections.Counter(language_model.seat(np.full(20000, n), np.full(20000, strength), discount, rng).tolist())
+        assert all(abs(drawn[t] / 20000 - weight[t] / total) < 0.015 for t in range(1, n + 1))
+    logs = np.full(4001, -np.inf)  # many customers: against the same recursion, carried on
+    logs[1] = 0.0
+    t = np.arange(4001)
+    for n in range(1, 4000):
+        logs[1:] = np.logaddexp(logs[:-1], logs[1:] + np.log(np.maximum(n - discount * t[1:], 1e-300)))
+        if n + 1 in (200, 1500, 4000):
+            for strength in (0.02, 0.2, 3.0, 30.0):
+                w = np.exp((x := logs + t * math.log(strength)) - x.max())
+                mean = (t * w).sum() / w.sum()
+                drawn = language_model.seat(np.full(2000, n + 1), np.full(2000, strength), discount, rng).mean()
+                assert abs(drawn - mean) < 0.03 * mean + 0.05
+
+
+def test_probabilities_sum_to_one(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 4000)  # several buckets, and slices of the common words
+    _, table = language_model.gather(docs)
+    base, samples = language_model.fit(table.drop("asked"))
+    rows = [language_model.Bucket(r.asDict()) for r in table.drop("asked").collect()]
+    assert len(rows) > 3 and base["tokens"] == sum(b.counts.sum() for b in rows)
+    rng = np.random.default_rng(1)
+    for seed, before, after in samples:
+        seats = [b.seats(before, seed) for b in rows]
+        root = {}  # by bucket and word; a hot word stands in several buckets, with one value
+        for b, (_, _, _, customers, tables) in zip(rows, seats, strict=True):
+            for w, p in enumerate(b.roots(after, customers, tables)):
+                key = ("hot", b.hot[w]) if b.hot[w] else (b.number, w)
+                assert abs(root.setdefault(key, p) - p) < 1e-12
+        unknown = language_model.new_root(after) / (1 + after["customers"][0])
+        assert abs(sum(p for k, p in root.items()) + unknown - 1) < 1e-9 or any(b.own_counts[b.hot == 0].min(initial=1) == 0 for b in rows)
+        known = {k for b in rows for w, n in enumerate(b.own_counts) for k in [("hot", b.hot[w]) if b.hot[w] else (b.number, w)] if n > 0 or b.hot[w]}
+        total_root = sum(root[k] for k in known) + unknown
+        assert abs(total_root - 1) < 1e-9
+        _, d1, d2 = after["discounts"]
+        contexts = np.unique(np.concatenate([b.context[b.counts > 0] for b in rows]))
+        for c in rng.choice(contexts, 40):
+            k = c // language_model.HASHES
+            middle = {key: (1 + d1 * after["tables"][1][k]) * p / (1 + after["customers"][1][k]) for key, p in root.items() if key in known}
+            leaf = {}
+            for b, s in zip(rows, seats, strict=True):
+                name = lambda w, b=b: ("hot", b.hot[w]) if b.hot[w] else (b.number, w)
+                values = b.middles(after, s[1], s[2], b.roots(after, s[3], s[4]))
+                for w, q, p in zip(b.middle_word, b.middle_class, values, strict=True):
+                    if q == k and name(w) in known:
+                        middle[name(w)] = p
+                for w, q, p in zip(b.word, b.context, b.predictive(after, s), strict=True):
+                    if q == c and name(w) in known:
+                        leaf[name(w)] = p
+            back = (1 + d2 * after["tables"][2][c]) / (1 + after["customers"][2][c])
+            nothing = back * (1 + d1 * after["tables"][1][k]) / (1 + after["customers"][1][k]) * unknown
+            assert abs(sum(leaf.get(key, back * p) for key, p in middle.items()) + nothing - 1) < 1e-9
+
+
+def test_language_model_without_training_and_with_one_word(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    got = language_model.score(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string")).collect()
+    assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) and r.score <= 0 for r in got)
+    trained = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:60]
+    got = language_model.score(spark.createDataFrame([(i, "word " * 4000) for i in trained], "doc_id long, text string")).collect()
+    assert all(r.n_tokens == 4001 and r.score / r.n_tokens > -0.01 for r in got)
+
+
+def test_score_is_the_mean_of_the_samples(spark, docs):
+    """One bucket and block, worked out again token by token from seats and totals."""
+    rows = [(i, t or "") for i, t in corpus()]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    _, buckets = language_model.gather(table)
+    _, samples = language_model.fit(buckets.drop("asked"))
+    b = language_model.Bucket(buckets.drop("asked").first().asDict())
+    lower = {t.translate(LOWER) for _, t in rows}
+    listed = sorted({w for t in lower for w in re.findall("[^\x20\x09-\x0d]+", t)} | {""}, key=lambda w: w.encode())
+    number = {w: k for k, w in enumerate(listed)}
+    classes = {w: b.hot[k] for w, k in number.items()}
+    p = sum(b.predictive(after, b.seats(before, seed)) for seed, before, after in samples) / len(samples)
+    known = {(w, c): x for w, c, x in zip(b.word.tolist(), b.context.tolist(), p.tolist(), strict=True)}
+    expected = collections.defaultdict(list)
+    for i, t in rows:
+        total, last, before = 0.0, 0, ""
+        for w in [*re.findall("[^\x20\x09-\x0d]+", t.translate(LOWER)), ""]:
+            total += math.log10(known[number[w], last * language_model.HASHES + zlib.crc32(before.encode()) % language_model.HASHES])
+            if w and classes[w]:
+                last = int(classes[w])
+            before = w
+        expected[i].append(total)
+    got = collections.defaultdict(list)
+    for r in language_model.score(table).collect():
+        got[r.doc_id].append(r.score)
+    assert all(np.allclose(sorted(got[i]), sorted(x), atol=2e-6 * 3001) for i, x in expected.items()) and set(got) == set(expected)
 
 
 def test_neighbours_recall_and_order(spark):
