@@ -7,23 +7,26 @@ former moves large inner products. Codes come from coordinate descent over subsp
 weighted least squares over all subspaces at once.
 
 A query's products with the centres are a table; candidates are scored by table look-ups over the code
-bytes, the RERANK best of each block are scored again on the original vectors in double precision, and the
-best of all blocks are the answer. Ties go to the smaller identifier.
+bytes, the RERANK best of each part, and what scores like the last of them, are scored again on the original vectors in double precision, and the
+best of all parts are the answer. Ties go to the smaller identifier.
 
 Codebooks are fitted on SAMPLE vectors at most (those of least hash, a documented bound); every vector is
-coded and searched. Queries and candidates meet in blocks: query blocks are sent to each candidate
-partition, and nothing that grows with the input is broadcast or collected.
+coded and searched. Equal vectors are searched, and asked for, once: of their identifiers the k + 1 least go
+along. Candidates fall into parts of BLOCK, queries into slices of QUERY_BLOCK, and each pair of these is a
+task of its own, which holds the part while the slice streams by. Nothing that grows with the input is
+broadcast or collected.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 dimension isn't the most common one (of equally common ones the smallest), and rows with a null identifier. Rows
-that share an identifier are candidates each, but not for a query of their own identifier; as queries the least of
-their vectors stands for them. With no vectors left the result is empty.
+that share an identifier, repeated ones too, are candidates each, but not for a query of their own identifier; as
+queries the least of their vectors stands for them. With no vectors left the result is empty.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from lexspark.llm import common
 SUB, CENTRES = 2, 16
 SAMPLE, ROUNDS, THRESHOLD = 6000, 4, 0.2
 RERANK = 256
-#: Vectors of a candidate block, and of a query block.
+#: Different vectors of a part of the candidates, and of a slice of the queries.
 BLOCK, QUERY_BLOCK = 16_384, 1024
 
 
@@ -132,85 +135,100 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
+def _codes_step(model):
+    def step(batches):
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column("v")
+                packed = model.value.packed(model.value.codes(column.flatten().to_numpy().reshape(batch.num_rows, -1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in packed], pa.binary())], names=[*batch.schema.names, "codes"])
+
+    return step
+
+
 def search(vectors: DataFrame, k: int, *, every: int, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each row whose identifier `every` divides."""
     spark = vectors.sparkSession
     fine = common.cut(usable(vectors, id_col, vector_col))
-    total = fine.count()
-    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    key = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+    rows = fine.select(*key, "vec_id", "v")
+    counted = rows.groupBy("h1", "h2", "vec_id").agg(F.count("*").alias("n"))
+    # of equal vectors the k + 1 least identifiers can be among k neighbours of any query
+    first = counted.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    ids = first.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    groups = common.cut(rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(ids, ["h1", "h2"]))
+    total = groups.count()
+    sample = groups.orderBy("h1", "h2").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], SCHEMA)
     model = spark.sparkContext.broadcast(Quantiser.fit(np.array([r.v for r in sample])))
-    parts = -(-total // BLOCK)
-    candidates = fine.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
-    queries = fine.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("part", F.lit(0).alias("kind"), "vec_id", "v")
-    mixed = queries.union(candidates).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    queries = fine.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), *key)
+    asked = common.cut(groups.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v"))
+    n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], SCHEMA)
+    parts, slices = -(-total // BLOCK), -(-n_asked // QUERY_BLOCK)
+    coded = common.staged(common.map_arrow(groups, _codes_step(model), "h1 long, h2 long, v array<double>, ids array<struct<vec_id:bigint,n:bigint>>, codes binary"), "neighbours")
+    # a grid of cells: each holds one part of the candidates and one slice of the queries
+    others = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    candidates = coded.select("*", F.pmod("h1", F.lit(parts)).alias("part"), others.alias("slice")).select((F.col("part") * slices + F.col("slice")).cast("int").alias("cell"), F.lit(0).alias("kind"), "h1", "h2", "v", "ids", "codes")
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = asked.select("*", F.pmod("h2", F.lit(slices)).alias("slice"), every_part.alias("part"))
+    dealt = dealt.select((F.col("part") * slices + F.col("slice")).cast("int").alias("cell"), F.lit(1).alias("kind"), "h1", "h2", "v", F.lit(None).cast("array<struct<vec_id:bigint,n:bigint>>").alias("ids"), F.lit(None).cast("binary").alias("codes"))
+    mixed = candidates.union(dealt).repartitionById(parts * slices, F.col("cell")).sortWithinPartitions("cell", "kind")
+    local = common.map_arrow(mixed, _cell_step(model, k, rerank), "h1 long, h2 long, vec_id long, score double")
+    best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
+    ranked = local.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    lists = ranked.groupBy("h1", "h2").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))), lambda x: F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score"))).alias("found"))
+    own = queries.join(lists, ["h1", "h2"]).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+
+
+def _cell_step(model, k: int, rerank: int):
+    """A cell's candidates come first, a bounded number; its queries then pass as a stream."""
 
     def step(batches):
-        quantiser = model.value
-        asked: dict[str, list] = {}
-
-        def flush(part, ids, rows):
-            x = np.concatenate(rows)
-            names = np.concatenate(ids)
-            for q in asked["blocks"]:
-                yield from _scan(quantiser, q, names, x, k, rerank)
-
-        # a part's queries come first; its candidates then pass in blocks of bounded size
-        part, ids, rows, held = None, [], [], 0
+        cell, held, ready = None, [], None
         for batch in batches:
-            where = batch.column("part").to_numpy()
-            kind = batch.column("kind").to_numpy()
-            names = batch.column("vec_id").to_numpy()
-            column = batch.column("v")
-            x = column.flatten().to_numpy().reshape(len(names), -1) if len(names) else np.zeros((0, 0))
-            for p in np.unique(where):
-                own = where == p
-                if p != part:
-                    if held:
-                        yield from flush(part, ids, rows)
-                    part, ids, rows, held, asked = p, [], [], 0, {"blocks": []}
-                q = own & (kind == 0)
-                for i in range(0, int(q.sum()), QUERY_BLOCK):
-                    asked["blocks"].append((names[q][i : i + QUERY_BLOCK], x[q][i : i + QUERY_BLOCK]))
-                c = own & (kind == 1)
-                if c.any():
-                    ids.append(names[c])
-                    rows.append(x[c])
-                    held += int(c.sum())
-                    if held >= BLOCK:
-                        yield from flush(part, ids, rows)
-                        ids, rows, held = [], [], 0
-        if held:
-            yield from flush(part, ids, rows)
-
-    local = common.map_arrow(mixed, step, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _scan(quantiser: Quantiser, queries, names: np.ndarray, x: np.ndarray, k: int, rerank: int):
-    order = np.argsort(names, kind="stable")
-    names, x = names[order], x[order]
-    codes = np.ascontiguousarray(quantiser.packed(quantiser.codes(x)).T)
-    out_q, out_v, out_s = [], [], []
-    for query, q in zip(*queries, strict=True):
-        tables = quantiser.tables(q)
-        found = tables[0][codes[0]]
-        for t, c in zip(tables[1:], codes[1:], strict=True):
-            found += t[c]
-        found[names == query] = -np.inf
-        near = np.arange(len(found))
-        if len(found) > rerank:  # equal vectors score alike: of the last ones, the smaller identifiers
-            least = np.partition(found, -rerank)[-rerank]
-            above = np.flatnonzero(found > least)
-            near = np.concatenate((above, np.flatnonzero(found == least)[: rerank - len(above)]))
-        near = near[names[near] != query]
-        scores = exact(x[near], q)
-        order = np.lexsort((names[near], -scores))[:k]
-        out_q.append(np.full(len(order), query))
-        out_v.append(names[near][order])
-        out_s.append(scores[order])
-    if out_q:
-        yield common.arrow_batch(query_id=pa.array(np.concatenate(out_q), pa.int64()), vec_id=pa.array(np.concatenate(out_v), pa.int64()), score=pa.array(np.concatenate(out_s), pa.float64()))
+            where, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (np.diff(where) != 0) | (np.diff(kind) != 0))) if len(where) else [])
+            for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
+                if where[a] != cell:
+                    cell, held, ready = where[a], [], None
+                rows = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    held.append(rows)
+                elif held:
+                    ready = ready or _Candidates(model.value, held)
+                    yield from ready.answer(rows, k, rerank)
+
+    return step
+
+
+class _Candidates:
+    def __init__(self, quantiser: Quantiser, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.quantiser = quantiser
+        order = np.lexsort((table["h2"].to_numpy(), table["h1"].to_numpy()))  # whatever order they came in
+        self.x = pc.list_flatten(table["v"]).to_numpy().reshape(len(order), -1)[order]
+        self.codes = np.ascontiguousarray(np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(order), -1)[order].T)
+        self.ids = [[(i["vec_id"], i["n"]) for i in own] for own in table["ids"].take(pa.array(order)).to_pylist()]
+
+    def answer(self, rows: pa.RecordBatch, k: int, rerank: int):
+        """The k + 1 best of these candidates for each query; of equal ones the least identifiers."""
+        q = rows.column("v").flatten().to_numpy().reshape(rows.num_rows, -1)
+        out: list[list] = [[], [], [], []]
+        for h1, h2, v in zip(rows.column("h1").to_pylist(), rows.column("h2").to_pylist(), q, strict=True):
+            tables = self.quantiser.tables(v)
+            found = tables[0][self.codes[0]]
+            for t, c in zip(tables[1:], self.codes[1:], strict=True):
+                found += t[c]
+            # all that score like the last one, too: very similar vectors have the same code
+            near = np.flatnonzero(found >= np.partition(found, -rerank)[-rerank]) if len(found) > rerank else np.arange(len(found))
+            scores = exact(self.x[near], v)
+            best = np.sort(scores)[-(k + 1) :][0]  # groups hold one identifier at least
+            hits = [(-s, i) for s, g in zip(scores.tolist(), near.tolist(), strict=True) if s >= best for i, n in self.ids[g] for _ in range(min(n, k + 1))]
+            for s, i in sorted(hits)[: k + 1]:
+                for column, value in zip(out, (h1, h2, i, -s), strict=True):
+                    column.append(value)
+        yield common.arrow_batch(h1=pa.array(out[0], pa.int64()), h2=pa.array(out[1], pa.int64()), vec_id=pa.array(out[2], pa.int64()), score=pa.array(out[3], pa.float64()))
