@@ -13,9 +13,10 @@ far as a quarter of the budget allows, then holds the span. Loss falls on the te
 assistant turns; those repeated as history were targets in an earlier window and are masked. A turn longer
 than the budget has a window of its own and is kept whole.
 
-Long conversations are dealt in stretches of STRETCH turn numbers, so no task needs a whole conversation
-to format it: a stretch is given the system turn and the last HISTORY turn numbers of the stretch before,
-and windows end where a stretch ends. Rows pass as a stream, and memory is bounded by one window.
+Long conversations are dealt in stretches of about STRETCH turns, so no task needs a whole conversation to
+format it: a stretch is given the system turn and the last HISTORY turns of the stretch before, and windows
+end where a stretch ends. A turn's place is the number of rows with lower turn numbers, whatever gaps these
+leave; rows of one number stay together. Rows pass as a stream, and memory is bounded by one window.
 
 A null text or role is empty; a null turn number sorts first. Rows that repeat a turn number are turns of
 their own, ordered by role and text. Rows of a null conversation form one conversation. An empty table
@@ -30,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm import common
@@ -104,13 +105,18 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
     span doesn't hold leads, tokens, the formatted text and the loss spans (code points)."""
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), common.text_of("role").alias("role"), common.text_of("text").alias("text"))
     at = F.coalesce("turn", F.lit(-(2**62)))
-    t = t.withColumn("stretch", F.floor(at / stretch).cast("long"))
+    numbers = t.groupBy(F.col("conv_id").alias("c"), at.alias("at")).agg(F.count("*").alias("n"))
+    lower = Window.partitionBy("c").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    places = numbers.select("c", "at", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("place"))
+    t = t.join(places, t.conv_id.eqNullSafe(places.c) & (at == places["at"])).drop("c", "at")
+    t = t.withColumn("stretch", F.floor(F.col("place") / stretch).cast("long"))
     own = t.withColumn("kind", F.lit(2))
-    tail = t.where(F.pmod(at, F.lit(stretch)) >= stretch - history).withColumn("stretch", F.col("stretch") + 1).withColumn("kind", F.lit(1))
+    tail = t.where(F.col("place") % stretch >= stretch - history).withColumn("stretch", F.col("stretch") + 1).withColumn("kind", F.lit(1))
     # the system turn, for stretches other than its own; few conversations are that long
     lead = t.groupBy("conv_id").agg(F.min(F.struct(at.alias("at"), "role", "text", "turn", "stretch")).alias("s"), F.max("stretch").alias("last")).where((F.col("last") > F.col("s.stretch")) & (F.col("s.role") == "system"))
     later = t.select(F.col("conv_id").alias("c"), F.col("stretch").alias("k")).distinct()
     systems = lead.join(later, lead.conv_id.eqNullSafe(later.c) & (later.k > F.col("s.stretch"))).select("conv_id", F.col("s.turn").alias("turn"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), F.col("k").alias("stretch"), F.lit(0).alias("kind"))
+    own, tail = own.drop("place"), tail.drop("place")
     dealt = own.unionByName(tail).unionByName(systems)
     dealt = dealt.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "turn", "role", "text")
     return common.map_arrow(dealt.select("conv_id", "stretch", "kind", "turn", "role", "text"), _windows_step(tokenizer, budget, history), WINDOWS)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.plans.storage import cut, drop, shared_dir, staged, workspace  # noqa: F401  for the operators
+
 #: Bytes of text that a Python step holds at once.
 SLICE_BYTES = 4 << 20
 
@@ -20,41 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. spark.checkpoint.dir names it; only where
-    that is unset, as in local tests, a temporary folder of this machine stands in."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexspark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in files that survive lost executors."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
-def staged(frame: DataFrame, name: str) -> DataFrame:
-    """As cut(), for wide rows: a Parquet table in the shared folder, compressed and columnar."""
-    spark = frame.sparkSession
-    path = workspace(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def text_of(column: str) -> "F.Column":
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of `column`; a longer row stands alone."""
+    """The same rows in batches of about `limit` bytes of `column`; a longer row stands alone. Memory that Arrow
+    keeps for reuse goes back after each batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def arrow_batch(**columns) -> pa.RecordBatch:

@@ -3,7 +3,8 @@
 Test items and documents are normalised alike: A-Z in lower case, words of digits, letters and every
 character beyond ASCII, a single space between words. A window is `size` consecutive words of an item; an
 item of fewer words, but at least one, is one window. One automaton over all windows scans each text
-once; word numbers of the hits are mapped back to offsets of the original text.
+once. Its symbols are words, by their number among the items' words; places of hits are mapped back to offsets
+of the original text.
 
 A document word is hit if it lies inside an occurrence of a window. Null texts, and texts and items
 without words, hit nothing. Repeated documents and items each count on their own; empty tables of either
@@ -15,6 +16,7 @@ of more than PASS_BYTES are split over several passes, each with an automaton of
 
 from __future__ import annotations
 
+import bisect
 import re
 import uuid
 from collections.abc import Iterable
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-PASS_BYTES = 512 << 10
+PASS_BYTES = 2 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -36,40 +38,42 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows_of(items: Iterable[tuple], size: int) -> dict[str, list]:
-    """Each window, between spaces, with the items that hold it."""
-    found: dict[str, dict] = {}
+def windows_of(items: Iterable[tuple], size: int) -> dict[tuple, list]:
+    """Each window, as a tuple of words, with the items that hold it."""
+    found: dict[tuple, dict] = {}
     for item, text in items:
-        words = [w.decode() for w in words_of(text or "")]
+        words = words_of(text or "")
         for i in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(f" {' '.join(words[i : i + size])} ", {})[item] = None
+            found.setdefault(tuple(words[i : i + size]), {})[item] = None
     return {w: list(own) for w, own in found.items()}
 
 
-def automaton_of(windows: dict[str, list]) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for window, own in windows.items():
-        found.add_word(window, (window.count(" ") - 1, own))
-    found.make_automaton()
-    return found
-
-
-def hits_in(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """(merged runs of word numbers that windows cover, items)."""
-    text = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    runs: list[tuple[int, int]] = []
-    items: set = set()
-    at = spaces = 0
-    for end, (n, own) in automaton.iter(text):
-        spaces += text.count(" ", at, end + 1)
-        at = end + 1
-        stop = spaces - 1
-        items.update(own)
-        start = stop - n
-        while runs and start <= runs[-1][1]:
-            start = min(start, runs.pop()[0])
-        runs.append((start, stop))
-    return runs, items
+class Windows:
+    """The automaton, and the numbers of its words; every other word is 0."""
+
+    def __init__(self, windows: dict[tuple, list]):
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, own in windows.items():
+            self.automaton.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window), (len(window), own))
+        if windows:
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """(merged runs of word numbers that windows cover, items)."""
+        runs: list[tuple[int, int]] = []
+        items: set = set()
+        get = self.numbers.get
+        coded = tuple(get(w, 0) for w in words)
+        if not self.numbers or not any(coded):
+            return runs, items
+        for last, (n, own) in self.automaton.iter(coded):
+            items.update(own)
+            start, stop = last + 1 - n, last + 1
+            while runs and start <= runs[-1][1]:
+                start = min(start, runs.pop()[0])
+            runs.append((start, stop))
+        return runs, items
 
 
 HITS = "struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<start:bigint,stop:bigint>>>"
@@ -97,42 +101,43 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, *, text_col: str = "
     return out
 
 
-_automata: dict[str, ahocorasick.Automaton] = {}
+_automata: dict[str, Windows] = {}
 
 
 def _step(held, text_col: str, kept: list[str]):
     key = uuid.uuid4().hex
 
     def step(batches):
-        if key not in _automata:
+        if key not in _automata:  # a worker holds one
             _automata.clear()
-            _automata[key] = automaton_of(held.value)
-        automaton = _automata[key]
-        some = bool(held.value)
+            _automata[key] = Windows(held.value)
+        windows = _automata[key]
         for batch in common.slices(batches, text_col):
             texts, before = batch.column(text_col).to_pylist(), batch.column("hits").to_pylist()
             rows = []
             for text, had in zip(texts, before, strict=True):
                 words = words_of(text) if text else []
-                runs, items = hits_in(automaton, words) if some and words else ([], set())
+                runs, items = windows.hits(words)
                 spans = []
-                if runs:
-                    places = [m.span() for m in WORD.finditer(text)]
-                    spans = [(places[a][0], places[b - 1][1]) for a, b in runs]
-                n_hit = sum(b - a for a, b in runs)
+                places = [m.span() for m in WORD.finditer(text)] if runs or had and had["n_hit"] else []
                 if had and had["n_hit"]:  # join with what an earlier pass found
-                    places = places if runs else [m.span() for m in WORD.finditer(text)]
-                    merged: list[tuple[int, int]] = []
-                    for a, b in sorted(spans + [(s["start"], s["stop"]) for s in had["spans"]]):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                        else:
-                            merged.append((a, b))
-                    spans, items = merged, items | set(had["items"])
-                    n_hit = sum(any(a <= x and y <= b for a, b in spans) for x, y in places)
-                rows.append((len(words), n_hit, sorted(i for i in items if i is not None), [{"start": a, "stop": b} for a, b in spans]))
+                    starts = [a for a, _ in places]
+                    runs = merged([*runs, *((bisect.bisect_left(starts, x["start"]), bisect.bisect_left(starts, x["stop"])) for x in had["spans"])])
+                    items |= set(had["items"])
+                spans = [(places[a][0], places[b - 1][1]) for a, b in runs]
+                rows.append((len(words), sum(b - a for a, b in runs), sorted(i for i in items if i is not None), [{"start": a, "stop": b} for a, b in spans]))
             columns = list(zip(*rows, strict=True))
             hits = pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], _SPANS)], ["n_words", "n_hit", "items", "spans"])
             yield pa.RecordBatch.from_arrays([hits if c == "hits" else batch.column(c) for c in kept], names=kept)
 
     return step
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out

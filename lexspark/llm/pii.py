@@ -29,10 +29,11 @@ THRESHOLD, CONTEXT, WITH, AGAINST = 0.6, 40, 0.35, 0.3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only begin where a run of digits does: it takes runs whole.
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -67,6 +68,25 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
+#: Lengths of account numbers by country; other countries' may have any length from 15 to 34.
+IBAN_LENGTHS = dict(AT=20, BE=16, CH=21, CZ=24, DE=22, DK=18, ES=24, FI=18, FR=27, GB=22, GR=27, HU=28, IE=22, IT=27, LU=20, NL=18, NO=15, PL=28, PT=25, SE=24)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each proposal the longest beginning that ends with a word, has its country's length and passes: the
+    words behind an account number may look like parts of it."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 2
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and not (end < len(text) and text[end].isascii() and text[end].isalnum()):
+                own = m[0][: end - m.start()]
+                if len(own.replace(" ", "")) == IBAN_LENGTHS.get(own[:2], len(own.replace(" ", ""))) and mod97(own):
+                    yield m.start(), end
+                    at = end
+                    break
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -116,12 +136,10 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         return []
     found = [(k, a, b, score(k, text, a, b)) for k, a, b in _base(text)]
     if _DIGIT.search(text):
-        for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("local_phone", _LOCAL_PHONE)):
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if (kind != "iban" or mod97(m[0])) and not any(a < y and x < b for _, x, y, _ in found):
-                    if (s := score(kind, text, a, b)) >= THRESHOLD:
-                        found.append((kind, a, b, s))
+        further = [("iban", *x) for x in _ibans(text)] + [(kind, *m.span()) for kind, pattern in (("ssn", _SSN), ("local_phone", _LOCAL_PHONE)) for m in pattern.finditer(text)]
+        for kind, a, b in further:
+            if not any(a < y and x < b for _, x, y, _ in found) and (s := score(kind, text, a, b)) >= THRESHOLD:
+                found.append((kind, a, b, s))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -12,8 +12,8 @@ differ in one bit, one has it clear). What the tables return is kept if all 64 b
 
 Only distinct fingerprints take part, so copies never multiply. A table entry that over HEAVY distinct
 fingerprints share is not paired: its fingerprints, and those that ask for it, are entered under each of
-the 2016 values with two bits masked out. At most four distinct fingerprints share such a value, all
-within two bits of each other, so cost stays in proportion however large the group is.
+the 2016 values with two bits masked out. At most four distinct fingerprints share such a value, and all
+pairs of these are within two bits, so cost stays in proportion however large the group is.
 
 Null texts count as empty ones. Rows whose identifier is null take part; a component's identifier is the
 least that is not null, and null if there is none. Repeated rows each get their row. Empty tables give
@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from lexspark.llm import common
 from lexspark.llm.components import components
@@ -99,8 +100,8 @@ def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     values = [~((1 << j) | (1 << k)) & (2**64 - 1) for j, k in masks]
     masked = members.select("fp", F.posexplode(F.array(*[F.lit(v - 2**64 if v >= 2**63 else v) for v in values])).alias("which", "mask"))
     groups = masked.groupBy("which", F.col("fp").bitwiseAND(F.col("mask")).alias("rest")).agg(F.array_sort(F.collect_set("fp")).alias("fps"))  # four at most
-    stars = groups.where(F.size("fps") > 1).select(F.col("fps")[0].alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return light.union(stars).distinct()
+    pairs = groups.where(F.size("fps") > 1).select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b")).where("a < b")  # six at most
+    return light.union(pairs).distinct()
 
 
 def group(docs: DataFrame, size: int = 3, *, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -120,23 +121,28 @@ def group(docs: DataFrame, size: int = 3, *, id_col: str = "doc_id", text_col: s
 CELLS = 1 << 21
 
 
-SKETCHES = "row long, doc_id long, n long, content binary, part int, counts binary"
+SKETCHES = "row long, other long, doc_id long, n long, fp long, content binary, part int, counts binary"
 
 
 def _sketch_step(size: int):
-    """Of each text: number and hash of its distinct shingles. Then, of the task: how many texts hold a
-    shingle of a cell, in parts that can be added apart."""
+    """Of each text: number and hash of its distinct shingles, and its fingerprint. Then, of the task: how many
+    texts hold a shingle of a cell, in parts that can be added apart."""
 
     def step(batches):
         cells = np.zeros(CELLS, np.int64)
         for batch in common.slices(batches):
-            sets = [np.unique(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()]
+            sets, prints = [], []
+            for t in batch.column("text").to_pylist():
+                hashes = shingle_hashes(t, size)
+                prints.append(fingerprint(hashes))
+                sets.append(np.unique(hashes))
             cells += np.bincount(np.concatenate(sets) % np.uint64(CELLS), minlength=CELLS)
-            yield common.arrow_batch(row=batch.column("row"), doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), content=pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), part=pa.nulls(len(sets), pa.int32()), counts=pa.nulls(len(sets), pa.binary()))
+            none = pa.nulls(len(sets), pa.int32())
+            yield common.arrow_batch(row=batch.column("row"), other=batch.column("other"), doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), fp=pa.array(np.array(prints, np.uint64).view(np.int64)), content=pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), part=none, counts=pa.nulls(len(sets), pa.binary()))
         if cells.any():
             parts = np.minimum(cells, 2**31 - 1).astype("<u4").reshape(64, -1)
             none = pa.nulls(64, pa.int64())
-            yield common.arrow_batch(row=none, doc_id=none, n=none, content=pa.nulls(64, pa.binary()), part=pa.array(np.arange(64, dtype=np.int32)), counts=pa.array([p.tobytes() for p in parts], pa.binary()))
+            yield common.arrow_batch(row=none, other=none, doc_id=none, n=none, fp=none, content=pa.nulls(64, pa.binary()), part=pa.array(np.arange(64, dtype=np.int32)), counts=pa.array([p.tobytes() for p in parts], pa.binary()))
 
     return step
 
@@ -185,36 +191,55 @@ def _prefix_step(levels, size: int, similarity: float):
     return step
 
 
+def _free(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _hashable(f) -> "F.Column":
+    return F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")
+
+
 def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents but for near copies: of each group the one of least identifier (null last) stays, in
-    all its columns.
+    """The documents but for near copies: of each group the one of least identifier (null last; of equal ones
+    that of least hash over all columns) stays, in all its columns. The documents are read several times, so
+    give a table rather than a computation.
 
     Groups are joined by links; a link is a Jaccard similarity of `similarity` or more of the sets of
-    `size`-word shingles. Links are found exactly. Shingles have one order throughout, rare ones first (by
-    counts of hash cells, then by hash; any order gives the same groups). Two sets that link share one of the
-    n - ceil(similarity * n) + 1 first shingles of both, and at the first they share enough is left in each.
-    Texts of equal shingle sets are put together first, so copies don't multiply. Of the sets that share
-    such a shingle, each is compared to the one where it stands furthest in front (the original of edited
-    copies, which has no rare shingles of its own); then all pairs that are not in one group yet are
-    compared, so a large group of near copies costs in proportion but no link between groups is left
-    untested. Empty texts are copies of each other."""
+    `size`-word shingles. Texts of equal shingle sets are put together first, so copies don't multiply. Then the
+    candidates of multi-index hashing (fingerprints that are equal or within RADIUS bits) are compared, each
+    fingerprint's texts with its first one. What these candidates miss is found exactly: shingles have one
+    order throughout, rare ones first (by counts of hash cells, then by hash; any order gives the same groups).
+    Two sets that link share one of the n - ceil(similarity * n) + 1 first shingles of both, and at the first
+    they share enough is left in each. Of the sets that share such a shingle, each is compared to the one where
+    it stands furthest in front (the original of edited copies, which has no rare shingles of its own); then
+    all pairs that are not in one group yet are compared, so a large group of near copies costs in proportion
+    but no link between groups is left untested. Null and empty texts are copies of each other."""
     spark = docs.sparkSession
-    base = common.staged(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup")
-    narrow = base.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
-    sketched = common.staged(common.map_arrow(narrow, _sketch_step(size), SKETCHES), "dedup-sketches")
-    sketches = sketched.where("part is null").select("row", "doc_id", "n", "content")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = sketches.groupBy("content").agg(F.min(rank).alias("rank"), F.first("n").alias("n"))
-    classes = common.cut(classes.select(F.col("rank.row").alias("row"), "rank", "content", "n"))
+    r1, r2 = _free(docs.columns, "row1"), _free(docs.columns, "row2")
+    whole = [_hashable(f) for f in docs.schema.fields]
+    keyed = docs.withColumns({r1: F.xxhash64(*whole), r2: F.xxhash64(F.lit(1), *whole)})  # tells rows apart wherever they stand
+    narrow = keyed.select(F.col(r1).alias("row"), F.col(r2).alias("other"), F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
+    made: list[str] = []
+
+    def staged(frame: DataFrame) -> DataFrame:
+        """A table that goes again before the call ends."""
+        made.append(common.workspace(spark, "dedup"))
+        frame.write.parquet(made[-1])
+        return spark.read.schema(frame.schema).parquet(made[-1])
+
+    sketched = staged(common.map_arrow(narrow, _sketch_step(size), SKETCHES))
+    sketches = sketched.where("part is null").drop("part", "counts")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "other")
+    classes = sketches.groupBy("content").agg(F.min(rank).alias("rank"), F.first("n").alias("n"), F.min("fp").alias("fp"))
+    classes = common.cut(classes.select(F.col("rank.row").alias("row"), F.col("rank.other").alias("other"), "rank", "content", "n", "fp"))
     parts = sketched.where("part is not null").select("part", "counts")
     level = np.zeros((64, CELLS // 64), np.uint8)
     for r in common.map_arrow(parts.repartition(8, "part"), _levels_step, "part int, levels binary").collect():
         level[r.part] = np.frombuffer(r.levels, np.uint8)
-    copies = common.cut(sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select("row"))
-    tokens = common.map_arrow(narrow.select("row", "text"), _prefix_step(spark.sparkContext.broadcast(level.reshape(-1)), size, similarity), "token int, row long, n int, at int").join(copies, "row", "left_anti")
-    together = Window.partitionBy("token")
-    shared_by = tokens.withColumn("c", F.count("*").over(together)).withColumn("head", F.min(F.struct("at", "row", "n")).over(together)).where("c > 1").drop("c")
-    shared_by = common.staged(shared_by, "dedup-tokens")
+    copies = common.cut(sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select("row", "other").distinct())
+    repeats = common.cut(sketches.groupBy("row", "other").count().where("count > 1").select("row", "other"))
 
     def possible(na, nb, at_a, at_b):
         return F.least(na - at_a, nb - at_b) * (1 + similarity) >= similarity * (na + nb) - 1e-9
@@ -223,21 +248,37 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
         """Those of the pairs that link."""
         pairs = common.cut(pairs.distinct())
         wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        own = common.staged(common.map_arrow(narrow.join(wanted, "row", "left_semi").select("row", "text"), _sets_step(size), "row long, shingles array<long>"), "dedup-sets")
+        own = staged(common.map_arrow(narrow.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", "text"), _sets_step(size), "row long, shingles array<long>"))
         shared = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
         return common.cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
-    values = classes.select(F.col("row").alias("node"), F.col("rank").alias("value"))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    firsts = common.cut(classes.groupBy("fp").agg(F.min("row").alias("head")))
+    within = classes.join(firsts, "fp").where("row <> head").select(*ordered(F.col("row"), F.col("head")))
+    between = links(firsts.select("fp")).join(firsts.toDF("a", "ra"), "a").join(firsts.toDF("b", "rb"), "b").select(*ordered(F.col("ra"), F.col("rb")))
+    hashed = within.union(between)
+
+    fronts = common.map_arrow(narrow.select("row", "text"), _prefix_step(spark.sparkContext.broadcast(level.reshape(-1)), size, similarity), "token int, row long, n int, at int").join(copies.select("row"), "row", "left_anti")
+    together = Window.partitionBy("token")
+    shared_by = fronts.withColumn("c", F.count("*").over(together)).withColumn("head", F.min(F.struct("at", "row", "n")).over(together)).where("c > 1").drop("c")
+    shared_by = staged(shared_by)
     to_heads = shared_by.where((F.col("row") != F.col("head.row")) & possible(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at")))
-    first = alike(to_heads.select(F.least("row", "head.row").alias("a"), F.greatest("row", "head.row").alias("b")))
+    values = classes.select(F.col("row").alias("node"), F.col("rank").alias("value"))
+    first = alike(hashed.union(to_heads.select(*ordered(F.col("row"), F.col("head.row")))))
     groups = components(first, values).select(F.col("node").alias("row"), F.col("value.row").alias("group"))
     grouped = shared_by.select("token", "row", "n", "at").join(groups, "row", "left").withColumn("group", F.coalesce("group", "row"))
     several = grouped.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("token")
-    grouped = common.staged(grouped.join(several, "token", "left_semi"), "dedup-apart")
+    grouped = staged(grouped.join(several, "token", "left_semi"))
     x, y = grouped.alias("x"), grouped.alias("y")
     apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
-    second = alike(apart.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")))
+    second = alike(apart.select(*ordered(F.col("x.row"), F.col("y.row"))))
     found = components(first.union(second), values)
-    lost = found.where("value.row <> node").select(F.col("node").alias("__row"))
-    return base.join(lost.union(copies), "__row", "left_anti").drop("__row")
+    lost = common.cut(found.where("value.row <> node").select(F.col("node").alias("row")).join(classes.select("row", "other"), "row").union(copies))
+    for path in made:
+        common.drop(spark, path)
+    kept = keyed.join(lost.toDF(r1, r2), [r1, r2], "left_anti")
+    if not repeats.isEmpty():  # rows that are equal in every column: one of them stays
+        again = repeats.toDF(r1, r2)
+        kept = kept.join(again, [r1, r2], "left_anti").unionByName(kept.join(again, [r1, r2], "left_semi").dropDuplicates([r1, r2]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -8,8 +8,8 @@ shard out by the filter, or finds its block by binary search.
 
 Keys are the document's integer identifier, order-preserving: one byte 1 and the identifier as eight
 big-endian bytes with the sign bit flipped; a null identifier is the byte 0 and sorts first. Equal
-identifiers are stored one after another, each with its own ids. Null texts are empty texts. Columns
-other than the identifier and the text are left out.
+identifiers are stored one after another, each with its own ids; those of equal text too stay in one shard. Null texts
+are empty texts. Columns other than the identifier and the text are left out.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def get_varint(data: bytes, at: int) -> tuple[int, int]:
 def _bloom_places(key: bytes, bits: int) -> list[int]:
     h = xxhash.xxh3_128_intdigest(key)
     a, b = h & (2**64 - 1), (h >> 64) | 1
-    return [(a + i * b) % bits for i in range(PROBES)]
+    return [(a + i * b) % 2**64 % bits for i in range(PROBES)]
 
 
 class ShardWriter:
@@ -123,11 +123,11 @@ class ShardWriter:
         bits = max(64, BITS_PER_KEY * len(self.hashes))
         bloom = np.zeros(-(-bits // 8), np.uint8)
         bits = len(bloom) * 8
-        low = np.array([h & (2**64 - 1) for h in self.hashes], object)
-        high = np.array([(h >> 64) | 1 for h in self.hashes], object)
+        low = np.array([h & (2**64 - 1) for h in self.hashes], np.uint64)
+        high = np.array([h >> 64 | 1 for h in self.hashes], np.uint64)
         for i in range(PROBES if self.hashes else 0):
-            place = ((low + i * high) % bits).astype(np.int64)
-            np.bitwise_or.at(bloom, place >> 3, (1 << (place & 7)).astype(np.uint8))
+            place = (low + np.uint64(i) * high) % np.uint64(bits)
+            np.bitwise_or.at(bloom, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7)).astype(np.int64)).astype(np.uint8))
         self.sink.write(bytes(index))
         self.sink.write(bloom.tobytes())
         self.sink.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.keys, self.tokens, len(self.index), self.width, PROBES, MAGIC))
@@ -237,12 +237,14 @@ def read_shards(spark: SparkSession, folder: str, shards: list) -> DataFrame:
         filesystem, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for shard in batch.to_pylist():
-                at, out = shard["start"], ([], [], [], [])
-                for key, ids in ShardReader(filesystem, shard["path"]):
-                    for column, x in zip(out, (id_of(key), at, len(ids), zlib.crc32(ids.tobytes())), strict=True):
-                        column.append(x)
-                    at += len(ids)
-                yield common.arrow_batch(doc_id=pa.array(out[0], pa.int64()), start=pa.array(out[1], pa.int64()), n_tokens=pa.array(out[2], pa.int64()), ids_crc32=pa.array(out[3], pa.int64()), shard=pa.array([shard["shard"]] * len(out[0]), pa.int32()))
+                at, reader = shard["start"], ShardReader(filesystem, shard["path"])
+                for k in range(len(reader.places)):  # a batch for each block
+                    rows = []
+                    for key, ids in reader.block(k):
+                        rows.append((id_of(key), at, len(ids), zlib.crc32(ids.tobytes()), shard["shard"]))
+                        at += len(ids)
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in READ.split(", ")])
 
     frame = spark.createDataFrame(rows, "shard int, path string, start long")
     return common.map_arrow(frame.repartition(max(1, len(rows))), step, READ)

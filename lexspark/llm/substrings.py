@@ -5,8 +5,10 @@ another. Texts are UTF-8 bytes, null ones empty; matches never cross documents.
 
 1. Every string of `size` bytes has an anchor: of the K-byte strings in it that of least hash, the leftmost
    of equals. Equal strings have equal anchors at equal offsets. A document falls into pieces, runs of
-   strings that share an anchor's place; pieces are dealt by anchor. Pieces that are equal as a whole are
-   repeated throughout and need no further look, nor do pieces alone with their anchor.
+   strings that share an anchor's place. Pieces that are equal as a whole are repeated throughout and need no
+   further look, nor do pieces alone with their anchor. Equal pieces of a slice of texts become one before
+   anything is shuffled; pieces are dealt by anchor, but where a slice holds over CROWD different ones around
+   an anchor, by anchor and content, with a note to the anchor's home that there are others.
 2. Left are different pieces around one anchor. By how far in the anchor lies, their strings fall into
    CLASSES classes; equal strings of a class agree in its core, the bytes that all its strings have in
    common. Pieces without a partner in any core are dropped, the others cut to the classes that have
@@ -18,11 +20,14 @@ another. Texts are UTF-8 bytes, null ones empty; matches never cross documents.
    a suffix that differs from both is settled and leaves. What is left after `size` rounds has a common prefix of
    `size` bytes with a neighbour: the repeated strings.
 
-Work and memory follow the input: groups pass as streams or in chunks of CHUNK bytes; pieces around one
-anchor that share a core with more than HEAVY go another exact way, by counts of their strings' 128-bit
+Work and memory follow the input. A group that is merged holds HEAVY pieces at most: the pieces around an
+anchor, or where these are more, those of one core (a piece then takes part in the groups of all its cores,
+each time with the strings of that class). Small groups share chunks of CHUNK bytes. Pieces that share a core
+with more than HEAVY go another exact way, by counts of their strings' 128-bit
 hashes, as DataFrame aggregation, so that no task holds a group. Pieces that share any core with one of those
 go both ways, so every two pieces of a core meet on one of them. Repeated rows are copies of each other. Rows with null
-identifiers are treated like others. Only the two named columns are read; empty tables give empty results.
+identifiers are treated like others. Only the two named columns are read; empty tables give empty results. Very
+long texts are cut to overlapping stretches. `size` is from K + CLASSES to MOST; others are an error.
 """
 
 from __future__ import annotations
@@ -38,7 +43,9 @@ from pyspark.sql import functions as F
 from lexspark.llm import common
 
 K, CLASSES = 24, 4
-CHUNK, SHARDS, HEAVY = 1 << 20, 4, 3000
+CHUNK, SHARDS, HEAVY, CROWD = 1 << 20, 4, 3000, 16
+#: The greatest size, whose places fit their fields, and bytes of text that are searched at once.
+MOST, STRETCH = 2000, 1 << 26
 _SYMBOLS = (np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(2**28 - 1)
@@ -99,38 +106,67 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, size: int):
     return t, a - starts[t], b - starts[t], m - starts[t], h[m]
 
 
-PIECES = "anchor long, content long, k1 long, k2 long, place long, cores0 long, cores1 long"
+PIECES = "kind int, anchor long, content long, k1 long, k2 long, place long, cores0 long, cores1 long"
+#: Kinds of rows: a piece, one that is repeated in its slice, a note that an anchor has pieces elsewhere, a piece
+#: around a crowded anchor.
+PIECE, WHOLE, NOTE, CROWDED = range(4)
+
+
+def stretches(data: bytes, size: int):
+    """(offset, bytes): overlapping parts that hold every string once."""
+    for at in range(0, max(1, len(data) - size + 1), STRETCH):
+        yield at, data[at : at + STRETCH + size - 1]
 
 
 def _pieces_step(size: int):
     def step(batches):
         width = core_step(size)
+        digest = xxhash.xxh3_64_intdigest
         for batch in common.slices(batches):
             seen: dict[tuple, int] = {}
             texts, keys = [], []
             for t, *key in zip(batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True):
                 seen[tuple(key)] = n = seen.get(tuple(key), 0) + 1
                 if n <= 2:  # further copies in this batch tell nothing new
-                    texts.append(t.encode("utf-8", "surrogatepass"))
-                    keys.append(key)
+                    for at, part in stretches(t.encode("utf-8", "surrogatepass"), size):
+                        texts.append(part)
+                        keys.append((*key, at))
             joined = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts])
             t, a, b, m, h = pieces_of(np.frombuffer(joined, np.uint8), ends, size)
             if not len(t):
                 continue
             base = (ends - [len(x) for x in texts])[t]
-            view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
+            view = memoryview(joined)
             content = np.fromiter([digest(view[x:y]) for x, y in zip((a + base).tolist(), (b + base).tolist(), strict=True)], np.uint64, len(t))
+            _, first, which, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+            named = np.array(keys, np.int64).reshape(-1, 3)[t]
+            place = ((a + named[:, 2]) << 24) | ((m - a) << 12) | (b - a)
+            whole = np.flatnonzero(count[which] > 1)
+            # one of each content goes on, with what its strings have in common by class
+            a, b, m, base = a[first], b[first], m[first], base[first]
             cores = []
-            for j in range(CLASSES):  # what all strings have in common whose anchor lies j to j + 1 steps in
+            for j in range(CLASSES):  # all strings whose anchor lies j to j + 1 steps in
                 begin = m - j * width
                 fits = (begin >= a) & (begin + size - width <= b)
                 at = (begin + base)[fits]
                 core = np.zeros(len(m), np.uint64)
                 core[fits] = np.fromiter([digest(view[x : x + size - width]) | 1 for x in at.tolist()], np.uint64, len(at)) & np.uint64(2**32 - 1)
                 cores.append(core)
-            named = np.array(keys, np.int64).reshape(-1, 2)[t]
-            yield common.arrow_batch(anchor=h.view(np.int64), content=content.view(np.int64), k1=named[:, 0].copy(), k2=named[:, 1].copy(), place=(a << 24) | ((m - a) << 12) | (b - a), cores0=((cores[0] << np.uint64(32)) | cores[1]).view(np.int64), cores1=((cores[2] << np.uint64(32)) | cores[3]).view(np.int64))
+            anchors, anchor, around = np.unique(h[first], return_inverse=True, return_counts=True)
+            noted = anchors[around > CROWD].view(np.int64)
+            none, more = np.zeros(len(whole), np.int64), np.zeros(len(noted), np.int64)
+            columns = {
+                "kind": (np.where(around[anchor] > CROWD, CROWDED, PIECE), none + WHOLE, more + NOTE),
+                "anchor": (h[first].view(np.int64), none, noted),
+                "content": (content[first].view(np.int64), none, more + np.iinfo(np.int64).min),
+                "k1": (named[first, 0], named[whole, 0], more),
+                "k2": (named[first, 1], named[whole, 1], more),
+                "place": (place[first], place[whole], more),
+                "cores0": (((cores[0] << np.uint64(32)) | cores[1]).view(np.int64), none, more),
+                "cores1": (((cores[2] << np.uint64(32)) | cores[3]).view(np.int64), none, more),
+            }
+            yield common.arrow_batch(**{c: pa.array(np.concatenate(x), pa.int32() if c == "kind" else pa.int64()) for c, x in columns.items()})
 
     return step
 
@@ -140,23 +176,29 @@ FOUND = "mixed boolean, anchor long, content long, k1 long, k2 long, place long,
 
 def _classes_step(batches):
     """From pieces in order of (anchor, content): those whose content stands twice (mixed false), and one
-    piece of each content of anchors with several contents (mixed true). One piece is held over."""
+    piece of each content of anchors with several contents or notes (mixed true). One piece is held over."""
     names = [x.split()[0] for x in PIECES.split(", ")]
-    held = None  # (row, its class has two pieces or more so far, its class isn't its anchor's first)
+    held = None  # (row, its class has two pieces or more so far, its class went out before)
 
     def out(mixed, rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], mixed)), *(pa.array(r) for r in rows)], names=["mixed", *names])
+        rows = rows[:, rows[0] != NOTE]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], mixed)), *(pa.array(r) for r in rows[1:])], names=["mixed", *names[1:]])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([batch.column(c).to_numpy() for c in names])
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+        whole = rows[0] == WHOLE
+        if whole.any():
+            yield out(False, rows[:, whole])
+            rows = rows[:, ~whole]
+            if not rows.shape[1]:
+                continue
         two, later = False, False
         if held is not None:
             rows, two, later = np.concatenate((held[0], rows), axis=1), held[1], held[2]
-        n = rows.shape[1]
-        new_anchor = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
-        new = new_anchor | np.concatenate(([True], rows[1, 1:] != rows[1, :-1]))
+        new_anchor = np.concatenate(([True], rows[1, 1:] != rows[1, :-1]))
+        new = new_anchor | np.concatenate(([True], rows[2, 1:] != rows[2, :-1]))
         first = np.flatnonzero(new)
         number = np.cumsum(new) - 1
         count = np.bincount(number)
@@ -165,17 +207,18 @@ def _classes_step(batches):
         emit = repeated.copy()
         if held is not None and two:
             emit[0] = False  # it went out before
-        not_first = ~new_anchor[first]
-        not_first[0] = later
+        not_first = ~new_anchor[first] | np.logical_or.reduceat(rows[0] == CROWDED, first)
         followed = np.concatenate((~new_anchor[first][1:], [False]))
         rep = not_first | followed
+        last = bool(not_first[-1])
         if held is not None and later:
             rep[0] = False  # went out before
+            last = last or len(first) == 1
         if emit.any():
             yield out(False, rows[:, emit])
         if rep.any():
             yield out(True, rows[:, first[rep]])
-        held = (rows[:, first[-1] : first[-1] + 1], bool(count[-1] >= 2), bool(not_first[-1]))
+        held = (rows[:, first[-1] : first[-1] + 1], bool(count[-1] >= 2), last)
 
 
 def shard_transform(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,13 +325,13 @@ MARKS = "k1 long, k2 long, start long, stop long"
 
 def _merge_step(size: int):
     def step(batches):
-        held, weight, anchor = [], 0, None
+        held, weight, group = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "k1", "k2", "first", "bytes")), strict=True):
-                if row[0] != anchor and weight > CHUNK:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "k1", "k2", "first", "bytes")), strict=True):
+                if row[0] != group and weight > CHUNK:
                     yield from marked(held)
                     held, weight = [], 0
-                anchor = row[0]
+                group = row[0]
                 held.append(row)
                 weight += len(row[4])
         if held:
@@ -310,10 +353,10 @@ def _fetch_step(batches):
         out = []
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            out += [(r["anchor"], r["k1"], r["k2"], r["first"], data[r["first"] : r["first"] + r["length"]], r["heavy"], r["light"]) for r in asked]
+            out += [(r["group"], r["k1"], r["k2"], r["first"], data[r["first"] : r["first"] + r["length"]], r["heavy"], r["light"]) for r in asked]
         if out:
             c = list(zip(*out, strict=True))
-            yield common.arrow_batch(anchor=pa.array(c[0], pa.int64()), k1=pa.array(c[1], pa.int64()), k2=pa.array(c[2], pa.int64()), first=pa.array(c[3], pa.int64()), bytes=pa.array(c[4], pa.binary()), heavy=pa.array(c[5], pa.bool_()), light=pa.array(c[6], pa.bool_()))
+            yield common.arrow_batch(group=pa.array(c[0], pa.int64()), k1=pa.array(c[1], pa.int64()), k2=pa.array(c[2], pa.int64()), first=pa.array(c[3], pa.int64()), bytes=pa.array(c[4], pa.binary()), heavy=pa.array(c[5], pa.bool_()), light=pa.array(c[6], pa.bool_()))
 
 
 def _strings_step(size: int):
@@ -357,8 +400,11 @@ def _cut_step(batches):
 
 def repeated_spans(docs: DataFrame, size: int = 200, heavy: int = HEAVY) -> DataFrame:
     """(k1, k2, marks): for each distinct text with repeated strings, by its two hashes, the byte runs."""
+    if not K + CLASSES <= size <= MOST:
+        raise ValueError(f"size must be from {K + CLASSES} to {MOST}")
     pieces = common.map_arrow(docs.select("k1", "k2", "text").where(F.octet_length("text") >= size), _pieces_step(size), PIECES)
-    ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
+    home = F.when(F.col("kind") == CROWDED, F.xxhash64("anchor", "content")).when(F.col("kind") == WHOLE, F.xxhash64("k1", "place")).otherwise(F.xxhash64("anchor"))
+    ordered = pieces.repartition(home).sortWithinPartitions("anchor", "content")
     found = common.staged(common.map_arrow(ordered, _classes_step, FOUND), "substring-pieces")
     whole = found.where(~F.col("mixed")).select("k1", "k2", F.shiftright("place", 24).alias("start"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(F.lit(4095))).alias("stop"))
     mixed = found.where("mixed").drop("mixed")
@@ -372,19 +418,28 @@ def repeated_spans(docs: DataFrame, size: int = 200, heavy: int = HEAVY) -> Data
         hot = sided.join(heavies, ["anchor", "side", "part"], "left_semi").select("anchor", "content").distinct()
         touched = sided.join(hot, ["anchor", "content"], "left_semi").select("anchor", "side", "part").distinct()
         cored = cored.drop("touched").join(touched.withColumn("touched", F.lit(True)), ["anchor", "side", "part"], "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
-    asked = cored.groupBy("anchor", "content").agg(F.min(F.struct("k1", "k2", "place")).alias("p"), F.max("n").alias("n"), F.max("touched").alias("touched"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
+    whose = F.min(F.struct("k1", "k2", "place")).alias("p")
+    asked = cored.groupBy("anchor", "content").agg(whose, F.max("n").alias("n"), F.max("touched").alias("touched"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
     # of a piece, what the strings of classes with partners span
     step = core_step(size)
     start, anchor_at, length = F.shiftright("p.place", 24), F.shiftright("p.place", 12).bitwiseAND(F.lit(4095)), F.col("p.place").bitwiseAND(F.lit(4095))
     skip = F.greatest(F.lit(0), anchor_at - (F.col("last_side") + 1) * step)
     stop = F.least(length, anchor_at - F.col("first_side") * step + size)
-    asked = common.cut(asked.select("anchor", "p.k1", "p.k2", (start + skip).alias("first"), (stop - skip).alias("length"), F.col("touched").alias("heavy"), (F.col("n") <= heavy).alias("light")).where(F.col("length") >= size))
-    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "k1", "k2", "first", "length", "heavy", "light")).alias("asked"))  # no more than a text has pieces
+    span = ["p.k1", "p.k2", (start + skip).alias("first"), (stop - skip).alias("length")]
+    asked = common.cut(asked.select("anchor", F.col("anchor").alias("group"), *span, F.col("touched").alias("heavy"), (F.col("n") <= heavy).alias("light")).where(F.col("length") >= size))
+    big = common.cut(asked.where("light").groupBy("anchor").count().where(F.col("count") > heavy).select("anchor"))
+    if not big.isEmpty():  # of these, each core is a group of its own
+        by_core = cored.where(F.col("n") <= heavy).join(big, "anchor", "left_semi").groupBy("anchor", "content", "side", "part").agg(whose)
+        by_core = by_core.withColumns({"first_side": F.col("side"), "last_side": F.col("side")}).select("anchor", F.xxhash64("anchor", "side", "part").alias("group"), *span, F.lit(False).alias("heavy"), F.lit(True).alias("light")).where(F.col("length") >= size)
+        known = big.withColumn("big", F.lit(True))
+        rest = asked.join(known, "anchor", "left").withColumn("light", F.col("light") & F.col("big").isNull()).drop("big").where("light or heavy")
+        asked = common.cut(rest.select(*asked.columns).union(by_core))
+    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("group", "k1", "k2", "first", "length", "heavy", "light")).alias("asked"))  # no more than a text has pieces, CLASSES times
     once = docs.select("k1", "k2", "text").where(F.octet_length("text") >= size).join(by_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    fetched = common.map_arrow(once.select("text", "asked"), _fetch_step, "anchor long, k1 long, k2 long, first long, bytes binary, heavy boolean, light boolean")
+    fetched = common.map_arrow(once.select("text", "asked"), _fetch_step, "group long, k1 long, k2 long, first long, bytes binary, heavy boolean, light boolean")
     fetched = common.staged(fetched, "substring-bytes")
-    light = fetched.where("light").repartition("anchor").sortWithinPartitions("anchor")
-    merged = common.map_arrow(light.select("anchor", "k1", "k2", "first", "bytes"), _merge_step(size), MARKS)
+    light = fetched.where("light").repartition("group").sortWithinPartitions("group")
+    merged = common.map_arrow(light.select("group", "k1", "k2", "first", "bytes"), _merge_step(size), MARKS)
     marks = whole.union(merged)
     crowded = fetched.where("heavy")
     if not crowded.isEmpty():

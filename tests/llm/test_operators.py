@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexspark.llm import chat, decontaminate, language_model, neighbours, packing, pii, quality, simhash, sstable, substrings
@@ -88,7 +90,8 @@ def test_links_are_complete(spark):
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     expected = {tuple(sorted((signed[a], signed[b]))) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2}
     table = spark.createDataFrame([(x,) for x in signed], "fp long")
-    assert {(r.a, r.b) for r in simhash.links(table).collect()} == expected
+    for heavy in (simhash.HEAVY, 1):
+        assert {(r.a, r.b) for r in simhash.links(table, heavy).collect()} == expected
 
 
 def test_near_copies_keep_one(spark, docs):
@@ -99,6 +102,9 @@ def test_near_copies_keep_one(spark, docs):
     assert ids[303] == 1 and ids[305] == 1 and ids[306] == 0 and ids[300] == 1 and ids[301] == 0
     assert all(ids[100 + i] == 1 for i in range(6)) and all(ids[i] == 1 for i in range(60))
     assert simhash.deduplicate(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(1, "a b c d e f g", "x", {"k": 1}), (1, "a b c d e f g", "x", {"k": 1}), (1, "a b c d e f g", "y", None), (2, "other words in this text", "x", None), (2, "other words in this text", "x", None)], "doc_id long, text string, row1 string, m map<string,int>")
+    left = simhash.deduplicate(odd)
+    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
 
 
 def test_near_copies_against_all_pairs(spark):
@@ -160,6 +166,26 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert none == [] and sstable.read_shards(spark, folder, none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_gives_the_ids_of_the_library(name):
+    import pyarrow as pa
+
+    from lexspark.llm.encoding import ColumnEncoder
+
+    coder = ColumnEncoder(public_tokenizers.path(name), 2000)
+    assert coder.known
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    rng = random.Random(1)
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    parts = ["a", "b", " ", "  ", "\n", "\t", "\r", "é", "ß", "Σ", "'s", "'ll", "'", "12", ".", "!", *special, "<|endof", "A", "Z", "É", "\u00a0", "\u3000", "\u0301", "中", "İ", "K", "\x1c", "\x85", "_", "-", "ing", "The", "😀", "\u2009", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    texts += [t for x in special for t in (x, f"{x} a", f"a {x}", f"a{x}b", f"a {x} b", f"a\n{x}\nb", x.upper(), x[:-1])]
+    texts += [None, "", "word " * 50_000, "x" * 100_000]
+    values, at = coder.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert values[at[k] : at[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_packing_covers_every_token_once(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(docs, path, 1, 256).collect()
@@ -482,6 +508,13 @@ def test_personal_data():
     assert [s[0] for s in pii.find("IBAN DE89 3704 0044 0532 0130 00, her ssn 123-45-6789")] == ["iban", "ssn"]
     assert pii.find("the part with number 123-45-6789") == []
     assert not any(s[0] == "iban" for s in pii.find("IBAN DE88 3704 0044 0532 0130 00"))
+    for text in ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "account DE89370400440532013000 OR CALL", "konto: DE89 3704 0044 0532 0130 00 UND DANN"):
+        (found,) = [x for x in pii.find(text) if x[0] == "iban"]
+        assert text[found[1] : found[2]].replace(" ", "") == "DE89370400440532013000"
+    assert [x[0] for x in pii.find("iban GB82WEST12345698765432, iban DE89370400440532013000")] == ["iban", "iban"]
+    began = time.time()
+    assert pii.find("7" * 2_000_000) == [] and pii.find("1" * 300_000 + ".2.3.4") == []
+    assert time.time() - began < 5
     assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now")) == "mail [EMAIL] now" and pii.find(None) == []
 
 
@@ -518,6 +551,10 @@ def test_chat_round_trip(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
     for w in windows.collect():
         assert w.n_tokens <= 100 or w.n_turns == 1
+    # gaps in the numbers change nothing but the numbers
+    sparse = chat.windows(turns.withColumn("turn", F.col("turn") * 600), public_tokenizers.path("byte_bpe_50k.json"), 100, 3, 8)
+    plain = lambda w: sorted((str(r.conv_id), r.stretch, r.window, r.n_turns, r.repeated, r.formatted) for r in w.collect())
+    assert plain(sparse) == plain(windows) and any(r.repeated for r in windows.collect())
     assert chat.digests(chat.windows(empty(spark, "conv_id long, turn long, role string, text string"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
