@@ -12,6 +12,8 @@ texts go through as empty texts do: they are kept by every stage but near_copies
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +23,19 @@ from lexspark.llm import common, decontaminate, packing, pii, quality, simhash
 TOKENIZER = "word_bpe_49k.json"
 
 
+def beside(docs: DataFrame, name: str, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """use() over the documents, which adds a column of this name that goes again. One that they have
+    themselves is put aside meanwhile."""
+    free = name
+    while free in docs.columns:
+        free += "_"
+    moved = docs.withColumnsRenamed({name: free}) if free != name else docs
+    return use(moved).drop(name).withColumnsRenamed({free: name} if free != name else {}).select(*[f"`{c}`" for c in docs.columns])
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = quality.classify(docs, common.table(spark, sf_dir, "labels"))
-    return found.where("verdict.keep").drop("verdict")
+    labels = common.table(spark, sf_dir, "labels")
+    return beside(docs, "verdict", lambda d: quality.classify(d, labels).where("verdict.keep"))
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +43,13 @@ def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"), 10)
-    return found.where("hits.n_hit = 0").drop("hits")
+    items = common.table(spark, sf_dir, "benchmark")
+    return beside(docs, "hits", lambda d: decontaminate.scan(d, items, 10).where("hits.n_hit = 0"))
 
 
 def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.detect(docs, redacted=True).drop("pii")
-    return found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    safe = beside(docs, "pii", lambda d: pii.detect(d, redacted=True))
+    return safe.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
