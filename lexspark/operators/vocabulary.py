@@ -24,19 +24,37 @@ def document_frequency(docs: DataFrame, tokens: Column, at_least: int = 1) -> Da
     return found.where(F.col("df") >= at_least)
 
 
-def mutual_information(docs: DataFrame, tokens: Column, label: str, at_least: int = 3) -> DataFrame:
-    """(token, df, mi): of a token's presence and a 0/1 label, natural logarithm. Empty if there is one
-    class only. The two totals ride along as a one-row cross join."""
-    totals = docs.agg(F.count("*").alias("n"), F.sum(label).alias("n1"))
-    seen = docs.select(F.col(label).alias("y"), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.sum("y").alias("df1")).where(F.col("df") >= at_least)
-    joined = seen.crossJoin(F.broadcast(totals)).where("n1 > 0 and n1 < n")
-    n, n1, df, df1 = (F.col(c).cast("double") for c in ("n", "n1", "df", "df1"))
+def _information(n: Column, n1: Column, df: Column, df1: Column) -> Column:
+    """Mutual information of a token's presence and a 0/1 label, natural logarithm: n rows, n1 of label 1, df
+    rows with the token, df1 of these of label 1."""
+    n, n1, df, df1 = (c.cast("double") for c in (n, n1, df, df1))
 
     def cell(together, t, y):
         return together / n * F.log((together / n + EPSILON) / (t / n * (y / n) + EPSILON))
 
-    mi = cell(df1, df, n1) + cell(df - df1, df, n - n1) + cell(n1 - df1, n - df, n1) + cell(n - n1 - df + df1, n - df, n - n1)
-    return joined.select("token", F.col("df").cast("bigint").alias("df"), mi.alias("mi"))
+    return cell(df1, df, n1) + cell(df - df1, df, n - n1) + cell(n1 - df1, n - df, n1) + cell(n - n1 - df + df1, n - df, n - n1)
+
+
+def mutual_information(docs: DataFrame, tokens: Column, label: str, at_least: int = 3) -> DataFrame:
+    """(token, df, mi). Empty if there is one class only. The two totals ride along as a one-row cross join."""
+    totals = docs.agg(F.count("*").alias("n"), F.sum(label).alias("n1"))
+    seen = docs.select(F.col(label).alias("y"), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.sum("y").alias("df1")).where(F.col("df") >= at_least)
+    joined = seen.crossJoin(F.broadcast(totals)).where("n1 > 0 and n1 < n")
+    return joined.select("token", F.col("df").cast("bigint").alias("df"), _information(F.col("n"), F.col("n1"), F.col("df"), F.col("df1")).alias("mi"))
+
+
+def mutual_information_by_fold(docs: DataFrame, tokens: Column, label: str, fold: str, at_least: int = 3) -> DataFrame:
+    """(fold, token, df, mi): for each fold over its training rows, those of all other folds. Texts are read
+    once: a fold's training counts are all counts less its own."""
+    own = docs.select(F.col(fold).alias("fold"), F.col(label).alias("y"), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token", "fold").agg(F.count("*").alias("df"), F.sum("y").alias("df1"))
+    every = own.groupBy("token").agg(F.sum("df").alias("all"), F.sum("df1").alias("all1"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("df", "df1").alias("c")))).alias("by_fold"))
+    sizes = docs.groupBy(F.col(fold).alias("fold")).agg(F.count("*").alias("m"), F.sum(label).alias("m1"))
+    totals = sizes.agg(F.sum("m").alias("n"), F.sum("m1").alias("n1"))
+    folds = sizes.crossJoin(totals).select("fold", (F.col("n") - F.col("m")).alias("n"), (F.col("n1") - F.col("m1")).alias("n1"))
+    each = every.crossJoin(F.broadcast(folds)).withColumn("c", F.try_element_at("by_fold", "fold"))  # folds are few
+    counted = each.select("fold", "token", "n", "n1", (F.col("all") - F.coalesce("c.df", F.lit(0))).alias("df"), (F.col("all1") - F.coalesce("c.df1", F.lit(0))).alias("df1"))
+    usable = counted.where((F.col("df") >= at_least) & (F.col("n1") > 0) & (F.col("n1") < F.col("n")))
+    return usable.select("fold", "token", F.col("df").cast("bigint").alias("df"), _information(F.col("n"), F.col("n1"), F.col("df"), F.col("df1")).alias("mi"))
 
 
 def top_tokens(scored: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.java import lexer, structure
-from lexspark.operators import corpus, decide, features, grid, metrics, pairs, sampling, vocabulary
+from lexspark.operators import corpus, cue_lists, decide, features, grid, metrics, pairs, sampling, vocabulary
 from lexspark.plans import report, storage
 from lexspark.queries import _DIFFS, _FOLDED, _LAYERED, _LONG, _PAIRS, _RENAMES, LABELLED, WORDS, _ap_sql, _layer_scores, _md5, _pairs, _wilson_sql, labelled, normal_sql, pair_metrics_sql, query, r6, table, values
 from lexspark.sources import readers
@@ -142,6 +142,36 @@ def mined_renames(spark, sf_dir):
     return values(spark, list(mapping.items()), "old_token string, new_token string")
 
 
+_STATIC = "(VALUES " + ", ".join(f"('{tag}', {k}, '{e}')" for k, (tag, own) in enumerate(cue_lists.TAGS.items()) for e in own) + ") AS e(tag, priority, entry)"
+#: Identifiers of a corpus that has some of the cues: the documents' words, and three made-up ones.
+_IDENTS = f"id2 AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS token FROM documents UNION SELECT unnest(['awaitAll', 'ConcurrentMap', 'sleep']))"
+_STATIC_TOKENS = f"""st2 AS (SELECT DISTINCT * FROM (SELECT tag, priority, unnest(string_split(entry, '.')) AS token FROM {_STATIC} WHERE entry NOT LIKE '%*' UNION ALL SELECT tag, priority, rtrim(entry, '*') FROM {_STATIC} WHERE entry LIKE '%*'
+  UNION ALL SELECT tag, priority, token FROM {_STATIC}, id2 WHERE entry LIKE '%*' AND starts_with(token, rtrim(entry, '*'))) WHERE token <> '')"""
+
+
+@query(f"WITH {_IDENTS}, {_STATIC_TOKENS}, sd2 AS (SELECT token, arg_min(tag, priority) AS tag FROM st2 GROUP BY token) SELECT token, tag, CAST(token IN (SELECT token FROM id2) AS BIGINT) AS present FROM sd2")
+def static_cues(spark, sf_dir):
+    """The whole vocabulary of cues, each under one tag, and whether the corpus has it."""
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("token")).distinct()
+    idents = words.union(values(spark, [("awaitAll",), ("ConcurrentMap",), ("sleep",)], "token string")).distinct()
+    cues = vocabulary.disjoint_tags(vocabulary.expand_entries(cue_lists.entries(spark), idents))
+    there = vocabulary.present(cues, idents).select("token", F.lit(1).alias("present"))
+    return cues.join(there, "token", "left").select("token", "tag", F.coalesce("present", F.lit(0)).cast("bigint").alias("present"))
+
+
+@query(f"""WITH {_FOLDED}, tk AS (SELECT token, fold, count(*) AS df, sum(y) AS df1 FROM (SELECT fold, y, unnest(list_distinct({WORDS.format('text')})) AS token FROM fd) GROUP BY ALL), tt AS (SELECT token, sum(df) AS df, sum(df1) AS df1 FROM tk GROUP BY token),
+ nf AS (SELECT fold, count(*) AS n, sum(y) AS n1 FROM fd GROUP BY fold), na AS (SELECT sum(n) AS n, sum(n1) AS n1 FROM nf),
+ tr AS (SELECT nf.fold, tt.token, CAST(tt.df - coalesce(tk.df, 0) AS DOUBLE) AS df, CAST(tt.df1 - coalesce(tk.df1, 0) AS DOUBLE) AS df1, CAST(na.n - nf.n AS DOUBLE) AS n, CAST(na.n1 - nf.n1 AS DOUBLE) AS n1 FROM tt CROSS JOIN nf CROSS JOIN na LEFT JOIN tk ON tk.token = tt.token AND tk.fold = nf.fold),
+ mi AS (SELECT fold, token, CAST(df AS BIGINT) AS df, round(df1/n*ln((df1/n+1e-12)/((df/n)*(n1/n)+1e-12)) + (df-df1)/n*ln(((df-df1)/n+1e-12)/((df/n)*((n-n1)/n)+1e-12))
+  + (n1-df1)/n*ln(((n1-df1)/n+1e-12)/(((n-df)/n)*(n1/n)+1e-12)) + (n-n1-df+df1)/n*ln(((n-n1-df+df1)/n+1e-12)/(((n-df)/n)*((n-n1)/n)+1e-12)), 9) AS mi FROM tr WHERE df >= 3)
+SELECT fold, token, df, round(mi, 6) AS mi FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mi DESC, token) AS r FROM mi) WHERE r <= 20""")
+def mined_cues_by_fold(spark, sf_dir):
+    """For each fold the words that tell most about the label in its training rows."""
+    folded = sampling.within_folds(labelled(spark, sf_dir, "text"), "doc_id", "y")
+    scored = vocabulary.mutual_information_by_fold(folded, T.words("text"), "y", "fold").withColumn("mi", F.round("mi", 9))
+    return corpus.first_n(scored, "fold", [F.desc("mi"), "token"], 20).withColumn("mi", r6("mi"))
+
+
 # ---- Java over fragments made of the documents
 
 #: Source text of a document: its text inside a comment, as code and in a string, and literals of all kinds.

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import corpus, decide, features, grid, learn, metrics, pairs, sampling, vocabulary
+from lexspark.operators import corpus, cue_lists, decide, features, grid, learn, metrics, pairs, sampling, vocabulary
 from lexspark.plans import report, stages, storage
 from lexspark.sources import readers
 from lexspark.streaming import resume
@@ -238,6 +238,9 @@ def test_rename_map():
     assert "volatile" not in m and m["Thread"] == "Util" and m["now"] == "current" and m["sleep"] != "pause" and m["MAX_X"].startswith("CUE_")
     assert len(set(m.values())) == len(m) and not set(m.values()) & corpus_words
     assert vocabulary.invert(m)["Util"] == "Thread"
+    every = sorted({e for own in cue_lists.TAGS.values() for e in own if "*" not in e and "." not in e})
+    named = vocabulary.rename_map(every, set(every), cue_lists.RENAMES)
+    assert named["sleep"] == "pause" and "volatile" not in named and len(set(named.values())) == len(named) and not set(named.values()) & set(every)
     with pytest.raises(ValueError):
         vocabulary.invert({"a": "x", "b": "x"})
 
