@@ -12,7 +12,7 @@ bounded; what lies behind the last full window of a block goes on to the next bl
 task's end is cut into windows of powers of two, which need no padding.
 
 Every id lies in exactly one piece. A null text is an empty one (its only id is the end id), rows that
-share an identifier are packed one after another, an empty table gives no pieces, other columns are
+share an identifier are packed one after another (those of equal text too by one task), an empty table gives no pieces, other columns are
 left out. A document longer than a window spans several.
 """
 

@@ -438,7 +438,9 @@ def repeated_spans(docs: DataFrame, size: int = 200, heavy: int = HEAVY) -> Data
     once = docs.select("k1", "k2", "text").where(F.octet_length("text") >= size).join(by_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     fetched = common.map_arrow(once.select("text", "asked"), _fetch_step, "group long, k1 long, k2 long, first long, bytes binary, heavy boolean, light boolean")
     fetched = common.staged(fetched, "substring-bytes")
-    light = fetched.where("light").repartition("group").sortWithinPartitions("group")
+    # merging takes long for its bytes, so its tasks get few: a number of partitions of its own
+    weight = fetched.where("light").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    light = fetched.where("light").repartition(1 + weight // (2 * CHUNK), "group").sortWithinPartitions("group")
     merged = common.map_arrow(light.select("group", "k1", "k2", "first", "bytes"), _merge_step(size), MARKS)
     marks = whole.union(merged)
     crowded = fetched.where("heavy")

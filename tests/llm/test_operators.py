@@ -558,6 +558,75 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.windows(empty(spark, "conv_id long, turn long, role string, text string"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_expectation_maximisation_row_by_row():
+    rng = random.Random(10)
+    rows = []
+    for _ in range(800):
+        yes = rng.random() < 0.2
+        rows.append([0 if rng.random() < 0.3 else 1 + (yes if rng.random() < right else not yes) for right in (0.95, 0.8, 0.7)])
+    counted = collections.Counter(sum(v * 3**i for i, v in enumerate(r)) for r in rows)
+    patterns, counts = np.array(list(counted)), np.array(list(counted.values()), float)
+    post, chance = quality.expectation_maximisation(patterns, counts, 3)
+    # the same, a row and a vote at a time
+    right = [{(y, v): 0.9 if y == v - 1 else 0.1 for y in (0, 1) for v in (1, 2)} for _ in range(3)]
+    prior = 0.15
+    for _ in range(200):
+        found = []
+        for r in rows:
+            p = [1 - prior, prior]
+            for k, v in enumerate(r):
+                if v:
+                    p = [p[y] * right[k][y, v] for y in (0, 1)]
+            found.append(p[1] / (p[0] + p[1]))
+        for k in range(3):
+            for y in (0, 1):
+                sums = {v: (9 if y == v - 1 else 1) + sum((x if y else 1 - x) for x, r in zip(found, rows, strict=True) if r[k] == v) for v in (1, 2)}
+                for v in (1, 2):
+                    right[k][y, v] = sums[v] / (sums[1] + sums[2])
+        prior = min(0.5, max(1e-4, sum(found) / len(rows)))
+    by_pattern = dict(zip(patterns.tolist(), post, strict=True))
+    assert all(abs(by_pattern[sum(v * 3**i for i, v in enumerate(r))] - x) < 1e-3 for r, x in zip(rows, found, strict=True))
+    assert chance[:, 1, 2].min() > 0.5 and chance[:, 0, 1].min() > 0.5
+
+
+def test_votes_and_features_agree_with_plain_ones():
+    import pyarrow as pa
+
+    texts = ["The cat sat.", "", "AB CD!! EF %%% x - | * *", "idiot idiots Idiot, word", "ééé ÀB 12a3 $$$$ a a a", "one\ttwo  three\n"]
+    t = quality.Tokens(pa.array(texts))
+    for k, text in enumerate(texts):
+        tokens = text.split()
+        n, distinct = max(1, len(tokens)), set(tokens)
+        plain = (
+            sum(text.count(c) for c in "$%&*#~^=<>@!") / max(1, len(text) - len(tokens) + 1),
+            sum(x.isupper() and len(x) > 2 for x in distinct) / max(1, len(distinct)),
+            sum(x in "|-*" for x in tokens) / n,
+            sum(re.search(r"[^\w\s]{2}", x) is not None for x in distinct) / max(1, len(distinct)),
+            sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / n,
+        )
+        assert np.allclose(t.statistics()[k], plain)
+    low, toxic = quality.features(pa.array(texts))
+    weights = np.random.default_rng(0).normal(size=(2, 1 << quality.BITS)).astype(np.float32)
+    scored = quality.Scorer((weights[0], 0.1), (weights[1], -0.2)).score(pa.array(texts))
+    for k, text in enumerate(texts):
+        steps = len(quality.MUCH)
+        z = weights[0][low[k][:steps]].sum() + weights[0][low[k][steps:]].sum() * quality.SHAPES / max(1, len(set(text.split()))) + 0.1
+        assert abs(scored[k, 0] - 1 / (1 + math.exp(-z))) < 1e-5
+        assert abs(scored[k, 1] - 1 / (1 + math.exp(0.2 - weights[1][toxic[k]].sum()))) < 1e-5
+
+
+def test_training_finds_the_telling_features():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    y = (np.arange(400) % 4 == 0).astype(float)
+    rows = [np.concatenate(([5] if v else [6], rng.integers(100, 400, 10), [9] if k < 5 else [])).astype(int) for k, v in enumerate(y)]
+    weights, bias = quality.train(pa.table({"at": pa.array(rows, pa.list_(pa.int32())), "post": pa.array(y)}), False)
+    margin = np.array([weights[r].sum() + bias for r in rows])
+    assert ((margin > 0) == (y > 0)).mean() > 0.99 and weights[5] > 1 and weights[6] < 0 and weights[9] == 0
+    assert quality.train(None, True)[1] < 0
+
+
 def test_quality_on_labelled_rows(spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(200)]
