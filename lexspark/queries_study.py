@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.java import lexer, structure
 from lexspark.operators import corpus, cue_lists, decide, features, grid, metrics, pairs, sampling, vocabulary
-from lexspark.plans import report, storage
-from lexspark.queries import _DIFFS, _FOLDED, _LAYERED, _LONG, _PAIRS, _RENAMES, LABELLED, WORDS, _ap_sql, _layer_scores, _md5, _pairs, _wilson_sql, labelled, normal_sql, pair_metrics_sql, query, r6, table, values
+from lexspark.plans import report, stages, storage
+from lexspark.queries import _DIFFS, _FOLDED, _LAYERED, _LONG, _PAIRS, _RENAMES, LABELLED, QUERIES, WORDS, _ap_sql, _layer_scores, _md5, _pairs, _wilson_sql, labelled, normal_sql, pair_metrics_sql, query, r6, table, values
 from lexspark.sources import readers
+from lexspark.streaming import resume
 
 # ---- corpus preparation
 
@@ -99,6 +100,57 @@ def csv_default_na(spark, sf_dir):
     return readers.read_csv_na(spark, path, "uid string, score double, note string", "uid")
 
 
+@query("SELECT doc_id, text, lang, n_chars FROM documents")
+def csv_round_trip(spark, sf_dir):
+    """The documents as CSV with quotes and line feeds in fields, read again by its schema."""
+    path = storage.workspace(spark, "csv")
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars").write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_csv(spark, path, "doc_id long, text string, lang string, n_chars long")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS k, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def log_last_write(spark, sf_dir):
+    """Events as a log of JSON lines in order of time; the last line of each key counts."""
+    path = storage.workspace(spark, "log")
+    ordered = table(spark, sf_dir, "events").orderBy("ts", "event_id")
+    ordered.select(F.to_json(F.struct(F.col("user_id").cast("string").alias("k"), F.struct("event_id", "event_type").alias("v")))).write.text(path)
+    latest, _ = readers.read_log(spark, path)
+    return latest.select("k", F.get_json_object("v", "$.event_id").cast("bigint").alias("event_id"))
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def resumed_work(spark, sf_dir):
+    """Work that stopped after the even keys and went on."""
+    path, work = storage.workspace(spark, "work"), table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    resume.run_pending(work.where("doc_id % 2 = 0"), "doc_id", lambda d: d, path)
+    return resume.run_pending(work, "doc_id", lambda d: d, path).select("doc_id", "n_chars")
+
+
+def _plan(sf_dir):
+    return [
+        stages.Stage("counts", lambda s, t: t["rows"].groupBy("lang").count(), ("rows",)),
+        stages.Stage("rows", lambda s, t: table(s, sf_dir, "documents").select("doc_id", "lang"), sources=(f"{sf_dir}/documents.parquet",), checks=lambda d: {"some": not d.isEmpty()}),
+        stages.Stage("optional", lambda s, t: s.sql("SELECT raise_error('no')"), required=False),
+    ]
+
+
+@query("SELECT * FROM (VALUES ('rows', 'done', 'skipped', '01_rows.md'), ('counts', 'done', 'skipped', '02_counts.md'), ('optional', 'failed', 'failed', NULL)) AS t(stage, first, second, report)")
+def stage_runs(spark, sf_dir):
+    """A plan run twice, and the reports of its stages."""
+    root = storage.workspace(spark, "stages")
+    runner = stages.Runner(spark, root)
+    first, second = (runner.run(_plan(sf_dir)) for _ in range(2))
+    index = {r.stage: r.file for r in report.write_reports(spark, runner.root, f"{root}-reports", list(first), runner.log()).collect()}
+    return values(spark, [(k, first[k][:6].rstrip(":"), second[k][:7].rstrip(": "), index[k]) for k in first], "stage string, first string, second string, report string").withColumn("first", F.when(F.col("first") == "done", "done").otherwise("failed")).withColumn("second", F.when(F.col("second") == "skipped", "skipped").otherwise("failed"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def json_round_trip(spark, sf_dir):
+    path = f"{storage.workspace(spark, 'json')}/counts.json"
+    report.write_json(corpus.frequency(table(spark, sf_dir, "documents"), "lang"), path)
+    return spark.read.schema("lang string, n long").json(path)
+
+
 @query("SELECT doc_id, substr(sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'), 1, 16) AS digest FROM documents")
 def value_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", readers.value_digest("source", "lang").alias("digest"))
@@ -393,8 +445,38 @@ def held_out_pairs(spark, sf_dir):
     return found.select("conv_id", "turn", (F.col("score_before").between(0, 1) & F.col("score_after").between(0, 1) & (F.abs(F.col("margin")) <= 1)).cast("bigint").alias("scored"))
 
 
+@query(f"WITH {LABELLED} SELECT source, CAST(1 AS BIGINT) AS n_folds, count(*) AS n FROM labelled GROUP BY source")
+def cross_fold_groups(spark, sf_dir):
+    """No group stands in two folds."""
+    folded = sampling.cross_folds(labelled(spark, sf_dir, "source"), "source", "y")
+    return folded.groupBy("source").agg(F.countDistinct("fold").alias("n_folds"), F.count("*").alias("n"))
+
+
+@query(f"WITH e AS (SELECT vec_id, CAST(label = 0 AS BIGINT) AS y FROM embeddings), c AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY {_md5(991, 'vec_id')}, vec_id) <= (SELECT sum(y) FROM e) AS BIGINT) AS control FROM e), f AS (SELECT vec_id, y, control, CAST((row_number() OVER (PARTITION BY y ORDER BY {_md5(0, 'vec_id')}, vec_id) - 1) % 5 AS BIGINT) AS fold FROM e JOIN c USING (vec_id)) SELECT layer, target, fold, count(*) AS n, CAST(sum(CASE WHEN target = 'y' THEN y ELSE control END) AS BIGINT) AS n_pos FROM f, (SELECT unnest(range(0, 8)) AS layer), (SELECT unnest(['y', 'control']) AS target) GROUP BY layer, target, fold")
+def probe_cells(spark, sf_dir):
+    """The cells of the probe by layer: their rows and positives; those with a value lie between 0 and 1."""
+    found = QUERIES["logistic_probe_layers"](spark, sf_dir)
+    return found.where("ap is null or ap between 0 and 1").select(F.col("layer").cast("bigint").alias("layer"), "target", "fold", "n", "n_pos")
+
+
 # ---- pairs and plot data
 
+_BAGS = f"{_PAIRS}, sd AS (SELECT conv_id, turn, unnest({WORDS.format('before')}) AS token, -1 AS d FROM pp UNION ALL SELECT conv_id, turn, unnest({WORDS.format('after')}), 1 FROM pp), bg AS (SELECT conv_id, turn, CAST(sum(abs(d)) AS BIGINT) AS distance FROM (SELECT conv_id, turn, token, sum(d) AS d FROM sd GROUP BY ALL) GROUP BY ALL), ms AS (SELECT conv_id, turn, CAST(len({WORDS.format('before')}) AS BIGINT) AS n_before, CAST(len({WORDS.format('after')}) AS BIGINT) AS n_after, coalesce(distance, 0) AS distance FROM pp LEFT JOIN bg USING (conv_id, turn))"
+
+
+@query(f"WITH {_BAGS} SELECT conv_id, turn, n_before, n_after, distance FROM ms")
+def pair_bag_distance(spark, sf_dir):
+    return pairs.measure(_pairs(spark, sf_dir), most=0).select("conv_id", "turn", "n_before", "n_after", "distance")
+
+
+@query(f"WITH {_BAGS} SELECT CASE WHEN distance > 0.4 * greatest(n_before, n_after, 1) THEN 'diff_too_large' ELSE 'kept' END AS reason, count(*) AS n FROM ms GROUP BY 1")
+def excluded_by_change(spark, sf_dir):
+    kept, excluded = pairs.split_by_change(pairs.measure(_pairs(spark, sf_dir), most=0))
+    both = kept.select(F.lit("kept").alias("reason")).union(excluded.select("reason"))
+    return corpus.frequency(both, "reason")
+
+
+
 _STRATA = f"{_PAIRS}, pt AS (SELECT length(after) - length(before) AS m, unnest(['all', CASE WHEN length(after) > length(before) THEN 'cue_added' WHEN length(after) < length(before) THEN 'cue_removed' ELSE 'cue_neutral' END, CASE WHEN turn % 3 = 0 THEN 'annotation_only' ELSE 'behavioural' END]) AS stratum FROM pp)"
 
 
