@@ -148,14 +148,46 @@ def _sketch_step(size: int):
 
 
 def _sets_step(size: int):
+    """The sorted distinct shingles of each text."""
+
     def step(batches):
         for batch in common.slices(batches):
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield common.arrow_batch(row=batch.column("row"), shingles=pa.array(sets, pa.list_(pa.int64())))
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column("text").to_pylist()]
+            yield common.arrow_batch(row=batch.column("row"), shingles=pa.array(sets, pa.binary()))
+
+    return step
+
+
+def _alike_step(similarity: float):
+    """Pairs that link, from a head's set and then its partners' sets, which pass as a stream."""
+
+    def step(batches):
+        key, head = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for a, part, b, data in zip(*(batch.column(c) for c in ("a", "part", "b", "shingles")), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                if not b.is_valid:
+                    key, head = (a.as_py(), part.as_py()), own.copy()
+                    continue
+                if key != (a.as_py(), part.as_py()):
+                    raise ValueError("a set is missing")
+                shared = 0
+                if len(head):
+                    at = np.searchsorted(head, own)
+                    shared = int((head[np.minimum(at, len(head) - 1)] == own).sum())
+                if shared >= similarity * (len(head) + len(own) - shared):
+                    out.append((key[0], b.as_py()))
+            if out:
+                yield common.arrow_batch(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([x for _, x in out], pa.int64()))
 
     return step
 
 
+#: Parts over which the partners of a head are spread.
+SALTS = 64
+
+
 def _levels_step(batches):
     """Sums of parts, as the binary logarithm."""
     sums: dict[int, np.ndarray] = {}
@@ -248,10 +280,12 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
         """Those of the pairs that link."""
         pairs = common.cut(pairs.distinct())
         wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        own = staged(common.map_arrow(narrow.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", "text"), _sets_step(size), "row long, shingles array<long>"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-        return common.cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+        own = staged(common.map_arrow(narrow.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", "text"), _sets_step(size), "row long, shingles binary"))
+        salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        heads = salted.select("a", "part").distinct().join(own.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+        partners = salted.join(own.withColumnRenamed("row", "b"), "b").select("a", "part", "b", "shingles")
+        both = heads.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return common.cut(common.map_arrow(both, _alike_step(similarity), "a long, b long"))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     firsts = common.cut(classes.groupBy("fp").agg(F.min("row").alias("head")))
