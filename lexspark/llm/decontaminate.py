@@ -19,10 +19,12 @@ from __future__ import annotations
 import bisect
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +35,20 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Normalised words; on UTF-8 bytes, of which all beyond ASCII belong to words."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+def normalised(text: str | None) -> bytes:
+    """Words in lower case, everything else as spaces; on UTF-8 bytes, of which all beyond ASCII belong to words."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return normalised(text).split()
 
 
 def windows_of(items: Iterable[tuple], size: int) -> dict[tuple, list]:
     """Each window, as a tuple of words, with the items that hold it."""
     found: dict[tuple, dict] = {}
     for item, text in items:
-        words = words_of(text or "")
+        words = words_of(text)
         for i in range(max(1, len(words) - size + 1) if words else 0):
             found.setdefault(tuple(words[i : i + size]), {})[item] = None
     return {w: list(own) for w, own in found.items()}
@@ -59,21 +65,31 @@ class Windows:
         if windows:
             self.automaton.make_automaton()
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """(merged runs of word numbers that windows cover, items)."""
-        runs: list[tuple[int, int]] = []
-        items: set = set()
-        get = self.numbers.get
-        coded = tuple(get(w, 0) for w in words)
-        if not self.numbers or not any(coded):
-            return runs, items
-        for last, (n, own) in self.automaton.iter(coded):
-            items.update(own)
-            start, stop = last + 1 - n, last + 1
-            while runs and start <= runs[-1][1]:
-                start = min(start, runs.pop()[0])
-            runs.append((start, stop))
-        return runs, items
+        self.listed = pa.array([w.decode() for w in self.numbers], pa.string())
+        self.shortest = min(map(len, windows), default=1)
+
+    def known(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, list[int]]]]:
+        """(words of each normalised text; text, place and numbers of all runs of words that the automaton
+        knows which could hold a window): whatever lies in a window does."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        words = lists.flatten()
+        full = pc.not_equal(words, "")  # spaces at either end give empty ones
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
+        sizes = np.bincount(owner, minlength=len(texts))
+        number = pc.fill_null(pc.index_in(words.filter(full), value_set=self.listed), -1).to_numpy(zero_copy_only=False) + 1
+        some = np.flatnonzero(number)
+        if not len(some):
+            return sizes, []
+        cut = np.flatnonzero((np.diff(some) > 1) | (np.diff(owner[some]) != 0)) + 1
+        first, last = some[np.concatenate(([0], cut))], some[np.concatenate((cut, [len(some)])) - 1] + 1
+        begins = np.cumsum(sizes) - sizes
+        long = last - first >= self.shortest
+        return sizes, [(int(owner[a]), int(a - begins[owner[a]]), number[a:b].tolist()) for a, b in zip(first[long], last[long], strict=True)]
+
+    def hits(self, numbers: list[int], at: int) -> Iterator[tuple[int, int, list]]:
+        """(first word, behind the last, items) of the windows in a run that begins at word `at`."""
+        for last, (n, own) in self.automaton.iter(tuple(numbers)):
+            yield at + last + 1 - n, at + last + 1, own
 
 
 HITS = "struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<start:bigint,stop:bigint>>>"
@@ -114,20 +130,26 @@ def _step(held, text_col: str, kept: list[str]):
         windows = _automata[key]
         for batch in common.slices(batches, text_col):
             texts, before = batch.column(text_col).to_pylist(), batch.column("hits").to_pylist()
+            sizes, known = windows.known([normalised(t) for t in texts])
+            found: dict[int, list] = {}
+            for k, at, numbers in known:
+                found.setdefault(k, []).extend(windows.hits(numbers, at))
             rows = []
-            for text, had in zip(texts, before, strict=True):
-                words = words_of(text) if text else []
-                runs, items = windows.hits(words)
-                spans = []
-                places = [m.span() for m in WORD.finditer(text)] if runs or had and had["n_hit"] else []
-                if had and had["n_hit"]:  # join with what an earlier pass found
+            for k, (text, had) in enumerate(zip(texts, before, strict=True)):
+                own = found.get(k, [])
+                if not own and not (had and had["n_hit"]):
+                    rows.append((0, [], []))
+                    continue
+                places = [m.span() for m in WORD.finditer(text)]
+                runs, items = [(a, b) for a, b, _ in own], {i for _, _, named in own for i in named}
+                if had:  # join with what an earlier pass found
                     starts = [a for a, _ in places]
-                    runs = merged([*runs, *((bisect.bisect_left(starts, x["start"]), bisect.bisect_left(starts, x["stop"])) for x in had["spans"])])
+                    runs += [(bisect.bisect_left(starts, x["start"]), bisect.bisect_left(starts, x["stop"])) for x in had["spans"]]
                     items |= set(had["items"])
-                spans = [(places[a][0], places[b - 1][1]) for a, b in runs]
-                rows.append((len(words), sum(b - a for a, b in runs), sorted(i for i in items if i is not None), [{"start": a, "stop": b} for a, b in spans]))
+                runs = merged(runs)
+                rows.append((sum(b - a for a, b in runs), sorted(i for i in items if i is not None), [{"start": places[a][0], "stop": places[b - 1][1]} for a, b in runs]))
             columns = list(zip(*rows, strict=True))
-            hits = pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], _SPANS)], ["n_words", "n_hit", "items", "spans"])
+            hits = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], _SPANS)], ["n_words", "n_hit", "items", "spans"])
             yield pa.RecordBatch.from_arrays([hits if c == "hits" else batch.column(c) for c in kept], names=kept)
 
     return step
