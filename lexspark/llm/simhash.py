@@ -27,6 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -142,7 +143,7 @@ def _sketch_step(size: int):
         if cells.any():
             parts = np.minimum(cells, 2**31 - 1).astype("<u4").reshape(64, -1)
             none = pa.nulls(64, pa.int64())
-            yield common.arrow_batch(row=none, other=none, doc_id=none, n=none, fp=none, content=pa.nulls(64, pa.binary()), part=pa.array(np.arange(64, dtype=np.int32)), counts=pa.array([p.tobytes() for p in parts], pa.binary()))
+            yield common.arrow_batch(row=none, other=none, doc_id=none, n=none, fp=none, content=pa.nulls(64, pa.binary()), part=pa.array(np.arange(64, dtype=np.int32)), counts=pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary()))
 
     return step
 
@@ -193,7 +194,7 @@ def _levels_step(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+            sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(counts), "<u4").astype(np.int64)
     if sums:
         yield common.arrow_batch(part=pa.array(list(sums), pa.int32()), levels=pa.array([np.log2(s + 1).astype(np.uint8).tobytes() for s in sums.values()], pa.binary()))
 
@@ -268,7 +269,7 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
     classes = common.cut(classes.select(F.col("rank.row").alias("row"), F.col("rank.other").alias("other"), "rank", "content", "n", "fp"))
     parts = sketched.where("part is not null").select("part", "counts")
     level = np.zeros((64, CELLS // 64), np.uint8)
-    for r in common.map_arrow(parts.repartition(8, "part"), _levels_step, "part int, levels binary").collect():
+    for r in common.map_arrow(parts.repartitionById(64, F.col("part")), _levels_step, "part int, levels binary").collect():
         level[r.part] = np.frombuffer(r.levels, np.uint8)
     copies = common.cut(sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select("row", "other").distinct())
     repeats = common.cut(sketches.groupBy("row", "other").count().where("count > 1").select("row", "other"))
