@@ -118,7 +118,9 @@ class GitReader(DataSourceReader):
 
 class GitCommits(DataSource):
     """Changed files of commits against their first parents, one partition a repository. A commit that
-    can't be had gives one row with `error`. Register with spark.dataSource.register(GitCommits)."""
+    can't be had gives one row with `error`. Option `cache` names a folder of the executor's own machine, for
+    clones that only the task which made them reads; a lost one is fetched again. Register with
+    spark.dataSource.register(GitCommits)."""
 
     @classmethod
     def name(cls):
