@@ -225,7 +225,7 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
     made: list[str] = []
 
     def staged(frame: DataFrame) -> DataFrame:
-        """A table that goes again before the call ends."""
+        """A table that goes again as soon as it isn't needed."""
         made.append(common.workspace(spark, "dedup"))
         frame.write.parquet(made[-1])
         return spark.read.schema(frame.schema).parquet(made[-1])
@@ -241,6 +241,7 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
         level[r.part] = np.frombuffer(r.levels, np.uint8)
     copies = common.cut(sketches.join(classes.select(F.col("row").alias("kept"), "content"), "content").where("row <> kept").select("row", "other").distinct())
     repeats = common.cut(sketches.groupBy("row", "other").count().where("count > 1").select("row", "other"))
+    common.drop(spark, made.pop())
 
     def possible(na, nb, at_a, at_b):
         return F.least(na - at_a, nb - at_b) * (1 + similarity) >= similarity * (na + nb) - 1e-9
@@ -252,7 +253,9 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
         own = staged(common.map_arrow(narrow.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", "text"), _sets_step(size), "row long, shingles array<long>"))
         shared = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-        return common.cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+        linked = common.cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+        common.drop(spark, made.pop())
+        return linked
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     firsts = common.cut(classes.groupBy("fp").agg(F.min("row").alias("head")))
@@ -271,6 +274,7 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, *, id_c
     grouped = shared_by.select("token", "row", "n", "at").join(groups, "row", "left").withColumn("group", F.coalesce("group", "row"))
     several = grouped.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("token")
     grouped = staged(grouped.join(several, "token", "left_semi"))
+    common.drop(spark, made.pop(0))
     x, y = grouped.alias("x"), grouped.alias("y")
     apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
     second = alike(apart.select(*ordered(F.col("x.row"), F.col("y.row"))))
