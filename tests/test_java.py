@@ -124,3 +124,12 @@ def test_columns(spark):
     rows = df.select(structure.labels_column("code").alias("l"), lexer.tokens_column("code").alias("t"), structure.methods_column("code").alias("m")).collect()
     assert rows[0].l.P_ASYNC == 1 and rows[0].l.witness["P_ASYNC"].startswith("assertTrue") and len(rows[0].t) > 5 and rows[0].m[0].key == "t"
     assert rows[1].t is None
+
+
+def test_counts_leave_without_tokens(spark):
+    """Keys with several sources, null ones too, count their different identifiers once; nothing wide leaves the lexer."""
+    code = ["a b a; if (c) x", "a d", None, "1 + 2", "e", "e f"]
+    rows = spark.createDataFrame(list(zip([1, 1, 2, 3, None, None], code)), "id long, code string")
+    assert {r.id: (r.n, r.n_distinct) for r in lexer.identifier_totals(rows, "id", "code").collect()} == {1: (7, 5), None: (3, 2)}
+    once = lexer.identifier_totals(rows.where("id > 0").limit(1), "id", "code")
+    assert once.columns == ["id", "n", "n_distinct"] and [tuple(r) for r in once.collect()] == [(1, 5, 4)]
