@@ -133,3 +133,10 @@ def test_counts_leave_without_tokens(spark):
     assert {r.id: (r.n, r.n_distinct) for r in lexer.identifier_totals(rows, "id", "code").collect()} == {1: (7, 5), None: (3, 2)}
     once = lexer.identifier_totals(rows.where("id > 0").limit(1), "id", "code")
     assert once.columns == ["id", "n", "n_distinct"] and [tuple(r) for r in once.collect()] == [(1, 5, 4)]
+
+
+def test_kinds_are_counted_without_tokens(spark):
+    rows = spark.createDataFrame([(1, "if (é) a1 // é"), (1, '"s" b'), (2, None), (3, "")], "id long, code string")
+    found = lexer.kind_counts(rows, "id", "code").groupBy("id", "kind").sum("n", "n_chars").collect()
+    assert {tuple(r) for r in found} == {(1, "keyword", 1, 2), (1, "ws", 4, 4), (1, "op", 2, 2), (1, "other", 1, 1), (1, "ident", 2, 3), (1, "comment", 1, 4), (1, "string", 1, 3)}
+    assert {(k, n) for k, n, _ in lexer.kinds_of("a b")} == {("ident", 2), ("ws", 1)}
