@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import corpus, cue_lists, decide, features, grid, learn, metrics, pairs, sampling, vocabulary
+from lexspark.operators import corpus, cue_lists, decide, features, grid, learn, metrics, ngrams, pairs, sampling, vocabulary
 from lexspark.plans import report, stages, storage
 from lexspark.sources import readers
 from lexspark.streaming import resume
@@ -368,3 +368,27 @@ def test_report(spark, tmp_path):
     assert (tmp_path / "x.json").read_text() == '{"n":"a","x":0.5,"k":1}\n{"n":"b","x":null,"k":null}\n'
     assert report.widest([("p", 0.78, 1.0), ("q", 0.44, 1.0)]) == "q"
     assert report.histogram(df.where("n = 'a'"), "x", 5).count() == 1
+
+
+def test_ngram_weights_in_blocks(spark, monkeypatch):
+    """Equal to the long form, over several blocks and buckets; only a block's different grams are shuffled."""
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(ngrams, "BUCKET_BYTES", 500)
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("ab \0\n\u00e9\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(90)] + [None, "ab", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    long = features.tfidf(docs, "id", T.char_ngrams("text")).groupBy("id").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("most"))
+    plain = {r.id: (r.n, round(r.total, 6), round(r.most, 6)) for r in long.collect()}
+    found = ngrams.weight_totals(docs, "id", "text")
+    assert {r.id: (r.n_grams, round(r.total, 6), round(r.most, 6)) for r in found.collect()} == plain and len(plain) > 80
+    assert "ArrayTransform" not in found._jdf.queryExecution().toString()
+    again = spark.createDataFrame([(k, t) for k in (1, None, 3) for t in ("abcd", "abc")], "id long, text string")
+    assert {(r.id, r.n_grams) for r in ngrams.weight_totals(again, "id", "text").collect()} == {(k, 3) for k in (1, None, 3)}
+
+
+def test_grams_of_a_large_alphabet():
+    text = "".join(chr(0x4E00 + 7 * i % 20000) for i in range(20000)) * 2
+    for names, _, gram, tf in ngrams.counted([text], np.zeros(1, int), (3, 5)):
+        n = int((names[0] > 0).sum())
+        assert len(names) == len({text[i : i + n] for i in range(len(text) - n + 1)}) and tf.sum() == len(text) - n + 1
+        assert text.startswith("".join(chr(c - 1) for c in names[0, :n])) and gram[0] == 0
