@@ -392,3 +392,14 @@ def test_grams_of_a_large_alphabet():
         n = int((names[0] > 0).sum())
         assert len(names) == len({text[i : i + n] for i in range(len(text) - n + 1)}) and tf.sum() == len(text) - n + 1
         assert text.startswith("".join(chr(c - 1) for c in names[0, :n])) and gram[0] == 0
+
+
+def test_cases_are_linked_without_their_controls(spark, monkeypatch):
+    """Components over pairs of cases: many controls that several cases share add no links."""
+    seen, plain = [], sampling.components
+    monkeypatch.setattr(sampling, "components", lambda links, values: seen.append(links.count()) or plain(links, values))
+    edges = [(p, n) for p in range(5) for n in range(100, 160)] + [(p, 200 + p // 10) for p in (10, 11, 20, 21)] + [(5, 300), (4, 301), (21, 301)]
+    found = spark.createDataFrame([(p, n, 0, 0) for p, n in edges], "pos long, neg long, gap long, same_group long")
+    assert {tuple(r) for r in sampling.match_parts(found).collect()} == {(p, 0) for p in (0, 1, 2, 3, 4, 20, 21)} | {(10, 10), (11, 10), (5, 5)}
+    assert max(seen) <= 13 < len(edges)
+    assert sampling.match_parts(found.limit(0)).count() == 0
