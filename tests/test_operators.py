@@ -403,3 +403,12 @@ def test_cases_are_linked_without_their_controls(spark, monkeypatch):
     assert {tuple(r) for r in sampling.match_parts(found).collect()} == {(p, 0) for p in (0, 1, 2, 3, 4, 20, 21)} | {(10, 10), (11, 10), (5, 5)}
     assert max(seen) <= 13 < len(edges)
     assert sampling.match_parts(found.limit(0)).count() == 0
+
+
+def test_matched_subset_links_cases_only(spark, monkeypatch):
+    seen, plain = [], sampling.components
+    monkeypatch.setattr(sampling, "components", lambda links, values: seen.append(links.count()) or plain(links, values))
+    rows = spark.createDataFrame([(i, int(i < 4), 10, "g") for i in range(60)] + [(70, 1, 500, "g")], "id long, y int, n int, g string")
+    out = {r.id: (r.y, r.matched) for r in sampling.matched(rows, "id", "y", "n", "g").collect()}
+    assert len(out) == 61 and sum(m for _, m in out.values()) == 8 and not out[70][1] and all(out[i] == (1, True) for i in range(4))
+    assert max(seen) <= 4
