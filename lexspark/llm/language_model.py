@@ -152,13 +152,11 @@ def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _common_step(batches):
-    """The commonest words of each batch's training texts."""
+    """Every word of each batch's training texts, with its count."""
     for batch in common.slices(batches, limit=BLOCK_BYTES):
         trained = pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()])
         found = pc.value_counts(tokens_of(batch.column("text").filter(trained))[0])
-        n = found.field("counts").to_numpy(zero_copy_only=False)
-        top = np.argsort(-n, kind="stable")[: 40 * CLASSES]
-        yield common.arrow_batch(word=found.field("values").take(pa.array(top)), n=pa.array(n[top]))
+        yield common.arrow_batch(word=found.field("values"), n=found.field("counts"))
 
 
 def preceding(special: np.ndarray, owner: np.ndarray) -> np.ndarray:

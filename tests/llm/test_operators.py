@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -652,3 +653,11 @@ def test_quality_on_labelled_rows(spark):
     assert all(r.verdict.keep for r in got if r.text is None or r.text == "")
     assert quality.classify(docs, table.limit(0)).count() == len(rows)
     assert quality.classify(docs.limit(0), table).count() == 0
+
+
+def test_common_words_are_counted_whole():
+    """A word that no batch has among its commonest counts like others."""
+    texts = [" ".join([f"w{k}_{b}" for k in range(1500) for _ in range(2)] + ["rare"]) for b in range(3)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in zip((1, 2, 3), texts, strict=True)]
+    found = [dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True)) for b in language_model._common_step(batches)]
+    assert [len(x) for x in found] == [1501] * 3 and sum(x["rare"] for x in found) == 3
