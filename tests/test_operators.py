@@ -412,3 +412,15 @@ def test_matched_subset_links_cases_only(spark, monkeypatch):
     out = {r.id: (r.y, r.matched) for r in sampling.matched(rows, "id", "y", "n", "g").collect()}
     assert len(out) == 61 and sum(m for _, m in out.values()) == 8 and not out[70][1] and all(out[i] == (1, True) for i in range(4))
     assert max(seen) <= 4
+
+
+def test_sparse_fit_is_the_same_model(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 4)) * (rng.random((150, 4)) < 0.5)
+    y = (x[:, 0] - x[:, 2] + rng.normal(size=150) > 0.6).astype(float)
+    dense = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "y double, a double, b double, c double, d double").select("y", learn.vector("a", "b", "c", "d").alias("features"))
+    w = learn.newton(x, y, 0.7)
+    model = learn.fit_sparse(dense, "y", 0.7)
+    assert np.allclose([*model.coefficients, model.intercept], w, atol=1e-4)
+    scores = [r.score for r in learn.score(model, dense).collect()]
+    assert np.allclose(scores, 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))), atol=1e-4)
