@@ -4,11 +4,12 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import corpus, cue_lists, decide, features, grid, learn, metrics, ngrams, pairs, sampling, vocabulary
+from lexspark.operators import corpus, cue_lists, decide, features, graph, grid, learn, metrics, ngrams, pairs, sampling, vocabulary
 from lexspark.plans import report, stages, storage
 from lexspark.sources import readers
 from lexspark.streaming import resume
@@ -414,6 +415,20 @@ def test_matched_subset_links_cases_only(spark, monkeypatch):
     assert max(seen) <= 4
 
 
+def test_chains_of_cases_take_few_rounds(spark, monkeypatch):
+    """The search over links of cases doesn't follow a chain step by step, in whatever tasks its links are."""
+    rounds, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda frame: rounds.append(1) or plain(frame))
+    chain = random.Random(3).sample(range(1500), 1500)
+    edges = [(p, i + j) for i, p in enumerate(chain) for j in (0, 1)] + [(2000, 9000), (None, 9000)]
+    found = spark.createDataFrame([(p, n, 0, 0) for p, n in edges], "pos long, neg long, gap long, same_group long")
+    assert {tuple(r) for r in sampling.match_parts(found).collect()} == {(p, 0) for p in range(1500)} | {(2000, 2000)}
+    assert len(rounds) <= 6
+    links = [pa.RecordBatch.from_pydict({"a": ["c", "b"], "b": ["b", "b"]}), pa.RecordBatch.from_pydict({"a": ["f", "c"], "b": ["e", "a"]})]
+    assert {(a, b) for x in sampling._stars(iter(links)) for a, b in zip(*x.to_pydict().values())} == {("c", "a"), ("b", "a"), ("f", "e")}
+    assert not list(sampling._stars(iter([])))
+
+
 def test_sparse_fit_is_the_same_model(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(150, 4)) * (rng.random((150, 4)) < 0.5)
