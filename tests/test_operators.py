@@ -439,3 +439,30 @@ def test_sparse_fit_is_the_same_model(spark):
     assert np.allclose([*model.coefficients, model.intercept], w, atol=1e-4)
     scores = [r.score for r in learn.score(model, dense).collect()]
     assert np.allclose(scores, 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))), atol=1e-4)
+
+
+def test_sparse_fit_in_one_task(spark, monkeypatch):
+    """Small blocks take no job a step, and the model is the one of steps over all blocks."""
+    rng = np.random.default_rng(8)
+    rows = [(float(v[0] + rng.normal() > 0.5), *map(float, v)) for v in rng.normal(size=(90, 3))]
+    ready = spark.createDataFrame(rows, "y double, a double, b double, c double").select("y", learn.vector("a", "b", "c").alias("features")).repartition(5)
+    seen, plain = [], learn.lbfgs
+    monkeypatch.setattr(learn, "lbfgs", lambda *a: seen.append(1) or plain(*a))
+    once = learn.fit_sparse(ready, "y", 1.0)
+    assert not seen  # no step is made by the driver
+    monkeypatch.setattr(learn, "FIT_BYTES", 0)
+    steps = learn.fit_sparse(ready, "y", 1.0)
+    assert seen
+    assert np.allclose([*once.coefficients, once.intercept], [*steps.coefficients, steps.intercept], atol=1e-5)
+
+
+def test_both_texts_share_a_featuriser(spark, monkeypatch):
+    """One pass a fold weighs both texts; null keys have no weights, as before."""
+    passes, plain = [], grid.METHODS["bow"]
+    monkeypatch.setitem(grid.METHODS, "bow", lambda *a: passes.append(1) or plain(*a))
+    rows = spark.createDataFrame([(i, f"{'x' if i % 3 else 'y'} w{i % 5} common", "gh"[i % 2], int(i % 3 == 0)) for i in range(60)], "id long, text string, g string, y int").withColumn("other", F.regexp_replace("text", "y", "x"))
+    out = grid.run(rows, "id", "text", "y", "g", "bow", "within", other="other", tuned=((1.0,), 2), k=2).collect()
+    assert [r.fold for r in out] == [0, 1] and all(r.ap == 1.0 > r.other_ap and (r.n, r.n_pos) == (30, 10) for r in out) and len(passes) == 2
+    assert "other_ap" not in grid.run(rows, "id", "text", "y", "g", "bow", "within", tuned=((1.0,), 2), k=2).columns
+    found = features.tfidf(spark.createDataFrame([(1, "a b"), (2, "a"), (None, "a b"), (3, "b")], "id long, text string"), "id", T.words("text"))
+    assert {(r.id, r.token): round(r.weight, 6) for r in found.collect()} == {(1, "a"): 0.707107, (1, "b"): 0.707107, (2, "a"): 1.0, (3, "b"): 1.0}
