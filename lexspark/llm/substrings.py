@@ -14,10 +14,10 @@ another. Texts are UTF-8 bytes, null ones empty; matches never cross documents.
    common. Pieces without a partner in any core are dropped, the others cut to the classes that have
    one. One piece of each content is fetched and dealt by anchor. There the pieces form shards, and each shard's transform is
    made by doubling of ranks (over rotations of each piece with an end mark, as far as `size` bytes).
-3. Shard transforms are merged by refining their interleaving: in round t each suffix is put, stably, behind
-   its preceding symbol, so after it suffixes stand in the order of their first t symbols although none is
-   compared. Beside the interleaving goes where the first t symbols begin to differ from the neighbour's;
-   a suffix that differs from both is settled and leaves. What is left after `size` rounds has a common prefix of
+3. Shard transforms are merged by refining their interleaving: each round puts each suffix, stably, behind the
+   symbols that precede it, some at a time, so after t symbols suffixes stand in the order of their first t
+   although none is compared. Beside the interleaving goes where these begin to differ from the neighbour's;
+   a suffix that differs from both is settled and leaves. What is left after `size` symbols has a common prefix of
    `size` bytes with a neighbour: the repeated strings.
 
 Work and memory follow the input. A group that is merged holds HEAVY pieces at most: the pieces around an
@@ -44,6 +44,8 @@ from lexspark.llm import common
 
 K, CLASSES = 24, 4
 CHUNK, SHARDS, HEAVY, CROWD = 1 << 20, 4, 3000, 16
+#: Symbols that a round of merging takes at most, a power of two.
+WIDEST = 32
 #: The greatest size, whose places fit their fields, and bytes of text that are searched at once.
 MOST, STRETCH = 2000, 1 << 26
 _SYMBOLS = (np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -234,17 +236,30 @@ def shard_transform(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.
     def ahead(k):
         return begin + (offset + k) % span
 
-    rank, width = data.astype(np.int64), 1
+    rank, width = data.astype(np.uint64), 1
+    while width < min(8, depth):
+        rank, width = (rank << np.uint64(8 * width)) | rank[ahead(width)], 2 * width
+    order = np.argsort(rank)
+    rank = rank[order]
+    first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+    group = np.repeat(first, np.diff(np.append(first, len(data))))  # by place in the order: where its equals begin
+    rank = np.empty(len(data), np.int64)
+    rank[order] = group
     while width < depth:
+        alike = np.append(group[1:] == group[:-1], False)
+        open_ = np.flatnonzero(alike | np.concatenate(([False], alike[:-1])))
+        if not len(open_):
+            break
         shift = min(width, depth - width)
-        pair = rank * (len(data) + 256) + rank[ahead(shift)]
-        order = np.argsort(pair)
-        sorted_pair = pair[order]
-        rank = np.empty(len(data), np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_pair[1:] != sorted_pair[:-1])))
+        own = order[open_]
+        pair = group[open_] * len(data) + rank[begin[own] + (offset[own] + shift) % span[own]]
+        by = np.argsort(pair)
+        own, pair = own[by], pair[by]
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
+        order[open_] = own
+        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        rank[own] = group[open_]
         width += shift
-        if rank[order[-1]] == len(data) - 1:
-            break
     place = np.empty(len(data), np.int32)
     place[order] = np.arange(len(data), dtype=np.int32)
     before = ahead(-1)[order]
@@ -255,32 +270,49 @@ def merge_transforms(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int
     """Suffixes, as numbers that run on from shard to shard, whose first `depth` symbols another suffix
     shares. transforms: (symbols, steps) of each shard.
 
-    The interleaving begins as one shard after another. A round puts the suffixes that begin two symbols
-    earlier (one, to begin with, if depth is odd), found by the steps, in the order of these symbols, else of the interleaving so far; a
-    block is what shares its symbols up to now. A block of one suffix is settled, and so are all that
-    extend it, so only what lies in larger blocks goes on to the next round. A suffix that would need its
-    piece's END symbol leaves."""
+    The interleaving begins as one shard after another. A round puts the suffixes that begin WIDEST symbols
+    earlier (fewer, to begin with, if depth is no multiple), found by the steps, in the order of these symbols,
+    else of the interleaving so far; a block is what shares its symbols up to now. A block of one suffix is
+    settled, and so are all that extend it, so only what lies in larger blocks goes on to the next round. A suffix
+    that would need its piece's END symbol leaves. Symbols go by names: numbers of the different strings of
+    their length, in order."""
     offsets = np.cumsum([0, *(len(t) for t, _ in transforms)])
-    one = np.concatenate([t for t, _ in transforms])
     step = np.concatenate([x + o for (_, x), o in zip(transforms, offsets, strict=False)]).astype(np.int32)
-    before = one[step]
-    two = (before.astype(np.uint16) << 8) | one
-    two[(one == END) | (before == END)] = END
-    one = one.astype(np.uint16)
-    suffixes = np.arange(len(one), dtype=np.int32)
-    block = np.zeros(len(one), np.int32)
-    for symbols, steps in [(one, step)] * (depth % 2) + [(two, step[step])] * (depth // 2):
-        s = symbols[suffixes]
-        inside = np.flatnonzero(s != END)
-        s, suffixes, block = s[inside], suffixes[inside], block[inside]
-        order = np.argsort(s, kind="stable")
-        s, suffixes, block = s[order], steps[suffixes[order]], block[order]
-        differs = np.empty(len(s) + 1, bool)
+    name = np.concatenate([t for t, _ in transforms]).astype(np.uint32)
+    inside, width, kinds = name != END, 1, {}
+    while True:
+        if depth // width % 2 or width == WIDEST:
+            kinds[width] = (name.astype(np.uint16), (name >> np.uint32(16)).astype(np.uint16) if name.max(initial=0) >> 16 else None, inside, step)
+        if width == WIDEST or 2 * width > depth:
+            break
+        inside = inside & inside[step]
+        if width == 1:
+            name = (name[step] << np.uint32(8)) | name
+        else:
+            _, name = np.unique((name[step].astype(np.uint64) << np.uint64(32)) | name, return_inverse=True)
+            name = name.astype(np.uint32)
+        step, width = step[step], 2 * width
+    suffixes = np.arange(len(step), dtype=np.int32)
+    block = np.zeros(len(step), np.int32)
+    for width in [w for w in kinds if w < WIDEST and depth % WIDEST & w] + [WIDEST] * (depth // WIDEST):
+        low, high, inside, steps = kinds[width]
+        kept = np.flatnonzero(inside[suffixes])
+        suffixes, block = suffixes[kept], block[kept]
+        now = low[suffixes]
+        order = np.argsort(now, kind="stable")  # of 16 bits: by counting
+        if high is not None:
+            upper = high[suffixes[order]]
+            again = np.argsort(upper, kind="stable")
+            order, upper = order[again], upper[again]
+        now, suffixes, block = now[order], suffixes[order], block[order]
+        differs = np.empty(len(suffixes) + 1, bool)
         differs[0] = differs[-1] = True
-        np.logical_or(s[1:] != s[:-1], block[1:] != block[:-1], out=differs[1:-1])
+        np.logical_or(now[1:] != now[:-1], block[1:] != block[:-1], out=differs[1:-1])
+        if high is not None:
+            differs[1:-1] |= upper[1:] != upper[:-1]
         shared = np.flatnonzero(~(differs[1:] & differs[:-1]))
         block = np.cumsum(differs[:-1], dtype=np.int32)[shared]
-        suffixes = suffixes[shared]
+        suffixes = steps[suffixes[shared]]
         if not len(suffixes):
             break
     return suffixes

@@ -351,6 +351,24 @@ def test_merged_transforms_find_repeats():
         assert [x.tolist() for x in substrings.repeated_strings(pieces, size)] == expected
 
 
+def test_merging_takes_many_symbols_a_round(monkeypatch):
+    """The same strings whatever the symbols of a round, and far fewer sorts than symbols."""
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab\0\xf4") for _ in range(rng.randint(1, 90))) for _ in range(9)]
+    pieces = [b"".join(rng.choice(words) for _ in range(rng.randint(6, 12))) for _ in range(20)] + [b"a" * 260, b"a" * 230]
+    for size in (28, 47, 200):
+        seen = collections.Counter(p[i : i + size] for p in pieces for i in range(len(p) - size + 1))
+        expected = [[i for i in range(len(p) - size + 1) if seen[p[i : i + size]] > 1] for p in pieces]
+        for widest in (1, 2, 8, 32, 64):
+            monkeypatch.setattr(substrings, "WIDEST", widest, raising=False)
+            assert [x.tolist() for x in substrings.repeated_strings(pieces, size)] == expected and any(expected)
+    monkeypatch.undo()
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+    substrings.repeated_strings(pieces, 200)
+    assert len(sorts) < 60
+
+
 def test_language_model(spark, docs):
     got = language_model.score(docs).collect()
     tokens = [(i, re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER)) + [None]) for i, t in corpus()]
