@@ -466,3 +466,18 @@ def test_both_texts_share_a_featuriser(spark, monkeypatch):
     assert "other_ap" not in grid.run(rows, "id", "text", "y", "g", "bow", "within", tuned=((1.0,), 2), k=2).columns
     found = features.tfidf(spark.createDataFrame([(1, "a b"), (2, "a"), (None, "a b"), (3, "b")], "id long, text string"), "id", T.words("text"))
     assert {(r.id, r.token): round(r.weight, 6) for r in found.collect()} == {(1, "a"): 0.707107, (1, "b"): 0.707107, (2, "a"): 1.0, (3, "b"): 1.0}
+
+
+def test_small_vocabularies_leave_features_in_place(spark, monkeypatch):
+    long = spark.createDataFrame([(i % 5, f"t{i}", float(i)) for i in range(40)], "id long, token string, weight double")
+    numbered, width = learn.number_tokens(long)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [learn.assemble(long.select("id").distinct(), long, "id", numbered, width)]
+        monkeypatch.setattr(learn, "SMALL_VOCABULARY", 0, raising=False)
+        found.append(learn.assemble(long.select("id").distinct(), long, "id", numbered, width))
+        rows, plans = [sorted(f.collect()) for f in found], [f._jdf.queryExecution().toString() for f in found]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows[0] == rows[1] and len(rows[0]) == 5 and all(r.features.numNonzeros() for r in rows[0])
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
