@@ -481,3 +481,45 @@ def test_small_vocabularies_leave_features_in_place(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows[0] == rows[1] and len(rows[0]) == 5 and all(r.features.numNonzeros() for r in rows[0])
     assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+
+
+def test_kinds_are_matched_as_rows_are(spark, monkeypatch):
+    """The flow over kinds of rows costs what an assignment of rows costs, and no row is in two pairs."""
+    rng = random.Random(5)
+    rows = [(i, int(rng.random() < 0.5), rng.choice([3, 4, 5, 40, 41, 43, 60, 300, 310, 330]), rng.choice(["g", "g", "h", None])) for i in range(160)]
+    frame = spark.createDataFrame([*rows, (None, 1, 4, "g"), (900, 1, 0, "g"), (901, None, 4, "g"), rows[0]], "id long, y int, n int, g string")
+    found = sampling.match_lengths(frame, "id", "y", "n", "g")
+    plain = sampling.match_candidates(frame.limit(160), "id", "y", "n", "g")
+    assert found.schema.simpleString() == plain.schema.simpleString()
+    out, best, every = found.collect(), sampling.match(plain, sampling.match_parts(plain)).collect(), {tuple(r) for r in plain.collect()}
+    cost = lambda pairs: (len(pairs), sum(r.gap + 1e4 * (1 - r.same_group) for r in pairs))
+    assert cost(out) == cost(best) and {tuple(r) for r in out} <= every
+    assert len({r.pos for r in out}) == len({r.neg for r in out}) == len(out) > 40
+    assert sampling.match_lengths(frame.limit(0), "id", "y", "n", "g").count() == 0
+
+
+def test_flows_are_cheapest():
+    from lexspark.operators import matching
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        groups, most = rng.choice([["a"], ["a", "b", None]]), rng.choice([6, 40, 300])
+        cases, pool = ([(rng.choice(groups), rng.randint(1, most)) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        a, b = ([(*k, rows.count(k)) for k in sorted(set(rows), key=str)] for rows in (cases, pool))
+        out = matching.transport(a, b)
+        across = lambda g, h: 0 if g == h and g is not None else 1e4
+        edges = [[(j, across(g, h) + abs(n - m)) for j, (h, m) in enumerate(pool) if abs(n - m) <= max(1.0, 0.05 * n)] for g, n in cases]
+        chosen = sampling.assignment(edges, len(pool))
+        assert sum(f for *_, f in out) == sum(j is not None for j in chosen)
+        assert sum(f * (across(a[i][0], b[j][0]) + abs(a[i][1] - b[j][1])) for i, j, f in out) == sum(dict(own)[j] for own, j in zip(edges, chosen, strict=True) if j is not None)
+        assert all(sum(f for x in out if x[s] == k for f in x[2:]) <= kind[2] for s, side in enumerate((a, b)) for k, kind in enumerate(side))
+
+
+@pytest.mark.parametrize("query", ["length_match_assignment"])
+def test_matching_queries_make_no_table_of_candidates(spark, monkeypatch, query):
+    from lexspark import queries_study
+
+    seen, plain = [], sampling.match_candidates
+    monkeypatch.setattr(sampling, "match_candidates", lambda rows, *a: seen.append(rows.columns) or plain(rows, *a))
+    assert queries_study.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [["y", "n"]]  # lengths, not documents
