@@ -515,7 +515,16 @@ def test_flows_are_cheapest():
         assert all(sum(f for x in out if x[s] == k for f in x[2:]) <= kind[2] for s, side in enumerate((a, b)) for k, kind in enumerate(side))
 
 
-@pytest.mark.parametrize("query", ["length_match_assignment"])
+def test_matching_makes_no_table_of_candidates(spark, monkeypatch):
+    """Candidates are pairs of lengths, however many rows have them."""
+    seen, plain = [], sampling.match_candidates
+    monkeypatch.setattr(sampling, "match_candidates", lambda *a: seen.append(plain(*a).count()) or plain(*a))
+    rows = spark.createDataFrame([(i, int(i < 200), 50 + i % 2, "gh"[i // 2 % 2]) for i in range(500)], "id long, y int, n int, g string")
+    out = sampling.matched(rows, "id", "y", "n", "g").where("matched").collect()
+    assert len(out) == 400 and sum(r.y for r in out) == 200 and seen == [4]
+
+
+@pytest.mark.parametrize("query", ["length_match_assignment", "matched_subset"])
 def test_matching_queries_make_no_table_of_candidates(spark, monkeypatch, query):
     from lexspark import queries_study
 
