@@ -532,3 +532,30 @@ def test_matching_queries_make_no_table_of_candidates(spark, monkeypatch, query)
     monkeypatch.setattr(sampling, "match_candidates", lambda rows, *a: seen.append(rows.columns) or plain(rows, *a))
     assert queries_study.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [["y", "n"]]  # lengths, not documents
+
+
+def test_bag_of_words_by_blocks(spark, monkeypatch):
+    """No row a document and word is made, and the scores are those of the long features."""
+    from lexspark.operators import word_blocks
+
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(0, 9))) or None, int(rng.random() < 0.4)) for i in range(80)], "id long, text string, y int").withColumn("g", F.lit("g")).withColumn("other", F.regexp_replace("text", "a", "b"))
+    run = lambda: {tuple(r) for r in grid.run(rows, "id", "text", "y", "g", "bow", "within", other="other", tuned=((1.0,), 2), k=2).collect()}
+    long, plain = [], learn.assemble
+    monkeypatch.setattr(learn, "assemble", lambda *a: long.append(1) or plain(*a))
+    blocks = run()
+    assert not long and len(blocks) == 2
+    monkeypatch.setattr(word_blocks, "MOST_WORDS", 1)
+    assert run() == blocks and long
+
+
+def test_words_of_blocks():
+    from collections import Counter
+
+    from lexspark.operators import word_blocks
+
+    texts = [None, "", "12", "3ab4 \u00e9_$x9 9 ab4", "a\x00b \u65e5\u672cx \u017fK a"]
+    names, codes, tf, sizes = word_blocks.counts_of(pa.array(texts, pa.string()))
+    assert sizes.tolist() == [0, 0, 0, 2, 4]
+    assert Counter(dict(zip([names[i].as_py() for i in codes[2:].tolist()], tf[2:].tolist(), strict=True))) == Counter(["a", "a", "b", "x", "K"])
+    assert word_blocks.counts_of(pa.array([], pa.string()))[3].tolist() == []
